@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, token_counts, url_filter
+from . import mixing, near_dedup, packing, quality_rules, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filter": url_filter.SQL,
+    "op2_near_dedup": near_dedup.SQL,
     "op6_mixing": mixing.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }

@@ -112,6 +112,7 @@ class Words:
         joined = b" " + b" ".join(texts) + b" "
         if lower:
             joined = joined.lower()  # of bytes: A-Z only
+        self.joined = joined
         self.buffer = np.frombuffer(joined, np.uint8)
         space = SPACE[self.buffer]
         edges = np.flatnonzero(space[1:] != space[:-1]) + 1

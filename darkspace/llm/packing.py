@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,57 +14,115 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import Words, as_bytes, slices
 
 CAPACITY, SEPARATOR = 4096, 2
 #: Distinct words whose ids a worker remembers, and words looked up at a time.
-MEMORY = 400_000
+MEMORY = 1_000_000
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 SCHEMA = ", ".join(f"{n} long" for n in NAMES)
 
 
 class Encoder:
-    """Token ids of texts under a tokenizer that never merges across white space.
-
-    Texts are cut at ASCII white space; each distinct word is encoded once by
-    the library and its ids are kept in one pool (cleared when full).
+    """Token ids of texts under a tokenizer that lower-cases and never merges across white space.
+
+    Texts are lower-cased (A-Z) and cut at ASCII white space; each distinct
+    word is encoded once by the library and its ids are kept in one pool
+    (cleared when full). A word that ends in ASCII signs other than an
+    apostrophe is the ids of its letters and those of its signs, since the
+    tokenizer's pattern cuts there. Words of letters only are encoded many at
+    a time: the tokenizer's end-of-word marks tell them apart again.
     """
 
+    LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+    SIGNS = rb"[!-&(-/:-@\[-`{-~]+"
+    TOGETHER = 1000
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.letters, self.signed = re.compile(self.LETTERS), re.compile(b"(%s)(%s)" % (self.LETTERS, self.SIGNS))
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+        self.index: dict[int, int] = {}  # by the word's hash
+        self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.pool, self.used = np.empty(1 << 18, np.uint32), 0
 
-    def _add(self, words: list[bytes]) -> None:
+    def _keep(self, words: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        first, used = len(self.index), self.used
+        self.index.update(zip(words, range(first, first + len(words)), strict=True))
+        self.used += len(ids)
+        if len(self.index) > len(self.begin):
+            self.begin, self.size = (np.concatenate((x, np.empty(max(len(x), len(words)), np.int64))) for x in (self.begin, self.size))
+        if self.used > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.empty(max(len(self.pool), len(ids)), np.uint32)))
+        self.begin[first : len(self.index)] = used + np.cumsum(sizes) - sizes
+        self.size[first : len(self.index)] = sizes
+        self.pool[used : self.used] = ids
+
+    def _add_others(self, words: dict[bytes, int]) -> None:
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        first = len(self.index)
-        self.index.update(zip(words, range(first, first + len(words)), strict=True))
-        self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(sizes) - sizes))
-        self.size = np.concatenate((self.size, sizes))
-        self.pool = np.concatenate((self.pool, np.fromiter((i for ids in encoded for i in ids), np.uint32, int(sizes.sum()))))
+        self._keep(list(words.values()), sizes, np.fromiter((i for ids in encoded for i in ids), np.uint32, int(sizes.sum())))
+
+    def _add_letters(self, words: dict[bytes, int]) -> None:
+        everything = list(words.items())
+        for k in range(0, len(everything), self.TOGETHER):
+            part = dict(everything[k : k + self.TOGETHER])
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(part) and last[-1] == len(ids) - 1:
+                self._keep(list(part.values()), np.diff(last, prepend=-1), ids)
+            else:  # a tokenizer without such marks
+                self._add_others(part)
+
+    def _add(self, words: dict[bytes, int]) -> None:
+        letters, others, signed, halves = {}, {}, [], []
+        for word, key in words.items():
+            if self.letters.fullmatch(word):
+                letters[word] = key
+            elif m := self.signed.fullmatch(word):
+                signed.append(key)
+                halves += m.groups()
+            else:
+                others[word] = key
+        keys = Words([b" ".join(halves)]).hashes.tolist()
+        for k, (word, key) in enumerate(zip(halves, keys, strict=True)):
+            if key not in self.index:
+                (others if k % 2 else letters)[word] = key
+        self._add_letters(letters)
+        self._add_others(others)
+        if signed:
+            rows = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+            sizes = self.size[rows]
+            self._keep(signed, sizes.reshape(-1, 2).sum(1), self._gather(rows, sizes))
+
+    def _gather(self, where: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(self.begin[where] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        per_text = [t.split() for t in texts]
-        words = [w for ws in per_text for w in ws]
+        words = Words(texts, lower=not any(b"<|" in t for t in texts))  # special strings keep their case
         if len(self.index) > MEMORY:
             self._clear()
-        new = list({w for w in words if w not in self.index})
-        if new:
-            self._add(new)
-        where = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        sizes = self.size[where]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.begin[where] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        cuts = np.cumsum([len(ws) for ws in per_text])[:-1]
-        return np.split(ids, np.concatenate(([0], ends))[cuts])
+        distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        rows = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(rows < 0).tolist()
+        if missing:
+            at = first[missing]
+            spans = zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)
+            self._add({words.joined[a:b]: keys[k] for k, (a, b) in zip(missing, spans, strict=True)})
+            rows[missing] = [self.index[keys[k]] for k in missing]
+        rows = rows[which]
+        sizes = self.size[rows]
+        return np.split(self._gather(rows, sizes), np.concatenate(([0], np.cumsum(sizes)))[words.first[1:-1]])
 
 
 class Bins:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, url_filter
+from . import mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }

@@ -18,7 +18,7 @@ WIDTH = 5
 #: 40 bands of 6 minima: two texts at similarity 0.85 share no band with probability 6e-9, at 0.8 with 5e-6.
 BANDS, ROWS = 40, 6
 #: Shingles of a verification block; a task holds two blocks at a time.
-BLOCK = 1 << 18
+BLOCK = 1 << 16
 
 _random = np.random.default_rng(20240501)
 MULTIPLIERS = (_random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)

@@ -12,14 +12,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, cut, mix, powers, prefix_sums, shuffle_partitions, slices
+from .common import BASE, U64, as_bytes, cut, mix, powers, prefix_sums, shuffle_partitions, slices
 
 #: A string of LENGTH bytes holds LENGTH - GRAM + 1 grams, of which the least by hash is its anchor.
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 PIECE = REACH + LENGTH
 #: Bytes of candidate text to a shard, and of whole texts held meanwhile.
-SHARD, HELD = 4 << 20, 48 << 20
+SHARD, HELD = 2 << 20, 24 << 20
+#: Pieces that are merged at a time (all of an anchor together).
+MERGED = 1 << 15
 #: Symbols packed into a suffix's first key (9 bits each).
 FIRST = 7
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -120,7 +122,7 @@ def _offer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 owner, _, hashes = _anchors_of(texts)
                 held.append((np.array(cids, np.int64), *_short(hashes, buckets), owner))
                 size += sum(map(len, texts))
-            if size >= SHARD * 2:
+            if size >= 8 << 20:
                 yield flush()
                 size = 0
     if held:
@@ -297,7 +299,7 @@ class Shard:
             if not len(own):
                 continue
             needed = np.searchsorted(own, places, "right") > np.searchsorted(own, places - REACH, "left")
-            places, buckets = places[needed], _short(hashes[needed], self.buckets)[0]
+            places, buckets = places[needed], ((hashes[needed] >> U64(8)) % U64(self.buckets)).astype(np.int64)
             raw = np.frombuffer(bytes(REACH) + text + bytes(LENGTH), np.uint8)
             grid = np.lib.stride_tricks.sliding_window_view(raw, PIECE)[places]
             left = np.minimum(places, REACH).astype(np.uint8)
@@ -346,9 +348,9 @@ def _result(doc_id: int, text: bytes, starts: np.ndarray, keep_text: bool) -> tu
     return ("done", None, doc_id, len(text), removed, spans, kept, None, None)
 
 
-def _solve(batches: Iterator[pa.RecordBatch], buckets: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
+def _solve(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, packs, text) to finished documents, unfinished ones and pieces for other shards."""
-    shard, squeeze = Shard(buckets), zstandard.ZstdCompressor(level=1)
+    shard, squeeze = Shard(parts), zstandard.ZstdCompressor(level=1)
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not shard.docs:
@@ -362,10 +364,10 @@ def _solve(batches: Iterator[pa.RecordBatch], buckets: int, keep_text: bool) ->
             else:
                 rows.append(_result(doc_id, text, starts, keep_text))
         yield _rows(rows)
-        for bucket, parts in pieces.items():
-            joined = [b"".join(p) for p in parts]
+        for bucket, columns in pieces.items():
+            joined = [b"".join(c) for c in columns]
             yield _rows([("piece", bucket, None, len(joined[2]), None, None, None, b"".join(joined), None)])
-        shard.__init__(buckets)
+        shard.__init__(parts)
 
     for batch in batches:
         for start, stop in slices(batch.column(2)):
@@ -392,6 +394,15 @@ def _solve(batches: Iterator[pa.RecordBatch], buckets: int, keep_text: bool) ->
 # -- across shards ---------------------------------------------------------------------------------
 
 
+def _gram_names(grid: np.ndarray) -> np.ndarray:
+    """A hash of each piece's anchor."""
+    out = np.zeros(len(grid), U64)
+    for k in range(REACH, REACH + GRAM):
+        out *= U64(BASE)
+        out += grid[:, k].astype(U64) + U64(1)
+    return mix(out)
+
+
 def merge_pieces(docs: np.ndarray, places: np.ndarray, left: np.ndarray, right: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, start) of every string around these anchors that a smaller document has too.
 
@@ -416,11 +427,7 @@ def merge_pieces(docs: np.ndarray, places: np.ndarray, left: np.ndarray, right:
     found = [_starts(docs, places, left, right, later)]
     # one piece of each kind, and only where an anchor has several kinds
     kept = order[head]
-    gram = np.ascontiguousarray(grid[kept][:, REACH : REACH + GRAM])
-    sums = prefix_sums(gram.ravel())
-    at = np.arange(len(kept)) * GRAM
-    names = (sums[at + GRAM] - sums[at]) * powers(len(sums))[0][at]
-    _, which, counts = np.unique(names, return_inverse=True, return_counts=True)
+    _, which, counts = np.unique(_gram_names(grid[kept]), return_inverse=True, return_counts=True)
     kept = kept[counts[which] > 1]
     if len(kept):
         rows = np.ascontiguousarray(grid[kept])
@@ -480,7 +487,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part.append(np.frombuffer(raw, kind, n * width // np.dtype(kind).itemsize, at))
                 at += n * width
         held.clear()
-        docs, starts = merge_pieces(*(np.concatenate(p) for p in parts[:4]), np.concatenate(parts[4]).reshape(-1, PIECE))
+        columns = [*(np.concatenate(p) for p in parts[:4]), np.concatenate(parts[4]).reshape(-1, PIECE)]
+        parts.clear()
+        names = _gram_names(columns[4])
+        order = np.argsort(names)
+        names = names[order]
+        bounds = np.append(np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))), len(names))
+        found, a = [], 0
+        while a < len(names):
+            b = int(bounds[max(np.searchsorted(bounds, a + MERGED, "right") - 1, np.searchsorted(bounds, a, "right"))])
+            found.append(merge_pieces(*(c[order[a:b]] for c in columns)))
+            a = b
+        docs, starts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         order = np.lexsort((starts, docs))
         docs, starts = docs[order], starts[order]
         cuts = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.empty(0, np.int64)
@@ -535,7 +553,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     alone. No rows give no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = max(4, shuffle_partitions(spark) // 4)
+    parts = shuffle_partitions(spark)
+    buckets = max(4, parts // 4)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = named.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     cid = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("cid")
@@ -549,8 +568,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     packs = answers.groupBy("cid").agg(F.collect_list("pack").alias("packs"))
     live = cut(ids.where("not copy and doc_id is not null").join(packs, "cid", "left").select("doc_id", "sha", "n_bytes", "packs"))
     asked = live.where("packs is not null").select("doc_id", "sha", "packs").dropDuplicates(["doc_id", "sha"])
-    solved = cut(named.join(asked, ["doc_id", "sha"]).select("doc_id", "packs", "text").mapInArrow(partial(_solve, buckets=buckets, keep_text=keep_text), SOLVED))
-    pieces = solved.where("kind = 'piece'").select("bucket", "n_bytes", "payload").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    solved = cut(named.join(asked, ["doc_id", "sha"]).select("doc_id", "packs", "text").mapInArrow(partial(_solve, buckets=buckets, parts=parts, keep_text=keep_text), SOLVED))
+    pieces = solved.where("kind = 'piece'").select("bucket", "n_bytes", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
     merged = pieces.mapInArrow(_merge, "doc_id long, starts binary").groupBy("doc_id").agg(F.collect_list("starts").alias("others"))
     finished = solved.where("kind = 'open'").select("doc_id", "payload", "covered").join(merged, "doc_id", "left").mapInArrow(partial(_finish, keep_text=keep_text), SOLVED)
     result = solved.where("kind = 'done'").union(finished).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, as_bytes, cut, mix, powers, prefix_sums, shuffle_partitions, slices
+from .common import BASE, U64, as_bytes, cut, mix, powers, prefix_sums, release, shuffle_partitions, slices
 
 #: A string of LENGTH bytes holds LENGTH - GRAM + 1 grams, of which the least by hash is its anchor.
 LENGTH, GRAM = 50, 20
@@ -245,20 +245,22 @@ class Shard:
 
     def __init__(self, buckets: int):
         self.buckets = buckets
-        self.docs: list[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.docs: list[tuple] = []
         self.candidate = self.held = 0
 
-    def add(self, doc_id: int, text: bytes, places: np.ndarray, hashes: np.ndarray) -> None:
-        """``places``: anchors that another document has too."""
-        starts = _union(np.maximum(places - REACH, 0), np.minimum(places + LENGTH, len(text)))
-        self.docs.append((doc_id, text, places, hashes, starts))
-        self.candidate += int((starts[:, 1] - starts[:, 0]).sum())
+    def add(self, doc_id: int, text: bytes, places: np.ndarray, hashes: np.ndarray, shared: np.ndarray) -> None:
+        """``places``: all anchors; ``shared``: which of them another document has too."""
+        own = places[shared]
+        spans = _union(np.maximum(own - REACH, 0), np.minimum(own + LENGTH, len(text)))
+        first, last = _turns(places, hashes, len(text))
+        self.docs.append((doc_id, text, own, hashes[shared], first[shared], last[shared], spans))
+        self.candidate += int((spans[:, 1] - spans[:, 0]).sum())
         self.held += len(text)
 
     def solve(self) -> tuple[list[np.ndarray], dict[int, list]]:
         """For each document its starts of strings that a smaller document of the shard has; pieces by bucket."""
         regions, origin, owner = [], [], []
-        for k, (_, text, _, _, spans) in enumerate(self.docs):
+        for k, (_, text, *_, spans) in enumerate(self.docs):
             raw = np.frombuffer(text, np.uint8)
             for a, b in spans.tolist():
                 regions += [raw[a:b].astype(np.uint16) + np.uint16(1), np.zeros(1, np.uint16)]
@@ -294,16 +296,19 @@ class Shard:
         out: dict[int, list] = {}
         cuts = np.searchsorted(doc[free], np.arange(len(self.docs) + 1))
         free_places = place[free]
-        for k, (doc_id, text, places, hashes, _) in enumerate(self.docs):
+        for k, (doc_id, text, places, hashes, first, last, _) in enumerate(self.docs):
             own = free_places[cuts[k] : cuts[k + 1]]
-            if not len(own):
+            a, b = np.searchsorted(own, first), np.searchsorted(own, last, "right")
+            needed = np.flatnonzero(a < b)
+            if not len(needed):
                 continue
-            needed = np.searchsorted(own, places, "right") > np.searchsorted(own, places - REACH, "left")
-            places, buckets = places[needed], ((hashes[needed] >> U64(8)) % U64(self.buckets)).astype(np.int64)
+            places, first, last = places[needed], own[a[needed]], own[b[needed] - 1]
+            buckets = ((hashes[needed] >> U64(8)) % U64(self.buckets)).astype(np.int64)
             raw = np.frombuffer(bytes(REACH) + text + bytes(LENGTH), np.uint8)
-            grid = np.lib.stride_tricks.sliding_window_view(raw, PIECE)[places]
-            left = np.minimum(places, REACH).astype(np.uint8)
-            right = np.minimum(len(text) - places, LENGTH).astype(np.uint8)
+            left, right = (places - first).astype(np.uint8), (last + LENGTH - places).astype(np.uint8)
+            column = np.arange(PIECE)
+            inside = (column >= REACH - left[:, None].astype(int)) & (column < REACH + right[:, None].astype(int))
+            grid = np.lib.stride_tricks.sliding_window_view(raw, PIECE)[places] * inside
             for b in np.unique(buckets).tolist():
                 at = buckets == b
                 rows = out.setdefault(b, [[], [], [], [], []])
@@ -312,6 +317,35 @@ class Shard:
         return out
 
 
+def _turns(places: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the strings whose least gram (the first of equals) each anchor is."""
+    first, last = np.maximum(places - REACH, 0), np.minimum(places, n - LENGTH)
+    for side in (-1, 1):
+        open_ = np.ones(len(places), bool)
+        for k in range(1, REACH + 1):
+            there = np.arange(len(places)) + side * k
+            ok = (there >= 0) & (there < len(places))
+            there = np.clip(there, 0, max(len(places) - 1, 0))
+            ok &= open_ & (np.abs(places[there] - places) <= REACH)
+            if not ok.any():
+                break
+            lower = ok & (hashes[there] <= hashes if side < 0 else hashes[there] < hashes)
+            if side < 0:
+                first[lower] = np.maximum(first[lower], places[there[lower]] + 1)
+            else:
+                last[lower] = np.minimum(last[lower], places[there[lower]] - REACH - 1)
+            open_ = ok & ~lower
+    return first, last
+
+
+def _runs(starts: np.ndarray) -> np.ndarray:
+    """Sorted starts as pairs: the first of a run of neighbours, and the end of its last string."""
+    if not len(starts):
+        return np.empty((0, 2), np.int64)
+    new = np.flatnonzero(np.concatenate(([True], starts[1:] > starts[:-1] + 1)))
+    return np.stack((starts[new], np.append(starts[new[1:] - 1], starts[-1]) + LENGTH), 1).astype(np.int64)
+
+
 def _union(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sorted disjoint ranges of the union of ranges, whose starts are sorted; those that touch are one."""
     if not len(starts):
@@ -331,9 +365,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], COLUMNS)
 
 
-def remove(text: bytes, starts: np.ndarray) -> tuple[bytes, int, int]:
-    """What is left of a text without the strings at sorted ``starts``; bytes and runs removed."""
-    spans = _union(starts, starts + LENGTH)
+def remove(text: bytes, runs: np.ndarray) -> tuple[bytes, int, int]:
+    """What is left of a text without some byte ranges; bytes and runs removed."""
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    spans = _union(runs[:, 0], runs[:, 1])
     left, at = [], 0
     for a, b in spans.tolist():
         left.append(text[at:a])
@@ -342,8 +377,8 @@ def remove(text: bytes, starts: np.ndarray) -> tuple[bytes, int, int]:
     return b"".join(left), int((spans[:, 1] - spans[:, 0]).sum()), len(spans)
 
 
-def _result(doc_id: int, text: bytes, starts: np.ndarray, keep_text: bool) -> tuple:
-    left, removed, spans = remove(text, starts)
+def _result(doc_id: int, text: bytes, runs: np.ndarray, keep_text: bool) -> tuple:
+    left, removed, spans = remove(text, runs)
     kept = left.decode("utf-8", "ignore") if keep_text else hashlib.sha256(left).hexdigest()
     return ("done", None, doc_id, len(text), removed, spans, kept, None, None)
 
@@ -360,13 +395,13 @@ def _solve(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, keep_tex
         rows = []
         for (doc_id, text, *_), starts in zip(shard.docs, covered, strict=True):
             if doc_id in waiting:
-                rows.append(("open", None, doc_id, None, None, None, None, squeeze.compress(text), starts.astype(np.int64).tobytes()))
+                rows.append(("open", None, doc_id, None, None, None, None, squeeze.compress(text), _runs(starts).tobytes()))
             else:
-                rows.append(_result(doc_id, text, starts, keep_text))
+                rows.append(_result(doc_id, text, _runs(starts), keep_text))
         yield _rows(rows)
         for bucket, columns in pieces.items():
             joined = [b"".join(c) for c in columns]
-            yield _rows([("piece", bucket, None, len(joined[2]), None, None, None, b"".join(joined), None)])
+            yield _rows([("piece", bucket, None, len(joined[2]), None, None, None, squeeze.compress(b"".join(joined)), None)])
         shard.__init__(parts)
 
     for batch in batches:
@@ -381,9 +416,9 @@ def _solve(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, keep_tex
                 shared = np.concatenate([_unpack(p[8:]) * U64(buckets) + U64(int(np.frombuffer(p[:8], np.int64)[0])) for p in packs])
                 hit = np.isin(short[at] * U64(buckets) + bucket[at].astype(U64), shared)
                 if hit.any():
-                    shard.add(doc_id, texts[k], places[at][hit], hashes[at][hit])
+                    shard.add(doc_id, texts[k], places[at], hashes[at], hit)
                 else:
-                    done.append(_result(doc_id, texts[k], np.empty(0, np.int64), keep_text))
+                    done.append(_result(doc_id, texts[k], np.empty((0, 2), np.int64), keep_text))
             if done:
                 yield _rows(done)
             if shard.candidate >= SHARD or shard.held >= HELD:
@@ -474,8 +509,8 @@ def _starts(docs: np.ndarray, places: np.ndarray, left: np.ndarray, right: np.nd
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, size, payload) sorted by bucket to (doc_id, starts)."""
-    now, held = None, []
+    """(bucket, size, payload) sorted by bucket to (doc_id, runs)."""
+    now, held, expand = None, [], zstandard.ZstdDecompressor()
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not held:
@@ -503,15 +538,15 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, starts = docs[order], starts[order]
         cuts = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.empty(0, np.int64)
         stops = np.append(cuts[1:], len(docs))
-        packed = [np.unique(starts[a:b]).tobytes() for a, b in zip(cuts.tolist(), stops.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[cuts]), pa.array(packed, pa.binary())], ["doc_id", "starts"])
+        packed = [_runs(np.unique(starts[a:b])).tobytes() for a, b in zip(cuts.tolist(), stops.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(docs[cuts]), pa.array(packed, pa.binary())], ["doc_id", "runs"])
 
     for batch in batches:
         for bucket, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != now:
                 yield from flush()
                 now = bucket
-            held.append((n, raw))
+            held.append((n, expand.decompress(raw)))
     yield from flush()
 
 
@@ -521,8 +556,8 @@ def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.R
     for batch in batches:
         rows = []
         for doc_id, payload, covered, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            starts = np.unique(np.frombuffer(b"".join([covered, *(others or ())]), np.int64))
-            rows.append(_result(doc_id, expand.decompress(payload), starts, keep_text))
+            runs = np.frombuffer(b"".join([covered, *(others or ())]), np.int64).reshape(-1, 2)
+            rows.append(_result(doc_id, expand.decompress(payload), runs, keep_text))
             if len(rows) >= 500:
                 yield _rows(rows)
                 rows = []
@@ -563,14 +598,18 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     copies = cut(ids.groupBy("sha").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper"))
     ids = ids.join(copies, "sha", "left").withColumn("copy", F.coalesce(F.expr(f"n_bytes >= {LENGTH} and doc_id > keeper"), F.lit(False)))
 
+    release(spark)
     offered = named.select(cid, "text").mapInArrow(partial(_offer, buckets=buckets), "bucket long, cids binary, counts binary, hashes binary")
     answers = offered.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "cid long, pack binary")
     packs = answers.groupBy("cid").agg(F.collect_list("pack").alias("packs"))
     live = cut(ids.where("not copy and doc_id is not null").join(packs, "cid", "left").select("doc_id", "sha", "n_bytes", "packs"))
+    del offered, answers, packs
     asked = live.where("packs is not null").select("doc_id", "sha", "packs").dropDuplicates(["doc_id", "sha"])
+    release(spark)
     solved = cut(named.join(asked, ["doc_id", "sha"]).select("doc_id", "packs", "text").mapInArrow(partial(_solve, buckets=buckets, parts=parts, keep_text=keep_text), SOLVED))
+    release(spark)
     pieces = solved.where("kind = 'piece'").select("bucket", "n_bytes", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    merged = pieces.mapInArrow(_merge, "doc_id long, starts binary").groupBy("doc_id").agg(F.collect_list("starts").alias("others"))
+    merged = pieces.mapInArrow(_merge, "doc_id long, runs binary").groupBy("doc_id").agg(F.collect_list("runs").alias("others"))
     finished = solved.where("kind = 'open'").select("doc_id", "payload", "covered").join(merged, "doc_id", "left").mapInArrow(partial(_finish, keep_text=keep_text), SOLVED)
     result = solved.where("kind = 'done'").union(finished).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
     zero = F.lit(0).cast("long")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -14,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that are worked on at a time inside a Python worker.
 SLICE_BYTES = 1 << 20
 
+#: Whether Spark deletes a plan's shuffle files when its action ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 U64 = np.uint64
 #: Base of the polynomial hashes (odd, so that it has an inverse modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
@@ -27,24 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
     The folder is ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a folder of this machine is set.
+    tests) a folder of this machine is set. Shuffle files of the plan that was
+    cut are deleted at once, since nothing reads them again.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="darkspace-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referred to.
-
-    Its cleaner works when the driver collects garbage, which may take half an
-    hour by itself; between the steps of a large job that holds disk for nothing.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # holds for plans that are made while it is set
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

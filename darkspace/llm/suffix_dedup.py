@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, as_bytes, cut, mix, powers, prefix_sums, release, shuffle_partitions, slices
+from .common import BASE, U64, as_bytes, cut, mix, powers, prefix_sums, shuffle_partitions, slices
 
 #: A string of LENGTH bytes holds LENGTH - GRAM + 1 grams, of which the least by hash is its anchor.
 LENGTH, GRAM = 50, 20
@@ -392,10 +392,10 @@ def _solve(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, keep_tex
             return
         covered, pieces = shard.solve()
         waiting = {doc for p in pieces.values() for doc in np.frombuffer(b"".join(p[0]), np.int64).tolist()}
-        rows = []
-        for (doc_id, text, *_), starts in zip(shard.docs, covered, strict=True):
+        groups, rows = _group(np.array([d[0] for d in shard.docs], np.int64), parts).tolist(), []
+        for (doc_id, text, *_), starts, group in zip(shard.docs, covered, groups, strict=True):
             if doc_id in waiting:
-                rows.append(("open", None, doc_id, None, None, None, None, squeeze.compress(text), _runs(starts).tobytes()))
+                rows.append(("open", group, doc_id, None, None, None, None, squeeze.compress(text), _runs(starts).tobytes()))
             else:
                 rows.append(_result(doc_id, text, _runs(starts), keep_text))
         yield _rows(rows)
@@ -508,8 +508,12 @@ def _starts(docs: np.ndarray, places: np.ndarray, left: np.ndarray, right: np.nd
     return docs[which][row], places[which][row] + column - REACH
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, size, payload) sorted by bucket to (doc_id, runs)."""
+def _group(docs: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(docs.astype(U64)) % U64(groups)).astype(np.int64)
+
+
+def _merge(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, size, payload) sorted by bucket to (group of documents, their ids and runs)."""
     now, held, expand = None, [], zstandard.ZstdDecompressor()
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -534,12 +538,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append(merge_pieces(*(c[order[a:b]] for c in columns)))
             a = b
         docs, starts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        order = np.lexsort((starts, docs))
-        docs, starts = docs[order], starts[order]
-        cuts = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.empty(0, np.int64)
-        stops = np.append(cuts[1:], len(docs))
-        packed = [_runs(np.unique(starts[a:b])).tobytes() for a, b in zip(cuts.tolist(), stops.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[cuts]), pa.array(packed, pa.binary())], ["doc_id", "runs"])
+        group = _group(docs, groups)
+        order = np.lexsort((starts, docs, group))
+        docs, starts, group = docs[order], starts[order], group[order]
+        new = np.ones(len(docs), bool)
+        new[1:] = (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:] - 1, len(docs) - 1) if len(docs) else first
+        rows = np.stack((docs[first], starts[first], starts[last] + LENGTH), 1).astype(np.int64)
+        cuts = np.searchsorted(group[first], np.arange(groups + 1))
+        filled = [g for g in range(groups) if cuts[g] < cuts[g + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([rows[cuts[g] : cuts[g + 1]].tobytes() for g in filled], pa.binary())], ["group", "covered"])
 
     for batch in batches:
         for bucket, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -551,13 +560,24 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, payload, covered, others) to finished documents."""
-    expand = zstandard.ZstdDecompressor()
+    """(group, doc_id, payload, covered) sorted by these to finished documents; a group's runs come first, without a doc_id."""
+    now, found, runs, expand = None, [], {}, zstandard.ZstdDecompressor()
     for batch in batches:
         rows = []
-        for doc_id, payload, covered, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs = np.frombuffer(b"".join([covered, *(others or ())]), np.int64).reshape(-1, 2)
-            rows.append(_result(doc_id, expand.decompress(payload), runs, keep_text))
+        for group, doc_id, payload, covered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group != now:
+                now, found, runs = group, [], None
+            if payload is None:
+                found.append(covered)
+                continue
+            if runs is None:
+                table = np.frombuffer(b"".join(found), np.int64).reshape(-1, 3)
+                table = table[np.argsort(table[:, 0], kind="stable")]
+                cuts = np.flatnonzero(np.concatenate(([True], table[1:, 0] != table[:-1, 0]))) if len(table) else []
+                runs = {int(table[a, 0]): table[a:b, 1:] for a, b in zip(cuts, np.append(cuts[1:], len(table)).astype(int), strict=True)}
+            own = np.frombuffer(covered, np.int64).reshape(-1, 2)
+            more = runs.get(doc_id)
+            rows.append(_result(doc_id, expand.decompress(payload), own if more is None else np.concatenate((own, more)), keep_text))
             if len(rows) >= 500:
                 yield _rows(rows)
                 rows = []
@@ -598,19 +618,19 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     copies = cut(ids.groupBy("sha").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper"))
     ids = ids.join(copies, "sha", "left").withColumn("copy", F.coalesce(F.expr(f"n_bytes >= {LENGTH} and doc_id > keeper"), F.lit(False)))
 
-    release(spark)
     offered = named.select(cid, "text").mapInArrow(partial(_offer, buckets=buckets), "bucket long, cids binary, counts binary, hashes binary")
     answers = offered.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "cid long, pack binary")
     packs = answers.groupBy("cid").agg(F.collect_list("pack").alias("packs"))
     live = cut(ids.where("not copy and doc_id is not null").join(packs, "cid", "left").select("doc_id", "sha", "n_bytes", "packs"))
     del offered, answers, packs
     asked = live.where("packs is not null").select("doc_id", "sha", "packs").dropDuplicates(["doc_id", "sha"])
-    release(spark)
     solved = cut(named.join(asked, ["doc_id", "sha"]).select("doc_id", "packs", "text").mapInArrow(partial(_solve, buckets=buckets, parts=parts, keep_text=keep_text), SOLVED))
-    release(spark)
     pieces = solved.where("kind = 'piece'").select("bucket", "n_bytes", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    merged = pieces.mapInArrow(_merge, "doc_id long, runs binary").groupBy("doc_id").agg(F.collect_list("runs").alias("others"))
-    finished = solved.where("kind = 'open'").select("doc_id", "payload", "covered").join(merged, "doc_id", "left").mapInArrow(partial(_finish, keep_text=keep_text), SOLVED)
+    merged = pieces.mapInArrow(partial(_merge, groups=parts), "group long, covered binary")
+    none = F.lit(None)
+    unfinished = solved.where("kind = 'open'").select(F.col("bucket").alias("group"), "doc_id", "payload", "covered")
+    unfinished = unfinished.union(merged.select("group", none.cast("long"), none.cast("binary"), "covered"))
+    finished = unfinished.repartition(parts, "group").sortWithinPartitions("group", F.col("doc_id").asc_nulls_first()).mapInArrow(partial(_finish, keep_text=keep_text), SOLVED)
     result = solved.where("kind = 'done'").union(finished).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
     zero = F.lit(0).cast("long")
     gone = ids.where("copy").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("" if keep_text else EMPTY).alias("kept"))

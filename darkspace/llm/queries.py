@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
+from . import mixing, near_dedup, neighbours, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op5_packing": packing.op5_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_token_counts": token_counts.op7_token_counts,

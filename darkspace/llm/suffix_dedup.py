@@ -22,8 +22,6 @@ PIECE = REACH + LENGTH
 SHARD, HELD = 2 << 20, 24 << 20
 #: Pieces that are merged at a time (all of an anchor together).
 MERGED = 1 << 15
-#: Symbols packed into a suffix's first key (9 bits each).
-FIRST = 7
 EMPTY = hashlib.sha256(b"").hexdigest()
 HASH_BYTES = 5
 
@@ -167,19 +165,19 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- a shard's suffix array ----------------------------------------------------------------------
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The suffixes of ``text`` (symbols below 512) in order.
+def suffix_array(text: np.ndarray, bits: int = 9) -> np.ndarray:
+    """The suffixes of ``text`` (symbols of so many bits) in order.
 
-    Larsson and Sadakane's refinement: suffixes are sorted by FIRST symbols;
+    Larsson and Sadakane's refinement: suffixes are sorted by as many symbols as a key holds;
     then, while a group of equal ones has several members, its members are
     sorted by the group of the suffix that begins where the compared part
     ends, so the compared depth doubles; groups of one are not touched again.
     """
-    n = len(text)
-    padded = np.concatenate((text.astype(np.int64), np.zeros(FIRST, np.int64)))
+    n, first = len(text), 63 // bits
+    padded = np.concatenate((text.astype(np.int64), np.zeros(first, np.int64)))
     keys = np.zeros(n, np.int64)
-    for k in range(FIRST):
-        keys = (keys << 9) | padded[k : k + n]
+    for k in range(first):
+        keys = (keys << bits) | padded[k : k + n]
     order = np.argsort(keys)
     rank = np.empty(n, np.int64)
     keys = keys[order]
@@ -187,7 +185,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     rank[order] = np.repeat(head, np.diff(np.append(head, n)))
     sizes = np.diff(np.append(head, n))
     slots = np.flatnonzero(np.repeat(sizes > 1, sizes))
-    reached = FIRST
+    reached = first
     while len(slots):
         members = order[slots]
         beyond = members + reached
@@ -214,8 +212,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lane: int =
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     before = np.where(place > 0, order[place - 1], -1)
-    padded = np.concatenate((text.astype(np.int16), np.full(most + 1, -1, np.int16)))
-    other = np.concatenate((text.astype(np.int16), np.full(most + 1, -2, np.int16)))
+    padded = np.concatenate((text, np.full(most + 1, -1))).astype(np.int32)
+    other = np.concatenate((text, np.full(most + 1, -2))).astype(np.int32)
     starts = np.arange(0, n, lane)
     length = np.zeros(len(starts), np.int64)
     out = np.zeros(n, np.int64)
@@ -590,7 +588,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     Every byte of a text's UTF-8 form goes that a string of LENGTH bytes
     covers which also starts in a document with a smaller id; all strings are
     judged on the input. ``kept`` is the SHA-256 of the bytes left or, with
-    ``keep_text``, the text left (bytes of a character that was cut go too).
+    ``keep_text``, the text left (bytes of a character that was cut go too;
+    null where the text has nothing in common with others, so nothing went).
 
     1. Anchors: the least gram of every string, packed by hash bucket, tells
        which grams occur in several different texts; the rest can't repeat.
@@ -635,10 +634,16 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     zero = F.lit(0).cast("long")
     gone = ids.where("copy").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("" if keep_text else EMPTY).alias("kept"))
     quiet = live.where("packs is null").select("doc_id", "sha", "n_bytes").union(ids.where("doc_id is null").select("doc_id", "sha", "n_bytes"))
-    if keep_text:
-        same = quiet.select("doc_id", "sha", "n_bytes").distinct().withColumnsRenamed({"doc_id": "q_id", "sha": "q_sha"})
-        quiet = named.join(same, (F.col("sha") == F.col("q_sha")) & F.col("doc_id").eqNullSafe(F.col("q_id"))).select("doc_id", F.col("text").alias("sha"), "n_bytes")
-    return result.union(gone).union(quiet.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept")))
+    unchanged = F.lit(None).cast("string") if keep_text else F.col("sha")
+    return result.union(gone).union(quiet.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), unchanged.alias("kept")))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the texts that ``remove_repeats`` leaves (pipeline form; rows that share an id should be gone)."""
+    changed = remove_repeats(docs, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("changed_id"), F.coalesce("kept", F.lit("")).alias("left_text")).dropDuplicates(["changed_id"])
+    joined = docs.join(changed, docs["doc_id"] == F.col("changed_id"), "left")
+    text = F.when(F.col("changed_id").isNull(), docs["text"]).otherwise(F.col("left_text"))
+    return joined.select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 
 def op8_suffix_dedup(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkspace.llm import mixing, near_dedup, packing, quality_classifier, suffix_dedup
+from darkspace.llm.common import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,6 +53,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))  # a stage reads its input more than once
+    return STAGES[-1][1](spark, docs, sf_dir)

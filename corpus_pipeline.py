@@ -9,6 +9,8 @@ from darkspace.llm import mixing, near_dedup, packing, quality_classifier, suffi
 from darkspace.llm.common import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that a packing worker remembers; workers also hold what earlier stages left in them.
+WORDS = 300_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memory=WORDS)
 
 
 STAGES = [

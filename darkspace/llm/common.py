@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 from collections.abc import Iterator
 
@@ -45,6 +48,24 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system, since Spark keeps Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(work):
+    """A function of mapInArrow that ends with ``tidy``."""
+
+    @functools.wraps(work)
+    def run(batches, *args, **options):
+        yield from work(batches, *args, **options)
+        tidy()
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

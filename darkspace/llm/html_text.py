@@ -132,22 +132,33 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
     return blocks
 
 
-PARSED = "page_id long, url string, host string, has_main boolean, text string, outside array<struct<open: boolean, text: string>>"
+PARSED = "page_id long, url string, host string, has_main boolean, outside array<struct<open: boolean, text: string>>"
+MAIN = "page_id long, url string, text string"
 _OUTSIDE = pa.list_(pa.struct([("open", pa.bool_()), ("text", pa.string())]))
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of pages that have a main part."""
     for batch in batches:
         for start, stop in slices(batch.column(3), 4 << 20):
-            texts, mains, outside = [], [], []
+            texts = []
+            for page in batch.column(3)[start:stop].to_pylist():
+                main = [t for z, t in blocks_of(page or "") if z == "main"]
+                texts.append("\n".join(main) if main else None)
+            found = pa.RecordBatch.from_arrays([batch.column(0)[start:stop], batch.column(1)[start:stop], pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            yield found.filter(found.column(2).is_valid())
+
+
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies outside the main parts."""
+    for batch in batches:
+        for start, stop in slices(batch.column(3), 4 << 20):
+            mains, outside = [], []
             for page in batch.column(3)[start:stop].to_pylist():
                 blocks = blocks_of(page or "")
-                main = [t for z, t in blocks if z == "main"]
-                mains.append(bool(main))
-                texts.append("\n".join(main))
+                mains.append(any(z == "main" for z, _ in blocks))
                 outside.append([{"open": z == "open", "text": t} for z, t in blocks if z != "main"])
-            own = [batch.column(k)[start:stop] for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(mains), pa.array(texts, pa.string()), pa.array(outside, _OUTSIDE)], ["page_id", "url", "host", "has_main", "text", "outside"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k)[start:stop] for k in range(3)), pa.array(mains), pa.array(outside, _OUTSIDE)], ["page_id", "url", "host", "has_main", "outside"])
 
 
 def _stream(blocks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,29 +213,28 @@ def _without(blocks: list[dict], of: np.ndarray, covered: np.ndarray) -> str:
     return "\n".join(out)
 
 
-SHARDED = "page_id long, url string, text string, n_boilerplate long"
-
-
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, common, page_id, url, has_main, text, outside) sorted by shard: one suffix array a shard."""
+    """Rows (shard, page_id, url, common, has_main, outside) sorted by shard: one suffix array a shard, the text of pages without a main part."""
     now, rows = None, []
 
     def solve() -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        streams = [_stream(r[5]) for r in rows]
+        streams = [_stream(r[4]) for r in rows]
         covered = repeated([s for s, _ in streams])
         out = []
-        for (page_id, url, common, has_main, text, outside), (tokens, of), hit in zip(rows, streams, covered, strict=True):
+        for (page_id, url, common, has_main, outside), (tokens, of), hit in zip(rows, streams, covered, strict=True):
+            if has_main:
+                continue
             if common and len(tokens) >= RUN:  # windows that other shards of the host have
                 windows = np.isin(window_hashes(tokens, RUN), np.frombuffer(b"".join(common), U64))
                 for k in range(RUN):
                     hit[k : k + len(windows)] |= windows
-            out.append((page_id, url, text if has_main else _without(outside, of, hit), int(hit.sum())))
+            out.append((page_id, url, _without(outside, of, hit)))
         rows.clear()
         for k in range(0, len(out), 2000):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out[k : k + 2000], strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_boilerplate"]
+                [pa.array(c, t) for c, t in zip(zip(*out[k : k + 2000], strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], ["page_id", "url", "text"]
             )
 
     for batch in batches:
@@ -272,41 +282,38 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (and n_boilerplate) of every row of ``pages`` (page_id, url, html).
+    """page_id, url, text, n_chars of every row of ``pages`` (page_id, url, html).
 
     A page's article, main part or content element is its text, without what
     its markup shows to be navigation, headers, footers, notices, adverts,
     forms, comments or hidden. On pages without such an element the text is
     what lies outside those, less the runs of RUN or more tokens that
-    different pages of the host share. The pages of a host (all that lies
-    outside main parts) form suffix arrays of SHARD_PAGES pages, so a host
-    with a third of all pages is many; where such a host has pages without a
-    main part, runs are matched across its arrays by hash, too.
+    different pages of the host share. For each host with such pages, what
+    lies outside the main parts of all its pages is sorted into suffix arrays
+    of SHARD_PAGES pages, so a host with a third of all pages is many; where a
+    host has several, runs are matched across them by hash, too. A run inside
+    a main part is text, however many pages share it.
 
     Blocks end at block elements; a line break is white space. Null and empty
     html give an empty text; repeated rows give equal rows; no rows give no
-    rows; extra columns are ignored. n_boilerplate counts the tokens outside
-    the main part that the host's pages share.
+    rows; extra columns are ignored.
     """
-    spark = pages.sparkSession
-    n = shuffle_partitions(spark)
+    n = shuffle_partitions(pages.sparkSession)
     named = with_host_and_path(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
-    parsed = cut(named.select("page_id", "url", "host", "html").mapInArrow(_parse, PARSED))
+    named = named.select("page_id", "url", "host", "html")
+    out = named.mapInArrow(_main, MAIN)
+    parsed = cut(named.mapInArrow(_outside, PARSED))
     hosts = parsed.groupBy("host").agg(F.ceil(F.count("*") / SHARD_PAGES).alias("shards"), F.expr("bool_or(not has_main)").alias("needed"))
-    large = cut(hosts.where("shards > 1"))
-    rows = parsed.join(large, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    split = rows.where("shards > 1 and needed")
-    binary = "cast(null as array<binary>) common"
-    if not split.isEmpty():
-        offered = split.select("host", "page_id", "outside").mapInArrow(partial(_windows, buckets=n), "host string, bucket long, page_id long, runs binary")
+    hosts = cut(hosts.where("needed").select("host", "shards"))
+    if not hosts.isEmpty():
+        rows = parsed.join(hosts, "host")
+        offered = rows.where("shards > 1").select("host", "page_id", "outside").mapInArrow(partial(_windows, buckets=n), "host string, bucket long, page_id long, runs binary")
         common = offered.repartition(n, "host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(_shared, "common_id long, runs binary")
         common = common.groupBy("common_id").agg(F.collect_list("runs").alias("common"))
-        rows = rows.join(common, F.col("page_id") == F.col("common_id"), "left")
-        binary = "common"
-    shard = F.concat_ws(" ", "host", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("string"))
-    dealt = rows.withColumn("shard", shard).selectExpr("shard", "page_id", "url", binary, "has_main", "text", "outside")
-    out = dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_clean, SHARDED)
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_boilerplate")
+        shard = F.concat_ws(" ", "host", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("string"))
+        dealt = rows.join(common, F.col("page_id") == F.col("common_id"), "left").withColumn("shard", shard).select("shard", "page_id", "url", "common", "has_main", "outside")
+        out = out.union(dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_clean, MAIN))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op3_html_text(spark, sf_dir):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, Words, as_bytes, cut, mix, shuffle_partitions, slices, window_hashes
+from .common import BASE, U64, Words, as_bytes, cut, mix, shuffle_partitions, slices, tidied, window_hashes
 from .graph import connected_components
 
 WIDTH = 5
@@ -56,6 +56,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 SKETCH = "doc_id long, n_shingles long, same_as long, keys binary"
 
 
+@tidied
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a document; of documents with equal sets in a task only the first by id has keys."""
     ids, sizes, sets, least, keys = [], [], [], {}, {}
@@ -79,6 +80,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@tidied
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Packs (key, id) by key; ids that share a key within the task are linked here and go on as their least."""
     for batch in batches:
@@ -111,6 +113,7 @@ def _edges(owners: np.ndarray, first: np.ndarray, tag: int) -> pa.RecordBatch:
     return _packed([-1 - tag], [pairs[:, 0].tobytes()], [pairs[:, 1].tobytes()])
 
 
+@tidied
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links the owners of equal keys, bucket by bucket (rows come sorted by bucket)."""
     now, keys, owners = None, [], []
@@ -173,6 +176,7 @@ def links_of(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
     return out
 
 
+@tidied
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, doc_id, shingles) come sorted by block; a block is compared as a whole."""
     now, ids, sets = None, [], []

@@ -38,11 +38,11 @@ class Encoder:
     SIGNS = rb"[!-&(-/:-@\[-`{-~]+"
     TOGETHER = 1000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -109,7 +109,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         words = Words(texts, lower=not any(b"<|" in t for t in texts))  # special strings keep their case
-        if len(self.index) > MEMORY:
+        if len(self.index) > self.memory:
             self._clear()
         distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
         keys = distinct.tolist()
@@ -168,10 +168,10 @@ class Bins:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, memory: int = MEMORY) -> DataFrame:
     """The pieces of every row of ``docs`` (doc_id, text) and their places in sequences of ``capacity`` tokens.
 
     A document's ids and a separator are cut by the binary digits of its
@@ -184,10 +184,11 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
 
     Null and empty texts are their separator alone. Repeated rows are packed
     as often as they occur. No rows give no rows. Extra columns are ignored.
+    A worker remembers the ids of ``memory`` distinct words (about 200 bytes each).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        encoder = _encoders.get((path, memory)) or _encoders.setdefault((path, memory), Encoder(path, memory))
         bins = Bins(TaskContext.get().partitionId(), capacity)
         tail = np.array([separator], "<u4")
         for batch in batches:

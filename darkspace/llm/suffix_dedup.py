@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, as_bytes, cut, mix, powers, prefix_sums, shuffle_partitions, slices
+from .common import BASE, U64, as_bytes, cut, mix, powers, prefix_sums, shuffle_partitions, slices, tidied
 
 #: A string of LENGTH bytes holds LENGTH - GRAM + 1 grams, of which the least by hash is its anchor.
 LENGTH, GRAM = 50, 20
@@ -21,7 +21,7 @@ PIECE = REACH + LENGTH
 #: Bytes of candidate text to a shard, and of whole texts held meanwhile.
 SHARD, HELD = 2 << 20, 24 << 20
 #: Pieces that are merged at a time (all of an anchor together).
-MERGED = 1 << 15
+MERGED = 1 << 13
 EMPTY = hashlib.sha256(b"").hexdigest()
 HASH_BYTES = 5
 
@@ -82,6 +82,7 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(U64)
 
 
+@tidied
 def _offer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """(cid, text) to packed (bucket, cids, counts, hashes); equal texts are offered once a task."""
     seen: set[int] = set()
@@ -127,6 +128,7 @@ def _offer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         yield flush()
 
 
+@tidied
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """To each text of a bucket those of its hashes that another text has too."""
     now, held = None, []
@@ -381,6 +383,7 @@ def _result(doc_id: int, text: bytes, runs: np.ndarray, keep_text: bool) -> tupl
     return ("done", None, doc_id, len(text), removed, spans, kept, None, None)
 
 
+@tidied
 def _solve(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, packs, text) to finished documents, unfinished ones and pieces for other shards."""
     shard, squeeze = Shard(parts), zstandard.ZstdCompressor(level=1)
@@ -510,6 +513,7 @@ def _group(docs: np.ndarray, groups: int) -> np.ndarray:
     return (mix(docs.astype(U64)) % U64(groups)).astype(np.int64)
 
 
+@tidied
 def _merge(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
     """(bucket, size, payload) sorted by bucket to (group of documents, their ids and runs)."""
     now, held, expand = None, [], zstandard.ZstdDecompressor()
@@ -557,6 +561,7 @@ def _merge(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Record
     yield from flush()
 
 
+@tidied
 def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
     """(group, doc_id, payload, covered) sorted by these to finished documents; a group's runs come first, without a doc_id."""
     now, found, runs, expand = None, [], {}, zstandard.ZstdDecompressor()

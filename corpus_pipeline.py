@@ -10,22 +10,27 @@ from darkspace.llm.common import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words that a packing worker remembers; workers also hold what earlier stages left in them.
-WORDS = 300_000
+WORDS = 150_000
+#: Rows that Python workers get at a time.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality; it learns from the labels of ``docs``."""
+    spark.conf.set(*BATCH)
     return quality_classifier.keep_quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of every group at similarity 0.8."""
+    spark.conf.set(*BATCH)
     kept = near_dedup.near_duplicates(docs, percent=80).where("kept").select("doc_id")
     return docs.select(*COLUMNS).join(kept.distinct(), "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte strings that an earlier document has."""
+    spark.conf.set(*BATCH)
     return suffix_dedup.without_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -36,6 +41,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
+    spark.conf.set(*BATCH)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memory=WORDS)

@@ -204,7 +204,12 @@ def _without(blocks: list[dict], of: np.ndarray, covered: np.ndarray) -> str:
     for k, block in enumerate(blocks):
         if not block["open"]:
             continue
-        keep = ~covered[of == k][1:]
+        hit = covered[of == k][1:]
+        if not hit.all():  # the tail of a run from the block before isn't a run of its own
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+            for a, b in edges.reshape(-1, 2).tolist():
+                hit[a:b] = b - a >= RUN - 1
+        keep = ~hit
         if keep.all():
             out.append(block["text"])
         elif keep.any():

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, slices
+from .common import Words, as_bytes, slices, tidied
 
 CAPACITY, SEPARATOR = 4096, 2
 #: Distinct words whose ids a worker remembers, and words looked up at a time.
@@ -187,6 +187,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int =
     A worker remembers the ids of ``memory`` distinct words (about 200 bytes each).
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get((path, memory)) or _encoders.setdefault((path, memory), Encoder(path, memory))
         bins = Bins(TaskContext.get().partitionId(), capacity)

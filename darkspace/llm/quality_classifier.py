@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, slices, tidied
 from .quality_rules import measure
 
 #: Rows of the training sample: at most so many trusted positives, and so many unlabelled.
@@ -95,6 +95,7 @@ def held_out(doc_id) -> Column:
 
 
 def _gather(rows: DataFrame) -> np.ndarray:
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(0)):
@@ -132,6 +133,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     are ignored.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(1)):
@@ -153,6 +155,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = [f.name for f in docs.schema.fields]
     place = names.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(place)):

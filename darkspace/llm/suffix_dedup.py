@@ -19,7 +19,7 @@ LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
 PIECE = REACH + LENGTH
 #: Bytes of candidate text to a shard, and of whole texts held meanwhile.
-SHARD, HELD = 2 << 20, 24 << 20
+SHARD, HELD = 1 << 20, 12 << 20
 #: Pieces that are merged at a time (all of an anchor together).
 MERGED = 1 << 13
 EMPTY = hashlib.sha256(b"").hexdigest()

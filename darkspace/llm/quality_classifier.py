@@ -15,7 +15,9 @@ from .quality_rules import measure
 
 #: Rows of the training sample: at most so many trusted positives, and so many unlabelled.
 SAMPLE = 4000
-STEPS, RATE, DECAY = 600, 0.05, 1e-4
+STEPS, RATE, DECAY = 600, 0.03, 2e-3
+#: Share of the unlabelled, about the prior, within which the cut is put where scores are sparsest.
+SLACK = 0.02
 SHAPES = 9
 
 
@@ -53,16 +55,21 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     are least dense against the positives, over the score's quantiles, they
     are taken to be positives only.
     """
-    x = np.vstack((positive, unlabelled)).astype(float)
-    y = np.concatenate((np.ones(len(positive)), np.zeros(len(unlabelled))))
-    x = np.hstack((x, np.ones((len(x), 1))))
-    score = x @ np.linalg.solve(x.T @ x + 1e-2 * np.eye(x.shape[1]), x.T @ y)
-    p, u = score[: len(positive)], score[len(positive) :]
+    halves = [(positive[k::2].astype(float), unlabelled[k::2].astype(float)) for k in (0, 1)]
+    p, u = [], []
+    for (p_fit, u_fit), (p_own, u_own) in (halves, halves[::-1]):  # scores of one half by the other's fit
+        x = np.vstack((p_fit, u_fit))
+        center, scale = x.mean(0), x.std(0) + 1e-3
+        x, y = (x - center) / scale, np.concatenate((np.ones(len(p_fit)), np.zeros(len(u_fit)))) - len(p_fit) / max(len(x), 1)
+        slope = np.linalg.solve(x.T @ x + 0.3 * len(x) * np.eye(x.shape[1]), x.T @ y)
+        p.append((p_own - center) / scale @ slope)
+        u.append((u_own - center) / scale @ slope)
+    p, u = np.concatenate(p), np.concatenate(u)
     edges = np.quantile(p, np.linspace(0.05, 0.6, 12))
     return float(np.clip(min((u >= e).mean() / max((p >= e).mean(), 1e-9) for e in edges), 0.05, 0.99))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, negative: np.ndarray | None = None) -> Model:
     """Minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) for the logistic loss.
 
     Where the second part turns negative, its gradient is ascended instead,
@@ -80,14 +87,39 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = No
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
         s_p, s_u = sigmoid(x_p @ w), sigmoid(x_u @ w)
-        negative = -np.log1p(-s_u + 1e-12).mean() + prior * np.log1p(-s_p + 1e-12).mean()
+        rest = -np.log1p(-s_u + 1e-12).mean() + prior * np.log1p(-s_p + 1e-12).mean()
         toward = x_u.T @ s_u / len(x_u) - prior * (x_p.T @ s_p) / len(x_p)
-        slope = prior * (x_p.T @ (s_p - 1)) / len(x_p) + toward if negative >= 0 else -toward
+        slope = prior * (x_p.T @ (s_p - 1)) / len(x_p) + toward if rest >= 0 else -toward
         slope = slope + DECAY * w
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     weights = w[:-1] / scale
-    return Model(weights, float(w[-1] - center @ weights), prior)
+    if negative is not None and len(negative):
+        cut = _boundary(x_p @ w, np.hstack(((negative - center) / scale, np.ones((len(negative), 1)))) @ w)
+    else:
+        cut = _cut(x_u @ w, prior)
+    return Model(weights, float(w[-1] - center @ weights - cut), prior)
+
+
+def _boundary(positive: np.ndarray, negative: np.ndarray) -> float:
+    """The middle of the widest gap that parts labelled scores with the least rates of error."""
+    order = np.argsort(np.concatenate((positive, negative)), kind="stable")
+    scores = np.concatenate((positive, negative))[order]
+    bad = order >= len(positive)
+    wrong = np.cumsum(~bad) / len(positive) + (len(negative) - np.cumsum(bad)) / len(negative)
+    gaps = np.where(wrong[:-1] <= wrong[:-1].min() + 1e-12, np.diff(scores), -1)
+    k = int(np.argmax(gaps))
+    return float((scores[k] + scores[k + 1]) / 2)
+
+
+def _cut(scores: np.ndarray, prior: float) -> float:
+    """Where to put the boundary: the widest gap of the unlabelled scores near the share that the prior says is negative."""
+    scores, n = np.sort(scores), len(scores)
+    a, b = (int(np.clip((1 - prior + side * SLACK) * n, 0, n - 1)) for side in (-1, 1))
+    if b - a < 2:
+        return 0.0
+    k = a + int(np.argmax(np.diff(scores[a : b + 1])))
+    return float((scores[k] + scores[k + 1]) / 2)
 
 
 def held_out(doc_id) -> Column:
@@ -109,20 +141,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on at most ``sample`` positives and ``sample`` unlabelled rows, the first by hash of the id.
 
     Labels of held-out rows are never used. Labelled rows other than the
-    positives, if any, serve the estimate of the class prior only: with both
-    classes labelled it is the share of label 1 among them.
+    positives, if any, don't train the weights; with both classes labelled the
+    class prior is the share of label 1, and the cut between the predictions
+    is put where it parts the labelled scores best.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null and doc_id is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out(F.col("doc_id")))
     marked = ids.join(known, "doc_id", "left").withColumn("h", F.xxhash64("doc_id"))
-    chosen = [marked.where(kind).orderBy("h", "doc_id").limit(sample).select("doc_id", F.lit(k).alias("k")) for k, kind in enumerate(("quality = 1", "quality is null"))]
+    chosen = [marked.where(kind).orderBy("h", "doc_id").limit(sample).select("doc_id", F.lit(k).alias("k")) for k, kind in enumerate(("quality = 1", "quality is null", "quality = 0"))]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * sample ids
-    positive, unlabelled = (_gather(both.where(f"k = {k}").select("text")) for k in (0, 1))
+    both = texts.join(F.broadcast(chosen[0].union(chosen[1]).union(chosen[2])), "doc_id")  # at most 3 * sample ids
+    positive, unlabelled, negative = (_gather(both.where(f"k = {k}").select("text")) for k in (0, 1, 2))
     shares = known.agg(F.avg(F.col("quality").cast("double")), F.count("*")).first()
     prior = float(shares[0]) if shares[1] and 0 < shares[0] < 1 else None
-    return train(positive, unlabelled, prior)
+    return train(positive, unlabelled, prior, negative)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -576,8 +576,9 @@ def _finish(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.R
             if runs is None:
                 table = np.frombuffer(b"".join(found), np.int64).reshape(-1, 3)
                 table = table[np.argsort(table[:, 0], kind="stable")]
-                cuts = np.flatnonzero(np.concatenate(([True], table[1:, 0] != table[:-1, 0]))) if len(table) else []
-                runs = {int(table[a, 0]): table[a:b, 1:] for a, b in zip(cuts, np.append(cuts[1:], len(table)).astype(int), strict=True)}
+                cuts = np.flatnonzero(np.concatenate(([True], table[1:, 0] != table[:-1, 0]))) if len(table) else np.empty(0, np.int64)
+                stops = np.append(cuts[1:], len(table))[: len(cuts)]
+                runs = {int(table[a, 0]): table[a:b, 1:] for a, b in zip(cuts.tolist(), stops.tolist(), strict=True)}
             own = np.frombuffer(covered, np.int64).reshape(-1, 2)
             more = runs.get(doc_id)
             rows.append(_result(doc_id, expand.decompress(payload), own if more is None else np.concatenate((own, more)), keep_text))

@@ -181,7 +181,8 @@ def repeated(streams: list[np.ndarray]) -> list[np.ndarray]:
     sizes = np.array([len(streams[k]) + 1 for k in kept])
     tokens = np.concatenate([np.append(streams[k], U64(0)) for k in kept])
     distinct, symbols = np.unique(tokens, return_inverse=True)
-    order = suffix_array(symbols, max(1, int(len(distinct)).bit_length()))
+    symbols = symbols + 1  # 0 is what lies beyond the end
+    order = suffix_array(symbols, int(len(distinct) + 1).bit_length())
     classes = np.cumsum(common_prefixes(symbols, order, RUN) < RUN) - 1
     owner = np.repeat(np.arange(len(kept)), sizes)
     to_end = np.repeat(np.cumsum(sizes) - 1, sizes) - np.arange(len(tokens))

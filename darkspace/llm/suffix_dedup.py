@@ -168,7 +168,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_array(text: np.ndarray, bits: int = 9) -> np.ndarray:
-    """The suffixes of ``text`` (symbols of so many bits) in order.
+    """The suffixes of ``text`` (symbols of so many bits; at its end no more than one 0) in order.
 
     Larsson and Sadakane's refinement: suffixes are sorted by as many symbols as a key holds;
     then, while a group of equal ones has several members, its members are

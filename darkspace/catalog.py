@@ -230,5 +230,5 @@ def _whole_scans(p: DataFrame) -> DataFrame:
 add("ttl_patterns", lambda p: ttl_shapes.describe(_whole_scans(p)))
 _values = lambda p: behaviour.principal_values(behaviour.features(p.where("proto = 17")), 8, 16)
 add("pc_values", _values)
-add("hausdorff", lambda p: behaviour.distances(_values(p), "hausdorff", 2, 40))
-add("clusters", lambda p: behaviour.clusters(behaviour.distances(_values(p), "spectral", 2, 40), "agglomerative", clusters=4))
+add("hausdorff", lambda p: behaviour.distances(_values(p), "hausdorff", 2))
+add("clusters", lambda p: behaviour.clusters(behaviour.distances(_values(p), "spectral", 2), "agglomerative", clusters=4))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COMPONENTS = "saddr long, ts_us long, " + ", ".join(f"val{k} double" for k in range(5)) + ", " + ", ".join(f"delta{k} double" for k in range(5))
+#: Sources in a block of pairs, and distances of rows that are held at a time.
+SOURCES, CELLS = 128, 1 << 18
 
 
 def fingerprint(flags: Column | None = None) -> Column:
@@ -118,29 +120,78 @@ def spectrum(x: np.ndarray, first: int) -> np.ndarray:
     return np.linalg.eigvalsh(np.diag(steps, 1) + np.diag(steps, -1))[:first]
 
 
-def distances(values: DataFrame, kind: str = "hausdorff", least: int = 20, sources: int = 500) -> DataFrame:
-    """a, b, distance of all pairs of at most ``sources`` sources (the first by hash) with ``least`` rows or more.
-
-    The number of sources is the operator's own bound, so the pairs are at most sources**2 / 2.
+def hausdorff_block(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """``hausdorff`` of every series of ``left`` and every one of ``right``, a few rows against all of ``right`` at a time."""
+    out = np.zeros((len(left), len(right)))
+    columns = np.ascontiguousarray(np.concatenate(right).T)
+    first = np.cumsum([0, *(len(b) for b in right)])[:-1]
+    step = max(1, CELLS // columns.shape[1])
+    for k, a in enumerate(left):
+        back = np.full(columns.shape[1], np.inf)
+        for r in range(0, len(a), step):
+            d = sum((x[:, None] - y) ** 2 for x, y in zip(a[r : r + step].T, columns, strict=True))
+            out[k] = np.maximum(out[k], np.minimum.reduceat(d, first, axis=1).max(0))
+            back = np.minimum(back, d.min(0))
+        out[k] = np.maximum(out[k], np.maximum.reduceat(back, first))
+    return np.sqrt(out)
+
+
+def spectral_block(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Distances of every two spectra, over the length of the shorter."""
+    out = np.zeros((len(left), len(right)))
+    width = np.array([len(b) for b in right])
+    padded = np.zeros((len(right), width.max()))
+    for k, b in enumerate(right):
+        padded[k, : len(b)] = b
+    for k, a in enumerate(left):
+        n = min(len(a), padded.shape[1])
+        gaps = np.where(np.arange(n) < width[:, None], a[:n] - padded[:, :n], 0)
+        out[k] = np.linalg.norm(gaps, axis=1)
+    return out
+
+
+def distances(values: DataFrame, kind: str = "hausdorff", least: int = 20, rows: int | None = None) -> DataFrame:
+    """a, b, distance of all pairs (a < b) of sources with ``least`` rows or more.
+
+    Blocks of about SOURCES sources meet blocks of sources, each two in one
+    group, so the groups grow in number with the input and not in size. The
+    pairs themselves are the square of the sources, half of it. ``rows`` bounds
+    a source's rows for "hausdorff" (the first by hash of their place); none
+    are left out without it.
     """
     names = [c.split()[0] for c in COMPONENTS.split(", ")[2:]]
     series = values.groupBy("saddr").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts_us", *names))).alias("rows")).where(F.col("n") >= least)
-    chosen = series.orderBy(F.xxhash64("saddr"), "saddr").limit(sources).select("saddr", F.transform("rows", lambda r: F.array(*(r[c] for c in names))).alias("x"))
-    pairs = chosen.withColumnsRenamed({"saddr": "a", "x": "xa"}).join(F.broadcast(chosen.withColumnsRenamed({"saddr": "b", "x": "xb"})), F.col("a") < F.col("b"))
+    x = F.transform("rows", lambda r: F.array(*(r[c] for c in names)))
+    if rows is not None and kind == "hausdorff":
+        placed = F.array_sort(F.transform(x, lambda r, k: F.struct(F.xxhash64(k).alias("h"), r.alias("x"))))
+        x = F.transform(F.slice(placed, 1, rows), lambda r: r["x"])
+    series = series.select("saddr", F.flatten(x).alias("x"))
+
+    @F.pandas_udf("array<double>")
+    def eigenvalues(own: pd.Series) -> pd.Series:
+        return pd.Series([spectrum(np.asarray(x, float).reshape(-1, len(names)), len(x)) for x in own])
+
+    if kind != "hausdorff":
+        series = series.select("saddr", eigenvalues("x").alias("x"))
+    context = values.sparkSession.sparkContext
+    series = series.checkpoint() if context.getCheckpointDir() else series.localCheckpoint()  # the number of blocks needs the number of sources
+    blocks = max(1, -(-series.count() // SOURCES))
+    own = F.pmod(F.xxhash64("saddr"), F.lit(blocks)).cast("int")
+    dealt = series.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "saddr", "x")
 
-    @F.pandas_udf("double")
-    def distance(xa: pd.Series, xb: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(xa, xb, strict=True):
-            a, b = np.array([*map(list, a)], float), np.array([*map(list, b)], float)
-            if kind == "hausdorff":
-                out.append(hausdorff(a, b))
-            else:
-                k = min(len(a), len(b))
-                out.append(float(np.linalg.norm(spectrum(a, k) - spectrum(b, k))))
-        return pd.Series(out)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        series_of = lambda part: [np.asarray(x, float).reshape(-1, len(names)) if kind == "hausdorff" else np.asarray(x, float) for x in part["x"]]
+        left, right = pdf[pdf["own"] == pdf["low"]], pdf[pdf["own"] == pdf["high"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "distance": []})
+        found = (hausdorff_block if kind == "hausdorff" else spectral_block)(series_of(left), series_of(right))
+        a, b = (v.ravel() for v in np.meshgrid(left["saddr"].to_numpy(), right["saddr"].to_numpy(), indexing="ij"))
+        once = a < b if pdf["low"].iloc[0] == pdf["high"].iloc[0] else a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "distance": found.ravel()[once]})
 
-    return pairs.select("a", "b", distance("xa", "xb").alias("distance"))
+    n = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "low", "high").groupBy("low", "high").applyInPandas(run, "a long, b long, distance double")
 
 
 def agglomerate(matrix: np.ndarray, clusters: int | None = None, threshold: float | None = None, linkage: str = "average") -> np.ndarray:
@@ -232,14 +283,17 @@ def davies_bouldin(x: np.ndarray, labels: np.ndarray) -> float:
 
 
 def clusters(pairs: DataFrame, kind: str = "agglomerative", **options) -> DataFrame:
-    """saddr, label from distances; the matrix has at most the 500 sources of ``distances``, so one task holds it."""
+    """saddr, label from distances of all pairs.
+
+    A merge or move looks at all distances, so one task holds the matrix of
+    all sources: 8 bytes a pair, and the pairs beside it (1500 sources: 18 MB).
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        place = {n: k for k, n in enumerate(names)}
+        names = np.union1d(pdf["a"], pdf["b"])
         m = np.zeros((len(names), len(names)))
-        for a, b, d in zip(pdf["a"], pdf["b"], pdf["distance"], strict=True):
-            m[place[a], place[b]] = m[place[b], place[a]] = d
+        a, b = np.searchsorted(names, pdf["a"]), np.searchsorted(names, pdf["b"])
+        m[a, b] = m[b, a] = pdf["distance"]
         labels = {"agglomerative": agglomerate, "mean_shift": mean_shift, "spectral": spectral}[kind](m, **options)
         return pd.DataFrame({"saddr": names, "label": labels})
 

@@ -195,6 +195,25 @@ def test_behaviour(spark):
     assert behaviour.hausdorff(x, x + 1) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("kind", ["hausdorff", "spectral"])
+def test_distances_of_all_sources_in_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(behaviour, "SOURCES", 150)
+    g = np.random.default_rng(3)
+    series = {1000 + s: g.random((int(g.integers(2, 7)) if s else 600, 10)) for s in range(520)}
+    columns = [c.split()[0] for c in behaviour.COMPONENTS.split(", ")]
+    values = spark.createDataFrame([(s, k, *map(float, r)) for s, x in series.items() for k, r in enumerate(x)] + [(1, 0, *[0.0] * 10)], columns)
+    got = {(r.a, r.b): r.distance for r in behaviour.distances(values, kind, 2).collect()}
+    assert set(got) == {(a, b) for a in series for b in series if a < b}
+    for a, b in [(1000, 1001), (1000, 1519), *((int(a), int(b)) for a, b in np.sort(g.choice(520, (200, 2)), axis=1) + 1000 if a < b)]:
+        k = min(len(series[a]), len(series[b]))
+        assert got[a, b] == pytest.approx(behaviour.hausdorff(series[a], series[b]) if kind == "hausdorff" else np.linalg.norm(behaviour.spectrum(series[a], k) - behaviour.spectrum(series[b], k)))
+    labels = behaviour.clusters(behaviour.distances(values, kind, 2), clusters=4).collect()
+    assert sorted(r.saddr for r in labels) == sorted(series)
+    if kind == "hausdorff":
+        few = behaviour.distances(values.where("saddr <= 1001"), kind, 2, rows=1).first().distance
+        assert np.isclose(few, np.linalg.norm(series[1000][:, None] - series[1001][None], axis=2)).any()
+
+
 def test_streams(spark, tmp_path):
     rng = random.Random(2)
     rows = [(1000 + k * 0.2, 1, off, 6, 23) for k, off in enumerate(rng.sample(range(8), 8) * 3)]

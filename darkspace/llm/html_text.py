@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -253,37 +254,43 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(host, page_id, outside) to packed hashes of a page's runs, by bucket."""
+    """(host, page_id, outside) to packed hashes of a page's runs, by bucket, with the hash of the page's whole stream."""
     for batch in batches:
         out = []
         for host, page_id, outside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = np.unique(window_hashes(_stream(outside)[0], RUN))
+            tokens = _stream(outside)[0]
+            stream = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+            found = np.unique(window_hashes(tokens, RUN))
             bucket = (found % U64(buckets)).astype(np.int64)
             for b in np.unique(bucket).tolist():
-                out.append((host, b, page_id, found[bucket == b].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["host", "bucket", "page_id", "runs"])
+                out.append((host, b, page_id, stream, found[bucket == b].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["host", "bucket", "page_id", "stream", "runs"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (host, bucket) to the runs that several of the bucket's pages have, for each such page."""
-    now, pages, runs = None, [], []
+    """Rows sorted by (host, bucket) to the runs that several different pages of the bucket have, for each such page.
+
+    Equal streams count as one page, as in ``repeated``.
+    """
+    now, pages, runs = None, [], {}
 
     def answer() -> Iterator[pa.RecordBatch]:
-        if len(pages) > 1:
-            flat = np.frombuffer(b"".join(runs), U64)
+        if len(runs) > 1:
+            flat = np.frombuffer(b"".join(runs.values()), U64)
             distinct, counts = np.unique(flat, return_counts=True)
             common = distinct[counts > 1]
-            out = [(p, own[np.isin(own, common)].tobytes()) for p, own in zip(pages, (np.frombuffer(r, U64) for r in runs), strict=True)]
+            shared = {s: own[np.isin(own, common)].tobytes() for s, own in ((s, np.frombuffer(r, U64)) for s, r in runs.items())}
+            out = [(p, shared[s]) for p, s in pages]
             out = [r for r in out if r[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["common_id", "runs"])
 
     for batch in batches:
-        for host, bucket, page_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for host, bucket, page_id, stream, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (host, bucket) != now:
                 yield from answer()
-                now, pages, runs = (host, bucket), [], []
-            pages.append(page_id)
-            runs.append(raw)
+                now, pages, runs = (host, bucket), [], {}
+            pages.append((page_id, stream))
+            runs[stream] = raw
     yield from answer()
 
 
@@ -313,7 +320,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     hosts = cut(hosts.where("needed").select("host", "shards"))
     if not hosts.isEmpty():
         rows = parsed.join(hosts, "host")
-        offered = rows.where("shards > 1").select("host", "page_id", "outside").mapInArrow(partial(_windows, buckets=n), "host string, bucket long, page_id long, runs binary")
+        offered = rows.where("shards > 1").select("host", "page_id", "outside").mapInArrow(partial(_windows, buckets=n), "host string, bucket long, page_id long, stream binary, runs binary")
         common = offered.repartition(n, "host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(_shared, "common_id long, runs binary")
         common = common.groupBy("common_id").agg(F.collect_list("runs").alias("common"))
         shard = F.concat_ws(" ", "host", F.pmod(F.xxhash64("page_id"), F.col("shards")).cast("string"))

@@ -229,6 +229,18 @@ def test_html(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies_on_a_host_of_several_shards(spark, monkeypatch):
+    shared = "<div>Home and news and all the other parts of this large old web site of ours</div>"
+    copy = "<div>" + " ".join(f"word{k}" for k in range(40)) + "</div>"
+    rows = [(k, f"http://g/{k}", f"<body>{shared}<div>story {k} of {k * 7} things</div></body>") for k in range(12)]
+    rows += [(k, f"http://g/{k}", f"<body>{shared}{copy}</body>") for k in range(20, 30)] + [(20, "http://g/20", f"<body>{shared}{copy}</body>")]
+    texts = {}
+    for pages in (2000, 4):  # one suffix array, and several
+        monkeypatch.setattr(html_text, "SHARD_PAGES", pages)
+        texts[pages] = sorted((r.page_id, r.text) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert texts[2000] == texts[4] == sorted((r[0], copy[5:-6] if r[0] >= 20 else f"story {r[0]} of {r[0] * 7} things") for r in rows)
+
+
 def test_neighbours(spark):
     x = np.random.default_rng(1).standard_normal((1500, 16))
     x[700:1200] = x[3]  # a third of all rows

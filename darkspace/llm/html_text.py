@@ -31,6 +31,10 @@ _ATTRIBUTE = re.compile(r"([a-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _DROP = frozenset("head nav footer aside form menu button dialog title label option legend fieldset".split())
+#: What may stand in a head; anything else ends it, as does text.
+_HEAD = frozenset("head html base basefont bgsound link meta title style script noscript noframes template".split())
+#: Elements whose presence shows that what holds them is the page, or a large part of it.
+_FRAME = frozenset("header nav footer aside h1".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 #: Elements that an implied end doesn't reach across.
@@ -51,86 +55,161 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _marks(name: str, raw: str) -> tuple[bool, bool, bool]:
-    """Whether an element is no article, is the main part, and is a header."""
+def _marks(name: str, raw: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is no article for certain, is none by its names or as a form, is the main part, and is a header.
+
+    Parts of names never speak against article, main, body and html.
+    """
     if not raw.strip():
-        return name in _DROP, name in ("article", "main"), name == "header"
+        return name in _DROP and name != "form", name == "form", name in ("article", "main"), name == "header"
     own = _attributes(raw)
     names = f"{own.get('class', '')} {own.get('id', '')}".lower().split()
     parts = {p for n in names for p in re.split(r"[-_]+", n)}
     roles = set(own.get("role", "").lower().split())
     hidden = "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I)
-    drop = name in _DROP or bool(parts & _NAMES or roles & _ROLES or hidden) and name not in ("html", "body")
+    named = name not in ("article", "main", "html", "body")
+    hard = name in _DROP and name != "form" or bool(roles & _ROLES or hidden) and name not in ("html", "body")
+    soft = name == "form" or bool(parts & _NAMES) and named
     main = name in ("article", "main") or bool(roles & {"main", "article"}) or own.get("itemprop", "").lower() == "articlebody"
     main = main or name in ("div", "section", "td") and any(n.replace("_", "-") in _MAIN_NAMES for n in names)
-    return drop, main and not drop, name == "header" or "header" in parts
+    return hard, soft, main and not hard, name == "header" or "header" in parts and named
 
 
-def blocks_of(page: str) -> list[tuple[str, str]]:
-    """The page's blocks in order as (zone, text): main, open (outside any main part) or drop."""
-    blocks: list[tuple[str, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, zone, and whether it is a dropped part of a line
-    zone, text, at, mute = "open", [], 0, False
-
-    def close() -> None:
-        if text:
-            joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
-            if joined:
-                blocks.append((zone if zone not in ("title", "bare") else "main" if zone == "title" else "drop", joined))
-            text.clear()
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not mute:
-            text.append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            if m[1]:
-                text.append(" ")
-            continue
-        if name not in _INLINE:
-            close()
-        elif name == "br":
-            text.append(" ")
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _WALLS and (name in _CLOSES or name in _INLINE):
-                    break
-            zone = stack[-1][1] if stack else "open"
-            mute = mute and any(x[2] for x in stack)
-            continue
-        if name in _CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _CLOSES[name]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _WALLS:
-                    break
+class _Reading:
+    """One pass over a page. Elements at the positions ``spared`` are not dropped for their names or as forms.
+
+    ``holders`` are the positions of elements dropped for these that hold a
+    main part, ``outer`` of outermost ones that are forms, lie in a main part
+    or hold what a page has once (_FRAME). ``body`` tells whether a main part
+    has text besides headings.
+    """
+
+    def __init__(self, page: str, spared: frozenset[int] = frozenset()):
+        self.blocks: list[tuple[str, str]] = []
+        self.holders: set[int] = set()
+        self.outer: set[int] = set()
+        self.body = False
+        self._read(page, spared)
+
+    def size(self, zone: str) -> int:
+        return sum(len(t) for z, t in self.blocks if z == zone)
+
+    def _read(self, page: str, spared: frozenset[int]) -> None:
+        # element, zone, whether it is a dropped part of a line, whether it drops for certain, and where it starts if for its names
+        stack: list[tuple[str, str, bool, bool, int]] = []
+        zone, text, at, mute = "open", [], 0, False
+
+        def close() -> None:
+            if text:
+                joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
+                if joined:
+                    self.blocks.append((zone if zone not in ("title", "bare") else "main" if zone == "title" else "drop", joined))
+                    self.body = self.body or zone == "main" and not any(x[0] in _HEADINGS for x in stack)
+                text.clear()
+
+        def leave(k: int) -> None:
+            nonlocal zone, mute
+            del stack[k:]
             zone = stack[-1][1] if stack else "open"
             mute = mute and any(x[2] for x in stack)
-        if name in _VOID or m[4].rstrip().endswith("/") and name in ("svg", "path"):
-            continue
-        drop, main, header = _marks(name, m[4])
-        quiet = drop and name in _INLINE and zone != "drop"
-        if quiet:
-            mute = True
-        elif zone != "drop":
-            if drop:
-                zone = "drop"
-            elif header and name not in _HEADINGS:
-                zone = "bare" if zone in ("main", "title", "bare") else "drop"  # of an article's header its headings stay
-            elif zone == "bare":
-                zone = "title" if name in _HEADINGS else "bare"
-            elif main:
-                zone = "main"
-        stack.append((name, zone, quiet))
-    if not mute:
-        text.append(page[at:])
-    close()
-    return blocks
+
+        for m in _TOKEN.finditer(page):
+            if m.start() > at and not mute:
+                if stack and stack[-1][0] == "head" and page[at : m.start()].strip():
+                    close()
+                    leave(len(stack) - 1)
+                text.append(page[at : m.start()])
+            at = m.end()
+            name = (m[3] or "").lower()
+            if not name:
+                if m[1]:
+                    text.append(" ")
+                continue
+            if name not in _INLINE:
+                close()
+            elif name == "br":
+                text.append(" ")
+            if m[2]:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == name:
+                        del stack[k:]
+                        break
+                    if stack[k][0] in _WALLS and (name in _CLOSES or name in _INLINE):
+                        break
+                leave(len(stack))
+                continue
+            if name not in _HEAD:
+                for k, x in enumerate(stack):
+                    if x[0] == "head":
+                        close()
+                        leave(k)
+                        break
+            if name in _CLOSES:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in _CLOSES[name]:
+                        del stack[k:]
+                        break
+                    if stack[k][0] in _WALLS:
+                        break
+                leave(len(stack))
+            if name in _VOID or m[4].rstrip().endswith("/") and name in ("svg", "path"):
+                continue
+            hard, soft, main, header = _marks(name, m[4])
+            if m.start() in spared:
+                soft, header = False, header and name == "header"
+            drop = hard or soft
+            by_names = -1 if hard or name in _INLINE else m.start() if soft or header and name not in ("header", *_HEADINGS) else -1
+            if zone in ("drop", "bare") or by_names >= 0:
+                above = [x[4] for x in stack if x[4] >= 0]
+                if not any(x[3] for x in stack):
+                    if main:
+                        self.holders.update(above)
+                        if by_names >= 0:
+                            self.holders.add(by_names)
+                    if name in _FRAME and above:
+                        self.outer.add(above[0])
+                    if by_names >= 0 and not above and (name == "form" or zone in ("main", "bare")):
+                        self.outer.add(by_names)
+            quiet = drop and name in _INLINE and zone != "drop"
+            if quiet:
+                mute = True
+            elif zone != "drop":
+                if drop:
+                    zone = "drop"
+                elif header and name not in _HEADINGS:
+                    zone = "bare" if zone in ("main", "title", "bare") else "drop"  # of an article's header its headings stay
+                elif zone == "bare":
+                    zone = "title" if name in _HEADINGS else "bare"
+                elif main:
+                    zone = "main"
+            stack.append((name, zone, quiet, hard, by_names))
+        if not mute:
+            if stack and stack[-1][0] == "head" and page[at:].strip():
+                leave(len(stack) - 1)
+            text.append(page[at:])
+        close()
+
+
+def blocks_of(page: str) -> list[tuple[str, str]]:
+    """The page's blocks in order as (zone, text): main, open (outside any main part) or drop.
+
+    Names such as "has-sidebar", and forms, may stand on what holds the whole
+    page. So where no main part has a text, those that hold one are read as if
+    they had no such name, unless more lies outside (then it was a teaser or
+    the like); and where nothing at all is left, the outermost ones.
+    """
+    first = _Reading(page)
+    if first.body:
+        return first.blocks
+    if first.holders:
+        second = _Reading(page, frozenset(first.holders))
+        if second.body and second.size("main") > first.size("open"):
+            return second.blocks
+    if first.outer and not first.size("open"):
+        third = _Reading(page, frozenset(first.outer))
+        if third.body or third.size("open"):
+            return third.blocks
+    return first.blocks
 
 
 PARSED = "page_id long, url string, host string, has_main boolean, outside array<struct<open: boolean, text: string>>"

@@ -241,6 +241,33 @@ def test_html_copies_on_a_host_of_several_shards(spark, monkeypatch):
     assert texts[2000] == texts[4] == sorted((r[0], copy[5:-6] if r[0] >= 20 else f"story {r[0]} of {r[0] * 7} things") for r in rows)
 
 
+def test_html_wide_names_and_open_heads():
+    main = lambda page: "\n".join(t for z, t in html_text.blocks_of(page) if z == "main")
+    story, side = "<h1>T</h1><p>story of some length</p>", "<div class='sidebar'>side</div>"
+    for page in (
+        f"<html><head><title>x</title><meta charset=utf-8><body><article>{story}</article>",
+        f"<head><title>x</title><link rel=a><article>{story}</article>",
+        f"<article class='post has-sidebar'>{story}{side}</article>",
+        f"<main class='no-sidebar'>{story}</main>{side}",
+        f"<article class='post comments-open'>{story}<section class='comments'><p>reader</p></section></article>",
+        f"<body class='has-header menu-open'><article class='has-header'>{story}</article>",
+        f"<div id='page' class='has-sidebar'>tag line<main>{story}</main>{side}</div>",
+        f"<div class='no-header'><div class='comments-open'><article>{story}</article></div>{side}</div>",
+        f"<main><h1>T</h1><div class='no-sidebar'><article><p>story of some length</p></article>{side}</div></main>",
+        f"<main><div class='layout no-sidebar'>{story}</div></main>",
+        f"<main><div class='layout no-header'>{story}</div></main>",
+        f"<form action=x><nav>menu</nav><article>{story}</article><label>name</label></form>",
+        f"<div class='post has-sidebar'>{story}</div>",
+        f"<article>{story}</article><div class='related'><article>a teaser that is longer than the story, by far</article></div>",
+    ):
+        assert main(page) == "T\nstory of some length", page
+    zone = lambda page: [(z, t) for z, t in html_text.blocks_of(page) if z != "drop"]
+    assert zone("<body><form><div>story</div><label>name</label></form>") == [("open", "story")]
+    assert zone("<head><title>x</title>alone") == [("open", "alone")]
+    assert zone("<p>a story without a main part</p><div class='related'><article>teaser</article></div>") == [("open", "a story without a main part")]
+    assert zone("<article class='hidden' hidden>x</article><nav><article>y</article></nav><div class='cookie-notice'>We use</div>") == []
+
+
 def test_neighbours(spark):
     x = np.random.default_rng(1).standard_normal((1500, 16))
     x[700:1200] = x[3]  # a third of all rows

@@ -22,10 +22,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of every group at similarity 0.8."""
+    """The smallest document of every group at similarity 0.8.
+
+    Rows without an id are documents of their own and all stay. Rows that share
+    an id are one document to near_duplicates, so one of them stays: the first
+    by text, language, source and number of characters, nulls first.
+    """
     spark.conf.set(*BATCH)
-    kept = near_dedup.near_duplicates(docs, percent=80).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept.distinct(), "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    kept = near_dedup.near_duplicates(docs.where("doc_id is not null"), percent=80).where("kept").select("doc_id")
+    own = docs.select(*COLUMNS)
+    again = cut(own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    named = own.where("doc_id is not null").join(kept.distinct(), "doc_id").select(*COLUMNS)
+    if not again.isEmpty():
+        rest = F.struct(*COLUMNS[1:])
+        repeated = named.join(again, "doc_id").groupBy("doc_id").agg(F.min(rest).alias("first")).select("doc_id", "first.*")
+        named = named.join(again, "doc_id", "left_anti").select(*COLUMNS).union(repeated.select(*COLUMNS))
+    return named.union(own.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

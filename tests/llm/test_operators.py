@@ -368,3 +368,17 @@ def test_pipeline(spark):
     assert set(cut) == set(unique) and all(len(r.text.encode()) <= expected[k][0] - expected[k][1] and r.n_chars == len(r.text) for k, r in cut.items())
     assert set(mixed) <= set(cut)
     assert pipeline.run(spark, DIR).count() > 0
+
+
+def test_pipeline_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as pipeline
+
+    other = "an entirely different text of a few words more"
+    rows = [(None, BASE, "en", "a", 1), (None, BASE, "en", "b", 1), (None, None, None, None, None), (1, BASE, "en", "a", 1), (2, BASE, "en", "a", 1)]
+    rows += [(3, other + " z", "en", "a", 1), (3, other + " b", "fr", "b", 1), (3, other + " b", "fr", "a", 1), (4, None, "en", "a", 0), (4, None, None, "a", 0)]
+    rows += [(5, None, "en", "a", 0), (5, "one of its own kind entirely here", "en", "a", 0)]
+    expected = rows[:4] + [rows[7], rows[9], rows[10]]
+    for k in (1, 3, 7):
+        docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, lang string, source string, n_chars long").repartition(k)
+        got = pipeline.near_copies(spark, docs, "")
+        assert tuple(got.columns) == pipeline.COLUMNS and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))

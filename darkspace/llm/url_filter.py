@@ -26,6 +26,7 @@ INLINE_RULES = 200
 
 _LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\x22']?\s*canonical\b[^>]*>"
 _META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\x22']?\s*refresh\b[^>]*>"
+_BASE = r"(?is)<base\b[^>]*\bhref\s*=[^>]*>"
 
 
 def _rest(url: Column) -> Column:
@@ -73,28 +74,64 @@ def apply_rules(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFra
     return df.join(fitting, ["host", "path"], "left").withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.rule_verdict")).drop("best")
 
 
+def _value(tag: Column, name: str) -> Column:
+    """An attribute's value, which a quote ends that began it."""
+    found = [F.nullif(F.regexp_extract(tag, rf"(?is)[\s\x22'/]{name}\s*=\s*{value}", 1), F.lit("")) for value in (r"\x22([^\x22>]*)", r"'([^'>]*)", r"([^\x22'\s>][^\s>]*)")]
+    return F.coalesce(*found)
+
+
+def _plain(text: Column) -> Column:
+    for name, sign in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return F.regexp_replace(text, r"^\s+|\s+$|[\t\r\n]", "")
+
+
+def _refresh(content: Column) -> Column:
+    """The target of a refresh: after seconds, a separator and ``url=``; a quote that begins it ends it."""
+    rest = F.regexp_extract(_plain(content), r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*(.*)$", 1)
+    return F.when(rest.rlike("^[\x22']"), F.regexp_extract(rest, r"(?s)^([\x22'])(.*?)(?:\1|$)", 2)).otherwise(rest)
+
+
+def _resolved(target: Column, base: Column) -> Column:
+    """``target`` as an absolute url, seen from ``base``; null where it is empty or of a scheme without ``//``."""
+    site, scheme = F.regexp_extract(base, "^(.*?://[^/?#]*)", 1), F.regexp_extract(base, "^(.*?:)//", 1)
+    path = F.regexp_extract(base, "^.*?://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1)
+    own, more = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "^[^?#]*(.*)$", 1)
+    full = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_extract(path, "^(.*)/", 1), F.lit("/"), own))
+    steps = F.slice(F.split(full, "/"), 2, 1 << 30)
+    kept = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)),
+    )
+    last = F.when(F.element_at(steps, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    return (
+        F.when(F.coalesce(target, F.lit("")) == "", None)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(own == "", F.concat(site, path, F.when(more.startswith("?"), more).otherwise(query)))
+        .otherwise(F.concat(site, F.lit("/"), F.array_join(last, "/"), more))
+    )
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(u, v): keys of urls that a canonical link or a refresh makes equivalent.
 
-    Relative targets that begin with a slash belong to the page's host; other
-    relative targets, and pages without a url, give no edge.
+    Relative targets are resolved against the page's first base href, itself
+    resolved against the page's url, or else against that url. Targets of
+    other schemes (without ``//``), empty ones, and pages without a url give
+    no edge.
     """
     tags = F.concat(F.regexp_extract_all("html", F.lit(_LINK), 0), F.regexp_extract_all("html", F.lit(_META), 0))
     marked = pages.where(F.col("html").rlike("(?i)canonical|refresh") & (F.instr("url", "://") > 0))
-    found = marked.select("url", F.explode(tags).alias("tag"))
-    target = F.coalesce(
-        F.nullif(F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\x22']?([^\x22'\s>]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract("tag", r"(?is)\burl\s*=\s*([^\x22'\s>;]+)", 1), F.lit("")),
-    )
-    target = F.replace(target, F.lit("&amp;"), F.lit("&"))
-    base = F.regexp_extract("url", "^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("url", "^(.*?:)//", 1)
-    found = found.withColumn("target", target)
-    absolute = (
-        F.when(F.instr("target", "://") > 0, F.col("target"))
-        .when(F.col("target").startswith("//"), F.concat(scheme, F.col("target")))
-        .when(F.col("target").startswith("/"), F.concat(base, F.col("target")))
-    )
+    found = marked.select("url", F.regexp_extract("html", _BASE, 0).alias("base"), F.explode(tags).alias("tag"))
+    is_link = F.col("tag").rlike("(?i)^<link")
+    target = F.when(is_link, _value(F.col("tag"), "href")).otherwise(_refresh(_value(F.col("tag"), "content")))
+    found = found.select("url", _plain(_value(F.col("base"), "href")).alias("base"), _plain(target).alias("target"))
+    found = found.withColumn("base", F.coalesce(_resolved(F.col("base"), F.col("url")), F.col("url")))
+    absolute = _resolved(F.col("target"), F.col("base"))
     return found.select(_key(F.col("url")).alias("u"), absolute.alias("url")).where("url is not null").select("u", _key(F.col("url")).alias("v")).where("u != v").distinct()
 
 

@@ -214,6 +214,24 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_alias_targets(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    refresh = lambda c: f'<meta http-equiv="refresh" content="{c}">'
+    cases = [
+        (refresh("0; url='http://x.net/es/1'"), "x.net/es/1"), (refresh("0;URL=http://x.net/es;v=1"), "x.net/es;v=1"), (refresh("5; url='http://x.net/a;b c'; z"), "x.net/a;b c"),
+        ("<meta http-equiv=refresh content='0; url=\"http://x.net/2\"'>", "x.net/2"), (refresh("0; url=&quot;/s?a=1&amp;b=2&quot;"), "a.org/s?a=1&b=2"), (refresh("30"), None),
+        (link("page.html"), "a.org/p/q/page.html"), (link("?id=1"), "a.org/p/q/r.html?id=1"), (link("../x"), "a.org/p/x"), (link("../../../x/./y/.."), "a.org/x/"), (link("."), "a.org/p/q/"),
+        (link("#top"), None), (link(""), None), (link("mailto:me@x"), None), (link("//b.org/z"), "b.org/z"), (link("/z"), "a.org/z"), (link("HTTPS://B.org/it's"), "b.org/it's"),
+        (link("s?u=http://c.org/"), "a.org/p/q/s?u=http://c.org/"), ('<base href="/base/">' + link("y"), "a.org/base/y"), ("<BASE href='http://d.org'>" + link("y"), "d.org/y"), ("<link href=y.html rel=canonical>", "a.org/p/q/y.html"),
+    ]
+    pages = [(k, f"http://A.org/p/q/r.html?x={k}#f", html) for k, (html, _) in enumerate(cases)]
+    got = {r.u: r.v for r in url_filter.alias_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {f"a.org/p/q/r.html?x={k}": v for k, (_, v) in enumerate(cases) if v}
+    rows = [(1, "http://x.net/es/1", ""), (2, "http://m.org/a", refresh("0; url='http://x.net/es/1'")), (3, "http://m.org/b", link("a"))]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block"}
+
+
 PAGE = """<html><head><title>x</title></head><body><header class="site"><h1>Site</h1></header><nav>menu</nav><div class="cookie-notice">We use</div>
 <article><header><h1>T &amp; U</h1><p>By A</p></header><p>One <span class="ad-slot">BUY</span>two<br>three &nbsp; four<p>Five<div class="share-buttons">Share</div><aside>rel</aside>
 <ul><li>a<li>b</ul><form>mail</form><blockquote>q</blockquote><!-- c --><script>var t="</p>";</script><section class="comments"><p>reader</p></section></article><footer>&copy;</footer></body>"""

@@ -216,18 +216,7 @@ add("fingerprint_entropy", lambda p: p.where("proto = 17").select("pindx", behav
 add("pattern_having", lambda p: p.groupBy("ttl").agg(F.count("*").alias("n")).where("n > 9"), "SELECT ttl, count(*) AS n FROM packets GROUP BY ttl HAVING count(*) > 9")
 add("horizontal_scans", lambda p: scans.horizontal_scans(p, 28, 120), source=syn.probes)
 add("result_lines", lambda p: counts.to_text(counts.count_query(p, "PAS24", DAY, top=3), "PAS24", tag=True))
-
-
-def _whole_scans(p: DataFrame) -> DataFrame:
-    """Complete scans of a /24 whose values follow the host's place in the 16 x 16 grid."""
-    spark = p.sparkSession
-    k, off = F.floor(F.col("id") / 256), F.col("id") % 256
-    ttl = 50 + (F.floor(off / 8) + F.when(k % 2 == 0, off % 2).otherwise(F.floor(off / 128))) % 2
-    rows = spark.range(0, 256 * 40).select(F.col("id").alias("pindx"), (3000000000 + k).alias("saddr"), (167837696 + off).alias("daddr"), F.lit(6).alias("proto"), F.lit(1024).alias("sport"), F.lit(23).alias("dport"), F.lit(0).alias("ipid"), ttl.cast("int").alias("ttl"), (F.col("id") * 1000).alias("ts_us"))
-    return scans.horizontal_scans(rows, 24, 120)
-
-
-add("ttl_patterns", lambda p: ttl_shapes.describe(_whole_scans(p)))
+add("ttl_patterns", lambda p: ttl_shapes.describe(scans.horizontal_scans(p, 24, 120)), source=syn.sweeps)
 _values = lambda p: behaviour.principal_values(behaviour.features(p.where("proto = 17")), 8, 16)
 add("pc_values", _values)
 add("hausdorff", lambda p: behaviour.distances(_values(p), "hausdorff", 2))

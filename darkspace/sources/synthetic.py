@@ -1,4 +1,4 @@
-"""Packets, probes and fragments derived from plain business tables, for tests and benchmarks."""
+"""Packets, probes, sweeps and fragments derived from plain business tables, for tests and benchmarks."""
 
 from __future__ import annotations
 
@@ -32,6 +32,13 @@ PLACES = """
 SELECT DISTINCT CAST((CAST(c_custkey AS BIGINT)*2654435761) % 4294967296 AS BIGINT) AS saddr, n_name AS country, r_name AS region, c_mktsegment AS city,
  CAST(c_custkey % 40 AS BIGINT) AS asn FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey"""
 
+#: Every 256 events are one source's sweep of a /24; its TTLs follow the 16 x 16 grid in one of four ways, but for some events' users.
+SWEEPS = """
+SELECT pindx, CAST(3000000000 + k AS BIGINT) AS saddr, CAST(167837696 + 256 * (k % 16) + o AS BIGINT) AS daddr, 6 AS proto, 1024 AS sport, 23 AS dport, 0 AS ipid,
+ CAST(50 + CASE WHEN user_id % 211 = 0 THEN 9 WHEN k % 4 = 0 THEN (o div 8 + o) % 2 WHEN k % 4 = 1 THEN (o div 8 + o div 128) % 2 WHEN k % 4 = 2 THEN o div 16 % 2 ELSE user_id % 3 END AS INT) AS ttl,
+ 1704067200000000 + pindx * 1000 AS ts_us
+FROM (SELECT event_id AS pindx, user_id, event_id div 256 AS k, (event_id * 37) % 256 AS o FROM {events})"""
+
 _TABLES = ("events", "lineitem", "customer", "nation", "region", "part", "documents")
 
 
@@ -52,6 +59,10 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spark(spark, PROBES, sf_dir)
 
 
+def sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spark(spark, SWEEPS, sf_dir)
+
+
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spark(spark, FRAGMENTS, sf_dir)
 

@@ -183,6 +183,16 @@ def test_shapes():
     assert ttl_shapes.normalized([2, 2, 2, 6]) == [1, 1, 1, 5] and ttl_shapes.ranks([3, 3, 3, 10]) == [0, 0, 0, 1]
 
 
+def test_ttl_patterns_follow_the_input(spark, tmp_path):
+    from darkspace import catalog
+
+    for n in (2, 5):
+        events = spark.range(0, 256 * n + 100).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 1000 + 1).alias("user_id"))
+        events.repartition(3).write.parquet(str(tmp_path / f"{n}" / "events.parquet"))
+        got = sorted(catalog.QUERIES["ttl_patterns"](spark, str(tmp_path / f"{n}")).collect())
+        assert [r.src for r in got] == [3000000000 + k for k in range(n)] and any(r.pattern for r in got)
+
+
 def test_behaviour(spark):
     rows = spark.createDataFrame([("aabb", "abcc"), ("aaaa", "aaaa")], "a string, b string")
     got = [tuple(r) for r in rows.select(behaviour.entropy(F.col("a")), behaviour.divergence(F.col("a"), F.col("b")), behaviour.cosine(F.col("a"), F.col("b"))).collect()]

@@ -143,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     Labels of held-out rows are never used. Labelled rows other than the
     positives, if any, don't train the weights; with both classes labelled the
     class prior is the share of label 1, and the cut between the predictions
-    is put where it parts the labelled scores best.
+    is put where it parts the labelled scores best. Without unlabelled rows all
+    labelled rows serve as the unlabelled sample. Without a row labelled 1
+    nothing can be learnt: the model is constant and predicts 1 throughout.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null and doc_id is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -153,6 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     both = texts.join(F.broadcast(chosen[0].union(chosen[1]).union(chosen[2])), "doc_id")  # at most 3 * sample ids
     positive, unlabelled, negative = (_gather(both.where(f"k = {k}").select("text")) for k in (0, 1, 2))
+    if not len(unlabelled):
+        every = marked.where("quality is not null").orderBy("h", "doc_id").limit(sample).select("doc_id")
+        unlabelled = _gather(texts.join(F.broadcast(every), "doc_id").select("text"))
     shares = known.agg(F.avg(F.col("quality").cast("double")), F.count("*")).first()
     prior = float(shares[0]) if shares[1] and 0 < shares[0] < 1 else None
     return train(positive, unlabelled, prior, negative)

@@ -339,6 +339,17 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.score(docs, model).count() == len(ROWS) and quality_classifier.score(empty, model).count() == 0
 
 
+def test_quality_classifier_without_unlabelled_rows(spark):
+    good = lambda k: " ".join(f"plain words of text number {k} go on like this" for _ in range(1 + k % 3))
+    bad = lambda k: "### $$$ BUY | NOW & WIN *** " * (2 + k % 3) + str(k)
+    d = spark.createDataFrame([(k, bad(k) if k % 2 else good(k)) for k in range(200)], "doc_id long, text string")
+    labels = d.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"))
+    rows = quality_classifier.score(d, quality_classifier.fit(d, labels)).collect()
+    assert sum(r.predicted == 1 - r.doc_id % 2 for r in rows) >= 190
+    rows = quality_classifier.score(d, quality_classifier.fit(d, labels.where("quality = 0"))).collect()
+    assert all(r.predicted == 1 for r in rows)  # nothing labelled 1: a constant model, as fit says
+
+
 def test_pu_prior_and_risk():
     g = np.random.default_rng(0)
     width = quality_classifier.SHAPES + 256

@@ -307,6 +307,35 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("false")).count() == 0
 
 
+def test_neighbours_of_mixed_lengths_and_large_components(spark):
+    x = np.random.default_rng(2).standard_normal((300, 8))
+    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)]
+    rows += [(1000 + 20 * k, [1.0] * 5) for k in range(9)] + [(2000, [1e200, -1e200] + [0.0] * 6), (2001, [1e-300] * 8), (2002, [])] + rows[:40]
+    best = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), recall=1.0).collect():
+        best.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    whole = {k: np.array(v) for k, v in rows if len(v) == 8}
+    assert sorted(best) == [k for k in sorted(whole) if k % 20 == 0]
+    for q, found in best.items():
+        exact = sorted((-float(whole[q] @ v), k) for k, v in whole.items() if k != q)
+        assert [k for _, k in exact[:1]] == [k for p, k in sorted(found)][:1] and [p for p, _ in sorted(found)] == list(range(1, 21))
+        assert len({k for _, k in exact[:20]} & {k for _, k in found}) >= 18
+
+
+def test_neighbours_split_a_hot_slot(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    x = np.vstack((g.standard_normal((200, 12)), g.standard_normal(12) + 0.05 * g.standard_normal((800, 12))))  # most vectors point one way
+    df = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<float>")
+    lists = {}
+    for split in (4, 1 / 400):
+        monkeypatch.setattr(neighbours, "SPLIT", split)
+        lists[split] = sorted(map(tuple, neighbours.nearest(df).select("query_id", "rank", "vec_id").collect()))
+    assert lists[4] == lists[1 / 400] and len(lists[4]) == 1000
+    x = x.astype(np.float32).astype(float)
+    hits = sum(v in np.argsort(-np.where(np.arange(1000) == q, -np.inf, x @ x[q]))[:20] for q, _, v in lists[4])
+    assert hits >= 900
+
+
 def test_quality_rules(docs, empty):
     got = {r.doc_id: r for r in quality_rules.judge(quality_rules.ledger(docs)).collect()}
     for doc_id, text, *_ in ROWS:

@@ -1,8 +1,8 @@
-"""Exact token counts by a compiled finite-state pre-tokenizer with counted emissions."""
+"""Exact token counts by compiled finite-state transducers with counted emissions."""
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, prefix_sums, range_hashes, slices
+from .common import as_bytes, slices
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -23,8 +23,10 @@ STATES = 13
 HERE, BEFORE = 1, 2
 #: Characters whose state maps are composed at a time.
 CHUNK = 256
-#: Distinct pre-tokens whose counts a worker remembers.
-MEMORY = 1_000_000
+#: Distinct pre-tokens whose counts a worker remembers, and states of the merges that it keeps.
+MEMORY, STATES_KEPT = 500_000, 200_000
+#: Characters of a long text that are worked on at a time.
+LONG = 1 << 20
 
 
 def _compile() -> tuple[np.ndarray, np.ndarray]:
@@ -119,42 +121,171 @@ def states_before(classes: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
+class MergeTransducer:
+    """A deterministic transducer over the bytes of a pre-token whose transitions carry the change of its token count.
+
+    Byte-pair encoding keeps every prefix's last token: the last token of a
+    longer prefix is the one token that ends there and may follow the last
+    token of what is before it. Two tokens may follow each other if no merge
+    crosses their border. So a state need only hold, for each place where a
+    token still growing may have begun, how far it has grown (a node of the
+    tokens' tree), the token that ended there, and how many tokens the prefix
+    has more than it had there. These are finitely many; states and
+    transitions are compiled when first reached and dropped beyond MEMORY.
+    """
+
+    def __init__(self, merges: list[tuple[bytes, bytes]]):
+        numbers = {bytes([b]): b for b in range(256)}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.born, self.halves = [-1] * 256, [(0, 0)] * 256
+        useful = [True] * 256
+        for rank, (left, right) in enumerate(merges):
+            if left not in numbers or right not in numbers or left + right in numbers:
+                raise ValueError("merges must build each token once, from earlier ones")
+            pair = numbers[left], numbers[right]
+            numbers[left + right] = len(self.born)
+            useful.append(useful[pair[0]] and useful[pair[1]] and self._apart(*pair, rank))
+            self.rank[pair] = rank
+            self.born.append(rank)
+            self.halves.append(pair)
+        self.children: dict[int, int] = {}
+        self.token = [-1]
+        for raw, number in numbers.items():
+            if useful[number]:
+                node = 0
+                for byte in raw:
+                    key = node << 8 | byte
+                    node = self.children.get(key) or self.children.setdefault(key, self._node())
+                self.token[node] = number
+        self.inner = {key >> 8 for key in self.children}
+        self._clear()
+
+    def _node(self) -> int:
+        self.token.append(-1)
+        return len(self.token) - 1
+
+    def _clear(self) -> None:
+        start = ((0, -1, 0),)
+        self.numbers, self.states = {start: 0}, [start]
+        self.table: dict[int, int] = {}
+        self.follows: dict[tuple[int, int], bool] = {}
+
+    def _apart(self, left: int, right: int, before: float = float("inf")) -> bool:
+        """Whether no merge of a rank less than ``before`` crosses the border of two tokens.
+
+        The merges that made the two are undone, latest first; at each stage a
+        merge of what then meets at the border would have come earlier if its
+        rank is less, and of equal ranks the leftmost comes first.
+        """
+        while True:
+            if self.rank.get((left, right), before) < before:
+                return False
+            first, second = self.born[left], self.born[right]
+            if first < 0 and second < 0:
+                return True
+            if first > second:
+                before, left = first, self.halves[left][1]
+            else:
+                before, right = second + 1, self.halves[right][0]
+
+    def _compile(self, state: int, byte: int) -> int:
+        growing, last, gain = [], -1, 0
+        for node, ended, more in self.states[state]:
+            child = self.children.get(node << 8 | byte)
+            if child is None:
+                continue
+            growing.append((child, ended, more))
+            token = self.token[child]
+            if token >= 0 and last < 0:
+                fits = ended < 0 or self.follows.get((ended, token))
+                if fits is None:
+                    fits = self.follows[ended, token] = self._apart(ended, token)
+                if fits:
+                    last, gain = token, 1 - more
+        to = (*((node, ended, more + gain) for node, ended, more in growing if node in self.inner), (0, last, 0))
+        number = self.numbers.get(to)
+        if number is None:
+            number = self.numbers[to] = len(self.states)
+            self.states.append(to)
+        value = self.table[state << 8 | byte] = number << 12 | gain + 2048
+        return value
+
+    def count(self, raw: bytes) -> int:
+        """The number of tokens of a pre-token."""
+        if len(self.states) > STATES_KEPT:
+            self._clear()
+        state, n, table = 0, 0, self.table
+        for byte in raw:
+            value = table.get(state << 8 | byte) or self._compile(state, byte)
+            state = value >> 12
+            n += (value & 4095) - 2048
+        return n
+
+
+def read_merges(path: str) -> tuple[list[tuple[bytes, bytes]], list[str]]:
+    """The merges, as bytes, and the added tokens of a file; a ValueError if its rules are not those compiled here."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, cutter = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or file.get("normalizer") or file.get("truncation") or file.get("padding"):
+        raise ValueError(f"{path}: not a plain byte-level BPE file")
+    if cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+        raise ValueError(f"{path}: its pre-tokenizer is not the byte-level one that this transducer compiles")
+    if any(t.get(k) for t in file.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path}: added tokens that take neighbouring characters are not supported")
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255
+    letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    return [tuple(bytes(letters[c] for c in half) for half in pair) for pair in pairs], [t["content"] for t in file.get("added_tokens", ())]
+
+
+#: Where a long text may be cut: a pre-token begins there whatever came before, and nothing before is looked back at.
+_SAFE = regex.compile(r"\S(?=\s\S)|\p{L}(?=[^\s\p{L}\p{N}'])")
+
+
 class Counter:
-    """Token counts of texts under a byte-level BPE file of the ``tokenizers`` library.
+    """Token counts of texts under a byte-level BPE file, by two transducers and without the library's encoder.
 
-    The transducer cuts a text into pre-tokens; the number of tokens that a
-    pre-token emits is compiled when it is first met, by the library's merges,
-    and kept (the last ``MEMORY`` distinct ones or so). Special strings inside
-    a text count one token each, as is the library's default.
+    The first cuts a text into pre-tokens; the second, restarted at every
+    cut, counts the tokens of each. Counts of pre-tokens met before are kept,
+    by the pre-token itself. Added tokens inside a text count one each, as is
+    the library's default.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        merges, special = read_merges(path)
+        self.merger = MergeTransducer(merges)
+        self.special = sorted(special, key=len, reverse=True)
         self.pattern = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.weights: dict[int, int] = {}
+        self.weights: dict[str, int] = {}
 
-    def _weights(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.weights) + len(keys) > MEMORY:
+    def _weight(self, piece: str) -> int:
+        if len(self.weights) >= MEMORY:
             self.weights.clear()
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        self.weights.update(zip(keys.tolist(), (len(e) for e in encoded), strict=True))
+        n = self.weights[piece] = self.merger.count(piece.encode())
+        return n
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        specials = np.zeros(len(texts), np.int64)
+        out = np.zeros(len(texts), np.int64)
         parts, owner = [], []
         for k, text in enumerate(texts):
             cutting = self.pattern is not None and any(s in text for s in self.special)
             pieces = self.pattern.split(text) if cutting else [text]
-            specials[k] = len(pieces) - 1
-            parts += pieces
-            owner += [k] * len(pieces)
+            out[k] = len(pieces) - 1
+            for piece in pieces:
+                at = 0
+                while len(piece) - at > LONG and (safe := _SAFE.search(piece, at + LONG)):
+                    out[k] += self._count([piece[at : safe.end()]])[0]
+                    at = safe.end()
+                parts.append(piece[at:])
+                owner.append(k)
+        np.add.at(out, owner, self._count(parts))
+        return out
+
+    def _count(self, parts: list[str]) -> np.ndarray:
         joined = "\0".join(["", *parts, ""])
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        classes = _class_table()[points]
+        classes = _class_table()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
         ends = np.cumsum([0, *(len(p) + 1 for p in parts)])
         classes[ends] = END
         emitted = EMIT[classes, states_before(classes)]
@@ -164,26 +295,25 @@ class Counter:
         starts, stops = edges[:-1], edges[1:]
         real = classes[starts] != END
         starts, stops = starts[real], stops[real]
-        keys = range_hashes(prefix_sums(points), starts, stops)
-        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        known = np.fromiter(map(self.weights.get, distinct.tolist(), [-1] * len(distinct)), np.int64, len(distinct))
-        missing = np.flatnonzero(known < 0)
-        if len(missing):
-            new = [joined[a:b] for a, b in zip(starts[first[missing]].tolist(), stops[first[missing]].tolist(), strict=True)]
-            self._weights(distinct[missing], new)
-            known[missing] = [self.weights[k] for k in distinct[missing].tolist()]
+        look, weights, place = self.weights.get, [], starts.tolist()
+        for a, b in zip(place, stops.tolist(), strict=True):
+            piece = joined[a:b]
+            n = look(piece)
+            weights.append(self._weight(piece) if n is None else n)
         part = np.searchsorted(ends, starts, "right") - 1
-        per_part = np.bincount(part, weights=known[which], minlength=len(parts)) if len(starts) else np.zeros(len(parts))
-        return specials + np.bincount(owner, weights=per_part, minlength=len(texts)).astype(np.int64)
+        return np.bincount(part, weights=weights, minlength=len(parts)).astype(np.int64) if weights else np.zeros(len(parts), np.int64)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have 0 bytes and 0 tokens; long texts are worked on
-    chunk by chunk; repeated rows are counted alike; no rows give no rows;
-    extra columns are ignored. No shuffle: a lost executor repeats its tasks.
-    ``path`` must exist on every worker.
+    LONG characters at a time, up to the next place where a cut changes
+    nothing (a run of letters, digits or white space alone is held whole);
+    repeated rows are counted alike; nothing depends on order; no rows give no
+    rows; extra columns are ignored. No shuffle: a lost executor repeats its
+    tasks. ``path`` must exist on every worker; a file with other rules than
+    plain byte-level BPE is refused with a ValueError.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +25,28 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of a long text that are cut into words at a time.
+LONG = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a folder of this machine is set. Shuffle files of the plan that was
-    cut are deleted at once, since nothing reads them again.
+    The folder is ``spark.checkpoint.dir``. Where that is unset, a local
+    session gets a folder in its warehouse; a session on a cluster is refused,
+    since executors there share no folder that could be made up here. Shuffle
+    files of the plan that was cut are deleted at once, since nothing reads
+    them again.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="darkspace-checkpoint-")
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         context.setCheckpointDir(folder)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # holds for plans that are made while it is set
@@ -70,6 +78,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(spark: SparkSession, size: int) -> int:
+    """Partitions for ``size`` bytes: no fewer than the session's, and so many that a task's share stays small.
+
+    The share grows slowly, from 8 MB at 0.1 GB to 37 MB at 30 GB and at most
+    256 MB, so that very large inputs don't get too many partitions to plan.
+    """
+    share = min(256e6, 8e6 * max(1.0, size / 1e8) ** 0.27)
+    return max(shuffle_partitions(spark), int(-(-size // share)))
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string or binary column with about ``limit`` bytes each."""
     n = len(column)
@@ -116,7 +134,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Sums of ``value[i] * BASE**-i``; differences give hashes of ranges."""
+    """Sums of ``value[i] * BASE**-i``; differences give hashes of short ranges.
+
+    Modulo 2**64 two different ranges of 1024 bytes and more can be made to
+    agree, so this is for ranges of some dozen bytes, whose equality is
+    confirmed by their bytes. Words are named by ``Names`` or ``Hashes``.
+    """
     sums = np.empty(len(values) + 1, U64)
     sums[0] = 0
     terms = values.astype(U64) + U64(1)
@@ -125,36 +148,61 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
     return sums
 
 
-def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the ranges [start, end) of the values behind ``sums``, equal for equal contents."""
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[0][starts])
+class Names(dict):
+    """Numbers 0, 1, 2, ... of words as they are first met: equal numbers mean equal words, without exception."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
 
-class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of several texts, by array operations.
+class Hashes(dict):
+    """64-bit BLAKE2b hashes of words, which agree between workers; each is computed once while it is held.
 
-    ``hashes`` has one 64-bit value a word, ``starts`` and ``ends`` byte
-    offsets into ``buffer``, ``first`` the index of each text's first word
-    (and, at the end, the number of words).
+    Unlike polynomials, no two words can be made to agree by their pattern. By
+    chance two of n different words do with probability n * n / 2**65.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
-        joined = b" " + b" ".join(texts) + b" "
-        if lower:
-            joined = joined.lower()  # of bytes: A-Z only
-        self.joined = joined
-        self.buffer = np.frombuffer(joined, np.uint8)
-        space = SPACE[self.buffer]
-        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-        self.starts, self.ends = edges[::2], edges[1::2]
-        self.offsets = np.cumsum([1, *(len(t) + 1 for t in texts)])
-        self.first = np.searchsorted(self.starts, self.offsets)
-        sums = prefix_sums(self.buffer)
-        self.hashes = range_hashes(sums, self.starts, self.ends)
+    def __init__(self, memory: int = 64 << 20):
+        super().__init__()
+        self.memory, self.used = memory, 0
+
+    def __missing__(self, word: bytes) -> int:
+        self.used += len(word) + 150
+        if self.used > self.memory:
+            self.clear()
+            self.used = len(word) + 150
+        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+def words_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, LONG bytes of it at a time."""
+    at = 0
+    while len(text) - at > LONG:
+        found = _BLANK.search(text, at + LONG)
+        if found is None:
+            break
+        yield text[at : found.start()].split()
+        at = found.end()
+    yield text[at:].split()  # of bytes: at ASCII white space only
+
+
+def numbered(texts: list[bytes], names: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``names`` has for every word of some texts, and where each text's words begin (and, last, their number)."""
+    kind = U64 if isinstance(names, Hashes) else np.int64
+    parts, counts, look = [np.empty(0, kind)], [0], names.__getitem__
+    for text in texts:
+        n = 0
+        for words in words_of(text):
+            parts.append(np.fromiter(map(look, words), kind, len(words)))
+            n += len(words)
+        counts.append(n)
+    return np.concatenate(parts), np.cumsum(counts)
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words (one value fewer for each further word)."""
+    """Hashes of all runs of ``width`` words, from the words' hashes (one value fewer for each further word)."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, U64)
@@ -163,3 +211,16 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         out *= U64(BASE)
         out += hashes[k : k + n]
     return mix(out)
+
+
+def window_names(numbers: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of all runs of ``width``, equal for equal runs only: runs are named by doubling from those of half the length."""
+    if len(numbers) < width:
+        return np.empty(0, np.int64)
+    names, size = numbers.astype(np.int64), 1
+    while size < width:
+        step = min(size, width - size)
+        pairs = names[: len(names) - step] << 32 | names[step:]
+        names = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+        size += step
+    return names

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, Words, as_bytes, cut, mix, shuffle_partitions, slices, window_hashes
+from .common import U64, Hashes, cut, numbered, shuffle_partitions, slices, window_hashes
 from .suffix_dedup import common_prefixes, suffix_array
 from .url_filter import with_host_and_path
 
@@ -49,6 +49,7 @@ _NAMES = frozenset(
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 _MAIN_NAMES = frozenset("articlebody article-body article-content post-content post-body entry-content story-body main-content page-content content article post story entry".split())
 _SPACE = re.compile(r"\s+")
+_hashes = Hashes()
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -243,9 +244,9 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stream(blocks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of a page outside its main part, each block led by a mark, and each token's block."""
-    words = Words([b["text"].encode() for b in blocks])
-    counts = np.diff(words.first)
-    tokens = np.insert(words.hashes, words.first[:-1], U64(1))
+    hashes, first = numbered([b["text"].encode() for b in blocks], _hashes)
+    counts = np.diff(first)
+    tokens = np.insert(hashes, first[:-1], U64(1))
     return tokens, np.repeat(np.arange(len(blocks)), counts + 1)
 
 

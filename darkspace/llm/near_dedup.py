@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, Words, as_bytes, cut, mix, shuffle_partitions, slices, tidied, window_hashes
+from .common import BASE, U64, Hashes, as_bytes, cut, mix, numbered, partitions_for, slices, tidied, window_hashes
 from .graph import connected_components
 
 WIDTH = 5
@@ -24,18 +24,19 @@ _random = np.random.default_rng(20240501)
 MULTIPLIERS = (_random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 ADDENDS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 BAND_SALT = mix(np.arange(1, BANDS + 2, dtype=U64))
+_hashes = Hashes()
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted 64-bit hashes."""
-    words = Words(texts, lower=True)
-    windows = window_hashes(words.hashes, WIDTH)
+    """Each text's distinct shingles as sorted 64-bit hashes, made of the hashes of their words."""
+    hashes, first = numbered([t.lower() for t in texts], _hashes)  # of bytes: A-Z only
+    windows = window_hashes(hashes, WIDTH)
     out = []
-    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= WIDTH:
             out.append(np.unique(windows[a : b - WIDTH + 1]))
         else:
-            out.append(window_hashes(words.hashes[a:b], b - a) if b > a else np.empty(0, U64))
+            out.append(window_hashes(hashes[a:b], b - a) if b > a else np.empty(0, U64))
     return out
 
 
@@ -248,12 +249,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Texts without words (null or empty too) and rows without an id have no
     links. Rows that share an id are one document. Ties go to the smaller id.
-    No rows give no rows; extra columns are ignored.
+    Long texts are whole sets; a worker holds one such text, its words' hashes
+    and those of its shingles (8 bytes each). No rows give no rows; extra
+    columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = cut(rows.mapInArrow(_sketch, SKETCH))
-    n = shuffle_partitions(spark)
+    total = sketches.agg(F.coalesce(F.count("keys"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("keys").isNotNull(), F.col("n_shingles"))), F.lit(0))).first()
+    n = partitions_for(spark, 16 * (BANDS + 1) * total[0])
     packed = "bucket long, keys binary, owners binary"
     dealt = cut(sketches.where("keys is not null").select("doc_id", "keys").mapInArrow(partial(_deal, buckets=n), packed))
     linked = dealt.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_link, packed)
@@ -262,7 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     members = clusters.join(sketches.where("keys is not null").select("doc_id", "n_shingles"), F.col("node") == F.col("doc_id")).select("doc_id", "component", "n_shingles")
     blocks = _blocks(members, percent)
     sets = rows.join(blocks, "doc_id").select("doc_id", "blocks", "text").mapInArrow(_attach_sets, "doc_id long, blocks array<string>, shingles binary")
-    held = sets.select(F.explode("blocks").alias("block"), "doc_id", "shingles").repartition(n, "block").sortWithinPartitions("block", "doc_id")
+    held = sets.select(F.explode("blocks").alias("block"), "doc_id", "shingles").repartition(partitions_for(spark, 8 * total[1]), "block").sortWithinPartitions("block", "doc_id")
     components = connected_components(held.mapInArrow(partial(_verify, percent=percent), "u long, v long"))
     out = sketches.select("doc_id", "n_shingles", "same_as").join(components, F.col("same_as") == F.col("node"), "left")
     component = F.coalesce("component", "same_as")

@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, Words, as_bytes, mix, slices, window_hashes
+from .common import Names, as_bytes, numbered, slices, window_names
 
-SYMBOLS = np.zeros(256, bool)
-SYMBOLS[list(b"#*$%&|<>")] = True
+SYMBOLS, UPPER = b"#*$%&|<>", bytes(range(65, 91))
+#: Bytes that are white space or no first byte of a character.
+NO_CHARACTER = bytes((0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)))
 WINDOW = 8
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_upper", "n_letters", "n_stutter")
@@ -26,47 +27,39 @@ def _line_counts(text: bytes) -> tuple[int, int]:
 
 
 def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """The measurements of each text, by array operations over all of them."""
-    words = Words(texts)
-    n, buffer = len(texts), words.buffer
-    begin = words.offsets[:-1]
+    """The measurements of each text; words and their windows are compared by what they are, not by hash."""
+    n = len(texts)
+    numbers, first = numbered(texts, Names())
+    counts = np.diff(first)
 
-    def per_text(mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0], np.cumsum(mask)))
-        return sums[words.offsets[1:] - 1] - sums[begin]
+    def per_text(value) -> np.ndarray:
+        return np.fromiter(map(value, texts), np.int64, n)
 
-    counts = np.diff(words.first)
     out = {"n_words": counts}
-    space = (buffer == 0x20) | ((buffer >= 9) & (buffer <= 13))
-    out["word_chars"] = per_text(~space & ((buffer & 0xC0) != 0x80))
-    out["n_symbols"] = per_text(SYMBOLS[buffer])
+    out["word_chars"] = per_text(lambda t: len(t.translate(None, NO_CHARACTER)))
+    out["n_symbols"] = per_text(lambda t: len(t) - len(t.translate(None, SYMBOLS)))
     lines = np.array([_line_counts(t) for t in texts], dtype=np.int64).reshape(n, 2)
     out["n_lines"], out["n_dup_lines"] = lines[:, 0], lines[:, 1]
-    out["n_shouts"] = per_text(buffer == ord("!"))
-    out["n_upper"] = per_text((buffer >= 65) & (buffer <= 90))
-    out["n_letters"] = per_text(((buffer | 0x20) >= 97) & ((buffer | 0x20) <= 122))
-    stutter = np.zeros(n, np.int64)
+    out["n_shouts"] = per_text(lambda t: t.count(b"!"))
+    out["n_upper"] = per_text(lambda t: len(t) - len(t.translate(None, UPPER)))
+    out["n_letters"] = per_text(lambda t: len(t) - len(t.translate(None, UPPER + UPPER.lower())))
     text = np.repeat(np.arange(n), counts)
-    if len(text) > 1:
-        stutter += np.bincount(text[1:], weights=(words.hashes[1:] == words.hashes[:-1]) & (text[1:] == text[:-1]), minlength=n).astype(np.int64)
-    out["n_stutter"] = stutter
-    # words in windows that occur twice or more: windows of a text share a salt, so one sort serves all texts
-    out["n_repeat_words"] = np.zeros(n, np.int64)
-    hashes = window_hashes(words.hashes, WINDOW)
-    if len(hashes):
-        inside = text[: len(hashes)] == text[WINDOW - 1 :]
-        place = np.flatnonzero(inside)
-        keys = mix(hashes[place] + text[place].astype(U64) * U64(BASE))
-        order = np.argsort(keys)
-        same = np.zeros(len(keys), bool)
-        equal = keys[order][1:] == keys[order][:-1]
-        same[order[1:][equal]] = True
-        same[order[:-1][equal]] = True
-        edges = np.zeros(len(words.hashes) + 1, np.int64)
-        np.add.at(edges, place[same], 1)
-        np.add.at(edges, place[same] + WINDOW, -1)
-        covered = np.concatenate(([0], np.cumsum(np.cumsum(edges[:-1]) > 0)))
-        out["n_repeat_words"] = covered[words.first[1:]] - covered[words.first[:-1]]
+    again = (numbers[1:] == numbers[:-1]) & (text[1:] == text[:-1])
+    out["n_stutter"] = np.bincount(text[1:][again], minlength=n)
+    # words in windows that occur twice or more in their text
+    names = window_names(numbers, WINDOW)
+    place = np.flatnonzero(text[: len(names)] == text[WINDOW - 1 :])
+    keys = text[place] << 32 | names[place]
+    order = np.argsort(keys)
+    equal = keys[order][1:] == keys[order][:-1]
+    same = np.zeros(len(keys), bool)
+    same[order[1:][equal]] = True
+    same[order[:-1][equal]] = True
+    edges = np.zeros(len(numbers) + 1, np.int64)
+    np.add.at(edges, place[same], 1)
+    np.add.at(edges, place[same] + WINDOW, -1)
+    covered = np.concatenate(([0], np.cumsum(np.cumsum(edges[:-1]) > 0)))
+    out["n_repeat_words"] = covered[first[1:]] - covered[first[:-1]]
     return out
 
 
@@ -104,8 +97,11 @@ def mask_of(policy: str) -> int:
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements and ``failed`` (bit i: rule i failed) of every row of ``docs`` (doc_id, text).
 
-    One pass, no shuffle. Null text has no words; repeated rows are measured
-    alike; no rows give no rows; extra columns are ignored.
+    One pass, no shuffle. Null and empty texts have no words; long texts are
+    measured whole, and cut into words some at a time; the words, lines and
+    windows of a text are compared by what they are; repeated rows are measured
+    alike, and nothing depends on their order; no rows give no rows; extra
+    columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure_batches, SCHEMA)
     bits = [F.when(F.expr(rule), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, rule in enumerate(RULES.values())]

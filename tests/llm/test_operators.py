@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from darkspace.llm import html_text, mixing, near_dedup, neighbours, packing, quality_classifier, quality_rules, queries, suffix_dedup, token_counts, url_filter
+from darkspace.llm.common import window_names as common_window_names
 from darkspace.llm.graph import connected_components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -440,3 +441,94 @@ def test_pipeline_near_copies_with_null_and_repeated_ids(spark):
         docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, lang string, source string, n_chars long").repartition(k)
         got = pipeline.near_copies(spark, docs, "")
         assert tuple(got.columns) == pipeline.COLUMNS and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, expected))
+
+
+def twins():
+    """Two different words of 1024 bytes whose polynomial hashes modulo 2**64 agree for any odd base."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    from tokenizers import Tokenizer
+
+    one, two = twins()
+    rows = [(0, one), (1, two), (2, f"{one} {two}"), (3, f"{two} {one}"), (4, " ".join([one, *"abcdefg", two, *"abcdefg"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert [(r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, 85).orderBy("doc_id").collect()] == [(len(shingles(t)), k) for k, t in rows]
+    assert [r.n_repeat_words for r in quality_rules.ledger(docs).orderBy("doc_id").collect()] == [0] * 5
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    assert [r.n_tokens for r in token_counts.count_tokens(docs, path).orderBy("doc_id").collect()] == [len(library.encode(t, add_special_tokens=False).ids) for _, t in rows]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    for got, (_, text) in zip(packing.Encoder(path).encode([t.encode() for _, t in rows]), rows, strict=True):
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+    marks = [html_text._stream([{"text": t}])[0].tolist() for _, t in rows]
+    assert len({tuple(m) for m in marks}) == len(rows)
+
+
+def test_token_counts_of_runs_cuts_and_other_files(monkeypatch, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [s * n for s in ("a", "-", " ", "=", "\n", "ab", "the", "é", "'s", "中。") for n in (1, 2, 3, 7, 50, 129, 400)]
+    texts += ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(0x20, 0x3000), 97 + rng.randrange(4)))) for _ in range(300)) for _ in range(200)]
+    expected = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    counter = token_counts.Counter(path)
+    assert counter.counts(texts).tolist() == expected
+    monkeypatch.setattr(token_counts, "LONG", 40)  # long texts go some characters at a time
+    monkeypatch.setattr(token_counts, "STATES_KEPT", 500)
+    monkeypatch.setattr(token_counts, "MEMORY", 100)
+    assert counter.counts(texts).tolist() == expected
+    file = json.load(open(path, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"model": file["model"] | {"ignore_merges": True}}, {"model": file["model"] | {"merges": file["model"]["merges"] * 2}}):
+        (tmp_path / "other.json").write_text(json.dumps(file | change))
+        with pytest.raises(ValueError):
+            token_counts.Counter(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError):
+        packing.Encoder(path)
+
+
+def test_bins_are_harmonic():
+    sizes = [rng.choice((3, 17, 40, 90, 300, 700, 1400, 3000, 4096, 5000, 20_000)) + rng.randrange(9) for _ in range(3000)]
+    bins = packing.Bins(2, 4096)
+    for k, n in enumerate(sizes):
+        bins.add(k, np.arange(n, dtype="<u4"))
+        assert sum(len(r) for r in bins.waiting.values()) <= sum(range(128)) + 4096 // 3
+    bins.end()
+    starts, offsets = {}, {}
+    for doc_id, start, length, crc, total, sequence, offset in bins.done:
+        assert crc == zlib.crc32(np.arange(start, start + length, dtype="<u4").tobytes()) and total == sizes[doc_id] and sequence >> 36 == 2
+        starts.setdefault(doc_id, []).append((start, length))
+        assert offset == offsets.get(sequence, 0)
+        offsets[sequence] = offset + length
+    for k, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(starts[k]):
+            assert start == at
+            at += length
+        assert at == n
+    assert all(n & n - 1 == 0 for n in offsets.values()) and sum(n != 4096 for n in offsets.values()) <= 12
+    cut = [k for k, n in enumerate(sizes) if n <= 4096 and len(starts[k]) > 1]
+    assert len(cut) <= sum(n == 4096 for n in offsets.values())  # a bin cuts one document at most
+
+
+def test_long_texts_in_parts(monkeypatch):
+    from darkspace.llm import common
+
+    texts = [(r[1] or "").encode() for r in ROWS]
+    whole = [quality_rules.measure(texts)[m].tolist() for m in quality_rules.MEASURES], [s.tolist() for s in near_dedup.shingle_sets(texts)], [e.tolist() for t in texts for e in packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode([t])]
+    monkeypatch.setattr(common, "LONG", 30)
+    assert whole == ([quality_rules.measure(texts)[m].tolist() for m in quality_rules.MEASURES], [s.tolist() for s in near_dedup.shingle_sets(texts)], [e.tolist() for t in texts for e in packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode([t])])
+
+
+def test_window_names():
+    for width in (1, 2, 5, 8):
+        values = np.array([rng.randrange(3) for _ in range(300)])
+        names = common_window_names(values, width).tolist()
+        runs = [tuple(values[k : k + width].tolist()) for k in range(len(values) - width + 1)]
+        assert len(names) == len(runs) and len(set(zip(names, runs))) == len(set(names)) == len(set(runs))

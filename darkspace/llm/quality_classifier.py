@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, tidied
+from .common import as_bytes, shuffle_partitions, slices, tidied
 from .quality_rules import measure
 
-#: Rows of the training sample: at most so many trusted positives, and so many unlabelled.
-SAMPLE = 4000
-STEPS, RATE, DECAY = 600, 0.03, 2e-3
-#: Share of the unlabelled, about the prior, within which the cut is put where scores are sparsest.
-SLACK = 0.02
+#: Trusted positives at most; of the unlabelled all are used.
+SAMPLE = 20_000
+#: Penalty of the weights, a spread below which features hardly count, and how steeply the score follows the decision.
+RIDGE, FLAT, SHARP = 0.1, 0.02, 4.0
+#: Bins of the density ratio for the prior's estimate.
+BINS, LOW, HIGH = 600, -1.0, 4.0
 SHAPES = 9
 
 
@@ -44,131 +47,240 @@ class Model:
     bias: float
     prior: float
 
+    def decision(self, x: np.ndarray) -> np.ndarray:
+        """Twice the estimated chance of quality, less one."""
+        return x.astype(float) @ self.weights + self.bias
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x.astype(float) @ self.weights + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(SHARP * self.decision(x), -30, 30)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, without negatives.
+@dataclass
+class Moments:
+    """Number of texts and sums of (1, features) and of its products with itself: all that the risk's squared loss needs."""
+
+    n: int
+    products: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        x = np.hstack((np.ones((len(x), 1)), x.astype(float)))
+        return cls(len(x), x.T @ x)
+
+    @classmethod
+    def none(cls) -> Moments:
+        return cls(0, np.zeros((SHAPES + 257, SHAPES + 257)))
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.n + other.n, self.products + other.products)
+
+    def means(self) -> tuple[np.ndarray, np.ndarray]:
+        products = self.products / max(self.n, 1)
+        return products, products[0]
+
+
+def _ridge(unlabelled: Moments, positives: int) -> np.ndarray:
+    """Penalty of each weight but the constant, by its feature's spread; more where there are few positives."""
+    products, mean = unlabelled.means()
+    spread = np.sqrt(np.maximum(np.diag(products) - mean**2, 0)[1:]) + FLAT
+    return np.diag(np.concatenate(([0], RIDGE * (1 + 4 * len(mean) / max(positives, 1)) * spread**2)))
+
 
-    A least-squares score tells the two samples apart; where the unlabelled
-    are least dense against the positives, over the score's quantiles, they
-    are taken to be positives only.
+def density_ratio(positive: Moments, unlabelled: Moments) -> np.ndarray:
+    """Weights of the least-squares estimate of how much denser positives are at a text than all texts are."""
+    products, _ = unlabelled.means()
+    return np.linalg.solve(products + _ridge(unlabelled, positive.n), positive.means()[1])
+
+
+def minimise(positive: Moments, unlabelled: Moments, prior: float) -> tuple[np.ndarray, float]:
+    """Weights of least prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), and the second part.
+
+    The loss is the squared one, so the risks are quadratic in the weights and
+    known from the moments. Where the second part is not negative without the
+    maximum, that solution is the one sought. Otherwise the part counts in a
+    share t between 0 and 1, the largest for which it isn't negative (where
+    the maximum has its kink, every such t is a slope of it).
     """
-    halves = [(positive[k::2].astype(float), unlabelled[k::2].astype(float)) for k in (0, 1)]
-    p, u = [], []
-    for (p_fit, u_fit), (p_own, u_own) in (halves, halves[::-1]):  # scores of one half by the other's fit
-        x = np.vstack((p_fit, u_fit))
-        center, scale = x.mean(0), x.std(0) + 1e-3
-        x, y = (x - center) / scale, np.concatenate((np.ones(len(p_fit)), np.zeros(len(u_fit)))) - len(p_fit) / max(len(x), 1)
-        slope = np.linalg.solve(x.T @ x + 0.3 * len(x) * np.eye(x.shape[1]), x.T @ y)
-        p.append((p_own - center) / scale @ slope)
-        u.append((u_own - center) / scale @ slope)
-    p, u = np.concatenate(p), np.concatenate(u)
-    edges = np.quantile(p, np.linspace(0.05, 0.6, 12))
-    return float(np.clip(min((u >= e).mean() / max((p >= e).mean(), 1e-9) for e in edges), 0.05, 0.99))
-
-
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, negative: np.ndarray | None = None) -> Model:
-    """Minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)) for the logistic loss.
-
-    Where the second part turns negative, its gradient is ascended instead,
-    which keeps a flexible model from fitting it below zero.
+    of_p, mean_p = positive.means()
+    of_u, mean_u = unlabelled.means()
+    ridge = _ridge(unlabelled, positive.n)
+
+    def solution(t: float) -> tuple[np.ndarray, float]:
+        w = np.linalg.solve(prior * (1 - t) * of_p + t * of_u + ridge, prior * (1 + t) * mean_p - t * mean_u)
+        wrong = lambda products, mean: 1 + 2 * mean @ w + w @ products @ w
+        return w, float(wrong(of_u, mean_u) - prior * wrong(of_p, mean_p))
+
+    w, rest = solution(1.0)
+    if rest < 0:
+        low, high = 0.0, 1.0
+        for _ in range(40):
+            t = (low + high) / 2
+            w, rest = solution(t)
+            low, high = (t, high) if rest >= 0 else (low, t)
+        w, rest = solution(max(low, 1e-6))
+    return w, rest
+
+
+def _prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among all texts, from counts of both at or above each density ratio.
+
+    Where all texts are least dense against the positives, over the upper part
+    of these, they are taken to be positives only.
     """
-    width = SHAPES + 256
+    p, u = positive[::-1].cumsum()[::-1] / max(positive.sum(), 1), unlabelled[::-1].cumsum()[::-1] / max(unlabelled.sum(), 1)
+    upper = (p >= 0.4) & (p <= 0.98)
+    return float(np.clip((u[upper] / p[upper]).min(initial=1.0), 0.05, 0.99))
+
+
+def _histogram(values: np.ndarray) -> np.ndarray:
+    return np.bincount(np.clip(np.floor((values - LOW) / (HIGH - LOW) * BINS), 0, BINS - 1).astype(np.int64), minlength=BINS)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, without negatives; each half's ratios are by the other half's weights."""
+    halves = [(positive[k::2], unlabelled[k::2]) for k in (0, 1)]
+    found = [np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)]
+    for own, other in (halves, halves[::-1]):
+        w = density_ratio(Moments.of(other[0]), Moments.of(other[1]))
+        for k in (0, 1):
+            found[k] += _histogram(own[k].astype(float) @ w[1:] + w[0])
+    return _prior(*found)
+
+
+def _model(positive: Moments, unlabelled: Moments, prior: float) -> Model:
+    w, _ = minimise(positive, unlabelled, prior)
+    return Model(w[1:], float(w[0]), prior)
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+    """A model from arrays of features: what ``fit`` does, on one machine."""
     if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(width), 4.0, 1.0)
-    prior = estimate_prior(positive, unlabelled) if prior is None else prior
-    x_p, x_u = positive.astype(float), unlabelled.astype(float)
-    both = np.vstack((x_p, x_u))
-    center, scale = both.mean(0), both.std(0) + 0.02
-    x_p, x_u = (np.hstack(((x - center) / scale, np.ones((len(x), 1)))) for x in (x_p, x_u))
-    w, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    for step in range(1, STEPS + 1):
-        s_p, s_u = sigmoid(x_p @ w), sigmoid(x_u @ w)
-        rest = -np.log1p(-s_u + 1e-12).mean() + prior * np.log1p(-s_p + 1e-12).mean()
-        toward = x_u.T @ s_u / len(x_u) - prior * (x_p.T @ s_p) / len(x_p)
-        slope = prior * (x_p.T @ (s_p - 1)) / len(x_p) + toward if rest >= 0 else -toward
-        slope = slope + DECAY * w
-        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-        w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    weights = w[:-1] / scale
-    if negative is not None and len(negative):
-        cut = _boundary(x_p @ w, np.hstack(((negative - center) / scale, np.ones((len(negative), 1)))) @ w)
-    else:
-        cut = _cut(x_u @ w, prior)
-    return Model(weights, float(w[-1] - center @ weights - cut), prior)
-
-
-def _boundary(positive: np.ndarray, negative: np.ndarray) -> float:
-    """The middle of the widest gap that parts labelled scores with the least rates of error."""
-    order = np.argsort(np.concatenate((positive, negative)), kind="stable")
-    scores = np.concatenate((positive, negative))[order]
-    bad = order >= len(positive)
-    wrong = np.cumsum(~bad) / len(positive) + (len(negative) - np.cumsum(bad)) / len(negative)
-    gaps = np.where(wrong[:-1] <= wrong[:-1].min() + 1e-12, np.diff(scores), -1)
-    k = int(np.argmax(gaps))
-    return float((scores[k] + scores[k + 1]) / 2)
-
-
-def _cut(scores: np.ndarray, prior: float) -> float:
-    """Where to put the boundary: the widest gap of the unlabelled scores near the share that the prior says is negative."""
-    scores, n = np.sort(scores), len(scores)
-    a, b = (int(np.clip((1 - prior + side * SLACK) * n, 0, n - 1)) for side in (-1, 1))
-    if b - a < 2:
-        return 0.0
-    k = a + int(np.argmax(np.diff(scores[a : b + 1])))
-    return float((scores[k] + scores[k + 1]) / 2)
+        return CONSTANT
+    return _model(Moments.of(positive), Moments.of(unlabelled), estimate_prior(positive, unlabelled) if prior is None else prior)
+
+
+#: Nothing is known of what quality is: every text has it.
+CONSTANT = Model(np.zeros(SHAPES + 256), 1.0, 1.0)
 
 
 def held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _gather(rows: DataFrame) -> np.ndarray:
-    @tidied
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, stop in slices(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features(as_bytes(batch.column(0)[start:stop]))], pa.binary())], ["x"])
+def _half(doc_id) -> Column:
+    """Which half of the documents a row is in, for estimates of one half by the other."""
+    return F.coalesce(F.pmod(F.floor(F.crc32(doc_id.cast("string").cast("binary")) / 3), F.lit(2)), F.lit(0)).cast("int")
+
+
+def _kinds(part) -> Iterator[tuple[int, pa.Array]]:
+    """Rows of all texts of each half (0, 1), and of the positives among them (2, 3)."""
+    half, positive = part.column(1).to_numpy(), part.column(2).to_numpy(zero_copy_only=False)
+    for k in (0, 1):
+        yield k, half == k
+        yield k + 2, (half == k) & positive
+
+
+@tidied
+def _sum_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, half, positive) to the task's moments by kind."""
+    sums: dict[int, Moments] = {}
+    for batch in batches:
+        for start, stop in slices(batch.column(0)):
+            part = batch.slice(start, stop - start)
+            x = features(as_bytes(part.column(0)))
+            for kind, rows in _kinds(part):
+                if rows.any():
+                    sums[kind] = sums.get(kind, Moments.none()) + Moments.of(x[rows])
+    place = TaskContext.get().partitionId()
+    upper = np.triu_indices(SHAPES + 257)
+    yield _sums_batch([(kind, place, m.n, m.products[upper].tobytes()) for kind, m in sorted(sums.items())])
+
+
+SUMS = "kind int, place long, n long, sums binary"
+
+
+def _sums_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "place", "n", "sums"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds what comes, in its order, by kind."""
+    found: dict[int, list] = {}
+    for batch in batches:
+        for kind, place, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = found.setdefault(kind, [place, 0, 0.0])
+            own[1], own[2] = own[1] + n, own[2] + np.frombuffer(raw, np.float64)
+    yield _sums_batch([(kind, place, n, total.tobytes()) for kind, (place, n, total) in found.items()])
+
+
+def _moments(rows: DataFrame) -> list[Moments]:
+    """Moments by kind, summed over tasks in two levels and in a fixed order, so reruns agree."""
+    sums = rows.mapInArrow(_sum_moments, SUMS)
+    few = shuffle_partitions(rows.sparkSession)
+    sums = sums.repartition(few, F.floor(F.col("place") / 64)).sortWithinPartitions("place", "kind").mapInArrow(_add_up, SUMS)
+    out, upper = [Moments.none() for _ in range(4)], np.triu_indices(SHAPES + 257)
+    for r in sums.repartition(1).sortWithinPartitions("place", "kind").mapInArrow(_add_up, SUMS).collect():  # 4 rows of 0.3 MB at most
+        products = np.zeros((SHAPES + 257, SHAPES + 257))
+        products[upper] = np.frombuffer(bytes(r.sums), np.float64)
+        out[r.kind] = Moments(r.n, products + np.triu(products, 1).T)
+    return out
+
 
-    found = rows.mapInArrow(run, "x binary").toArrow().column(0).to_pylist()
-    return np.frombuffer(b"".join(sorted(found)), np.float32).reshape(-1, SHAPES + 256)
+@tidied
+def _count_ratios(batches: Iterator[pa.RecordBatch], weights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(text, half, positive) to the task's counts by kind and density ratio, each half's by the other half's weights."""
+    counts = np.zeros((4, BINS), np.int64)
+    for batch in batches:
+        for start, stop in slices(batch.column(0)):
+            part = batch.slice(start, stop - start)
+            x = features(as_bytes(part.column(0))).astype(float)
+            for kind, rows in _kinds(part):
+                w = weights[1 - kind % 2]
+                counts[kind] += _histogram(x[rows] @ w[1:] + w[0])
+    kind, place = np.nonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(place), pa.array(counts[kind, place])], ["kind", "place", "n"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains on at most ``sample`` positives and ``sample`` unlabelled rows, the first by hash of the id.
-
-    Labels of held-out rows are never used. Labelled rows other than the
-    positives, if any, don't train the weights; with both classes labelled the
-    class prior is the share of label 1, and the cut between the predictions
-    is put where it parts the labelled scores best. Without unlabelled rows all
-    labelled rows serve as the unlabelled sample. Without a row labelled 1
-    nothing can be learnt: the model is constant and predicts 1 throughout.
+    """Learns from trusted positives (labelled 1, not held out) and all texts, which are the unlabelled sample.
+
+    Labels of held-out rows are never used, and of the others only whether
+    they are 1: no negative label is. At most ``sample`` positives are taken,
+    the first by hash of the id; the texts of all documents count. A first
+    pass sums the moments of both in two halves. They give the density ratio
+    of each half; a second pass counts all texts and the positives by the
+    other half's ratio, from which the prior is estimated. The weights that
+    minimise the non-negative risk follow from moments and prior.
+
+    Of rows of ``labels`` that share an id the least label counts; ties and
+    repeated rows of documents count as often as they occur. Without a
+    positive, or without documents, nothing can be learnt: the model is
+    constant and predicts 1 throughout.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null and doc_id is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out(F.col("doc_id")))
-    marked = ids.join(known, "doc_id", "left").withColumn("h", F.xxhash64("doc_id"))
-    chosen = [marked.where(kind).orderBy("h", "doc_id").limit(sample).select("doc_id", F.lit(k).alias("k")) for k, kind in enumerate(("quality = 1", "quality is null", "quality = 0"))]
+    chosen = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("positive_id"))  # at most sample ids of 8 bytes
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = texts.join(F.broadcast(chosen[0].union(chosen[1]).union(chosen[2])), "doc_id")  # at most 3 * sample ids
-    positive, unlabelled, negative = (_gather(both.where(f"k = {k}").select("text")) for k in (0, 1, 2))
-    if not len(unlabelled):
-        every = marked.where("quality is not null").orderBy("h", "doc_id").limit(sample).select("doc_id")
-        unlabelled = _gather(texts.join(F.broadcast(every), "doc_id").select("text"))
-    shares = known.agg(F.avg(F.col("quality").cast("double")), F.count("*")).first()
-    prior = float(shares[0]) if shares[1] and 0 < shares[0] < 1 else None
-    return train(positive, unlabelled, prior, negative)
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("positive_id"), "left")
+    rows = rows.select("text", _half(F.col("doc_id")).alias("half"), F.col("positive_id").isNotNull().alias("positive"))
+    sums = _moments(rows)
+    unlabelled, positive = sums[0] + sums[1], sums[2] + sums[3]
+    if not positive.n:
+        return CONSTANT
+    halves = [density_ratio(sums[k + 2], sums[k]) if sums[k + 2].n else density_ratio(positive, unlabelled) for k in (0, 1)]
+    counts = np.zeros((4, BINS), np.int64)
+    found = rows.mapInArrow(partial(_count_ratios, weights=halves), "kind long, place long, n long").groupBy("kind", "place").agg(F.sum("n").alias("n"))
+    for r in found.collect():  # at most 4 * BINS rows
+        counts[r.kind, r.place] = r.n
+    return _model(positive, unlabelled, _prior(counts[2] + counts[3], counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs`` (doc_id, text).
 
-    Whole texts are scored; null and empty texts get the score of an empty
-    text; repeated rows are scored alike; no rows give no rows; extra columns
-    are ignored.
+    Whole texts are scored, very long ones too; null and empty texts get the
+    score of an empty text; repeated rows are scored alike; a score of 0.5
+    counts as 1; no rows give no rows; extra columns are ignored.
     """
 
     @tidied

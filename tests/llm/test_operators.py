@@ -532,3 +532,44 @@ def test_window_names():
         names = common_window_names(values, width).tolist()
         runs = [tuple(values[k : k + width].tolist()) for k in range(len(values) - width + 1)]
         assert len(names) == len(runs) and len(set(zip(names, runs))) == len(set(names)) == len(set(runs))
+
+
+def test_risk_is_least_and_not_negative():
+    g = np.random.default_rng(1)
+    width = quality_classifier.SHAPES + 256
+    for shift, n in ((0.05, 300), (1.0, 60)):
+        good, bad = g.normal(0, 0.05, (2 * n, width)), g.normal(0, 0.05, (n, width))
+        bad[:, :5] += shift
+        positive, unlabelled = quality_classifier.Moments.of(good[:n]), quality_classifier.Moments.of(np.vstack((good[n:], bad)))
+        halves = quality_classifier.Moments.of(good[: n // 2]) + quality_classifier.Moments.of(good[n // 2 : n])
+        assert halves.n == positive.n and np.allclose(halves.products, positive.products)
+        (of_p, mean_p), (of_u, mean_u), ridge = positive.means(), unlabelled.means(), quality_classifier._ridge(unlabelled, n)
+
+        def parts(w, prior=0.5):
+            wrong = lambda x, m, side: 1 + side * 2 * m @ w + w @ x @ w
+            return prior * wrong(of_p, mean_p, -1), wrong(of_u, mean_u, 1) - prior * wrong(of_p, mean_p, 1)  # noqa: B023
+
+        def risk(w):
+            first, rest = parts(w)  # noqa: B023
+            return first + max(0.0, rest) + w @ ridge @ w  # noqa: B023
+
+        w, rest = quality_classifier.minimise(positive, unlabelled, 0.5)
+        assert rest >= -1e-9 and parts(w)[1] == pytest.approx(rest, abs=1e-9)
+        best = risk(w)
+        for size in (1e-4, 1e-2, 0.3):
+            assert all(risk(w + size * g.standard_normal(width + 1)) >= best - 1e-9 for _ in range(50))
+
+
+def test_quality_classifier_edge_cases(spark, empty):
+    rows = [(k, ("plain words of text go on like this " * (1 + k % 4)) if k % 3 else "### $$$ BUY | NOW *** " * (2 + k % 5)) for k in range(300)]
+    rows += [(None, None), (None, "some words"), (7, rows[7][1]), (7, rows[7][1]), (400, ""), (401, "long text " * 200_000), (402, " \n\t ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as score", "1 as quality").repartition(4)
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(300)] + [(7, 1), (7, None), (None, 1), (8, 0), (8, 1)], "doc_id long, quality int")
+    out = quality_classifier.score(docs, quality_classifier.fit(docs, labels)).collect()
+    assert len(out) == len(rows) and sum(r.predicted == (r.doc_id % 3 > 0) for r in out if r.doc_id is not None and r.doc_id < 300) >= 290
+    assert all((r.predicted == 1) == (r.score >= 0.5) and 0 <= r.score <= 1 for r in out) and len({r.score for r in out if r.doc_id == 7}) == 1
+    model = quality_classifier.fit(empty, labels)
+    assert quality_classifier.score(empty, model).count() == 0 and quality_classifier.score(docs, model).where("predicted = 0").count() == 0
+    positives = labels.where("quality = 1")
+    flipped = positives.union(labels.where("quality = 0 and doc_id != 8").withColumn("quality", (0 * labels.doc_id).cast("int") - 5)).union(labels.where("doc_id = 8"))
+    assert np.array_equal(quality_classifier.fit(docs, labels).weights, quality_classifier.fit(docs, flipped).weights)  # negatives teach nothing

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from darkspace.llm import html_text, mixing, near_dedup, neighbours, packing, quality_classifier, quality_rules, queries, suffix_dedup, token_counts, url_filter
+from darkspace.llm import common, html_text, mixing, near_dedup, neighbours, packing, quality_classifier, quality_rules, queries, suffix_dedup, token_counts, url_filter
 from darkspace.llm.common import window_names as common_window_names
 from darkspace.llm.graph import connected_components
 
@@ -464,8 +464,8 @@ def test_words_that_polynomial_hashes_confuse(spark):
     library = Tokenizer.from_file(path)
     for got, (_, text) in zip(packing.Encoder(path).encode([t.encode() for _, t in rows]), rows, strict=True):
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids
-    marks = [html_text._stream([{"text": t}])[0].tolist() for _, t in rows]
-    assert len({tuple(m) for m in marks}) == len(rows)
+    for names in (common.Names(), common.Hashes()):
+        assert len({tuple(html_text._stream([t.encode()], names)[0].tolist()) for _, t in rows}) == len(rows)
 
 
 def test_token_counts_of_runs_cuts_and_other_files(monkeypatch, tmp_path):
@@ -518,8 +518,6 @@ def test_bins_are_harmonic():
 
 
 def test_long_texts_in_parts(monkeypatch):
-    from darkspace.llm import common
-
     texts = [(r[1] or "").encode() for r in ROWS]
     whole = [quality_rules.measure(texts)[m].tolist() for m in quality_rules.MEASURES], [s.tolist() for s in near_dedup.shingle_sets(texts)], [e.tolist() for t in texts for e in packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode([t])]
     monkeypatch.setattr(common, "LONG", 30)
@@ -573,3 +571,85 @@ def test_quality_classifier_edge_cases(spark, empty):
     positives = labels.where("quality = 1")
     flipped = positives.union(labels.where("quality = 0 and doc_id != 8").withColumn("quality", (0 * labels.doc_id).cast("int") - 5)).union(labels.where("doc_id = 8"))
     assert np.array_equal(quality_classifier.fit(docs, labels).weights, quality_classifier.fit(docs, flipped).weights)  # negatives teach nothing
+
+
+def test_repeated_runs_by_brute_force(monkeypatch):
+    monkeypatch.setattr(html_text, "RUN", 4)
+    for _ in range(40):
+        streams = [np.array([rng.randrange(2, 5) for _ in range(rng.randrange(14))], np.int64) for _ in range(rng.randrange(1, 9))]
+        streams += [streams[0].copy(), streams[0].copy()]
+        different = {tuple(s.tolist()) for s in streams}
+        having = {}
+        for s in different:
+            for w in {s[k : k + 4] for k in range(len(s) - 3)}:
+                having[w] = having.get(w, 0) + 1
+        for found, least in zip(html_text.repeated(streams), (2, max(html_text.MANY, html_text.SHARE * len(different)))):
+            for s, hit in zip(streams, found, strict=True):
+                expected = [any(0 <= a <= len(s) - 4 and having[tuple(s[a : a + 4].tolist())] >= least for a in range(k - 3, k + 1)) for k in range(len(s))]
+                assert hit.tolist() == expected
+
+
+def test_html_shards_by_brute_force(spark, monkeypatch):
+    run = html_text.RUN
+    words = [" ".join(f"w{k}{rng.randrange(3)}" for _ in range(rng.randrange(2, 7))) for k in range(5)]
+    pages = []
+    for k in range(40):
+        blocks = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(4))]
+        pages.append((k, f"http://h{k % 2}/{k}", "".join(f"<p>{b}" for b in blocks)))
+    pages += [pages[3], (50, "http://h1/3", pages[3][2]), (51, None, None), (None, "http://h0/x", f"<p>{words[0]} {words[1]} {words[2]}")]
+    tokens = {}
+    for k, url, page in pages:
+        own = []
+        for _, text in html_text.blocks_of(page or ""):
+            own += ["|", *text.split()]
+        tokens[k, url] = ((url or "://").split("/")[2], tuple(own))
+    hosts = {}
+    for host, own in set(tokens.values()):
+        for w in {own[a : a + run] for a in range(len(own) - run + 1)}:
+            hosts[host, w] = hosts.get((host, w), 0) + 1
+    expected = []
+    for k, url, _ in pages:
+        host, own = tokens[k, url]
+        hit = [any(0 <= a <= len(own) - run and hosts[host, own[a : a + run]] > 1 for a in range(c - run + 1, c + 1)) for c in range(len(own))]
+        lines, at = [], 0
+        while at < len(own):
+            end = next((c for c in range(at + 1, len(own)) if own[c] == "|"), len(own))
+            inner = hit[at + 1 : end]
+            if not all(inner):
+                runs, c = list(inner), 0
+                while c < len(inner):
+                    d = c
+                    while d < len(inner) and inner[d]:
+                        d += 1
+                    runs[c:d] = [d - c >= run - 1] * (d - c)
+                    c = max(d, c + 1)
+                inner = runs
+            kept = [w for w, gone in zip(own[at + 1 : end], inner) if not gone]
+            lines += [" ".join(kept)] if kept else []
+            at = end
+        expected.append((str(k), "\n".join(lines)))
+    assert sum(len(t) for _, t in expected) < sum(len(" ".join(w for w in own if w != "|")) for _, own in tokens.values()) * 0.8  # much is shared
+    for size in (2000, 5):
+        monkeypatch.setattr(html_text, "SHARD_PAGES", size)
+        got = [(str(r.page_id), r.text) for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()]
+        assert sorted(got) == sorted(expected)
+
+
+def test_html_templates_in_articles(spark):
+    note = "<div class='x7'>" + " ".join(f"note{k}" for k in range(20)) + "</div>"
+    licence = " ".join(f"licence{k}" for k in range(20))
+    story = lambda k: " ".join(f"s{k}x{j}" for j in range(30))
+    rows = [(k, f"http://a/{k}", f"<article><h1>T{k}</h1><p>{story(k)}</p><p>{licence}</p>{note}<p>end {k}</p></article>") for k in range(12)]
+    rows += [(k, f"http://b/{k}", f"<nav>n{k}</nav><article><p>{story(0)}</p></article>") for k in range(20, 30)]  # copies of an article
+    rows += [(40, "http://a/long", f"<article><p>{'very long text ' * 100_000}</p>{note}</article>"), (3, "http://a/3", rows[3][2])]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"T{k}\n{story(k)}\n{licence}\nend {k}" for k in range(12)) and all(got[k] == story(0) for k in range(20, 30))
+    assert got[40] == " ".join(["very long text"] * 100_000)
+
+
+def test_html_names_of_main_elements():
+    main = lambda page: "\n".join(t for z, t in html_text.blocks_of(page) if z == "main")
+    for tag in ('main class="with-sidebar"', 'article class="post comments-open"', 'article id="share-price-news"', 'article class="comments"', "div role=main id='related'"):
+        assert main(f"<body><nav>menu</nav><{tag}><p>The story.</p></{tag.split()[0]}><div class='comments'>mine</div>") == "The story.", tag
+    assert main("<div id='share-price-news'><article><p>The story.</p></article></div>") == "The story."
+    assert [t for z, t in html_text.blocks_of("<div id='share-price-news'><p>The story.</p></div>") if z == "open"] == ["The story."]

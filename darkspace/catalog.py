@@ -67,7 +67,7 @@ add("count_total_gapfill", lambda p: counts.totals(p, 600), TOTAL.format(i=600,
 add("count_total_filtered", lambda p: counts.totals(p, 600, where="A=49160"), TOTAL.format(i=600, where="dport = 49160"))
 add("filter_s8_p6", lambda p: counts.count_query(p, "PA", DAY, where="S8=158.0.0.0/P=6"), _count_sql(PA, DAY, where=f"{_m('saddr', 8)} = 2650800128 AND proto = 6"))
 add("filter_ports", lambda p: p.where(capture_filter("udp and dst port 53 or not (tcp or icmp) and src net 128.0.0.0/1")).groupBy("proto", "dport").agg(F.count("*").alias("n")),
-    "SELECT proto, dport, count(*) AS n FROM packets WHERE proto = 17 AND dport = 53 OR NOT proto IN (1, 6) AND saddr >= 2147483648 GROUP BY ALL")
+    "SELECT proto, dport, count(*) AS n FROM packets WHERE (proto = 17 AND dport = 53 OR NOT proto IN (1, 6)) AND saddr >= 2147483648 GROUP BY ALL")
 add("filter_high_ports", lambda p: p.where("proto = 17 and dport > 49152").select("pindx", "saddr", "dport"), "SELECT pindx, saddr, dport FROM packets WHERE proto = 17 AND dport > 49152")
 add("exclude_sources", lambda p: p.where(~F.col("saddr").isin(2654435761, 1013904226)).groupBy("proto").agg(F.count("*").alias("n")),
     "SELECT proto, count(*) AS n FROM packets WHERE saddr NOT IN (2654435761, 1013904226) GROUP BY ALL")
@@ -79,7 +79,7 @@ add("masks_and_text", lambda p: p.select("pindx", net.ip_text(F.col("saddr")).al
     daddr & 255 AS host, saddr >> 24 AS srcnet, CASE proto WHEN 1 THEN 'icmp' WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' END AS protocol FROM packets""")
 
 NETS, SCANNERS = ["10.1.0.0/22  # near", "10.1.8.0/24", "# none", "2001:db8::/32"], ["158.0.0.0/7", "60.0.0.0/6"]
-LONG_LIST = [f"{k}.{(k * 37) % 256}.0.0/17" for k in range(1, 224)]
+LONG_LIST = [f"{k}.{128 * (k * 37 // 7 % 2)}.0.0/9" for k in range(1, 224)]
 
 
 def _in(column: str, networks: list[str]) -> str:
@@ -104,7 +104,10 @@ add("hour_rebin", ingest.hour_counts, f"SELECT {HOUR} AS hour, count(*) AS n FRO
 add("hour_gapfill", lambda p: ingest.fill_hours(ingest.hour_counts(p.where("dport = 49160"))),
     f""", c AS (SELECT {HOUR} AS hour, count(*) AS n FROM packets WHERE dport = 49160 GROUP BY ALL), e AS (SELECT unnest(range((SELECT min(hour) FROM c), (SELECT max(hour) FROM c) + 1, 3600)) AS hour)
     SELECT hour, coalesce(n, 0) AS n FROM e LEFT JOIN c USING (hour)""")
-add("missing_set", lambda p: ingest.missing(p, p.where("proto = 6"), "saddr"), "SELECT DISTINCT saddr FROM packets WHERE saddr NOT IN (SELECT saddr FROM packets WHERE proto = 6)")
+add("hour_index", ingest.hour_index, f"SELECT hour, CAST(row_number() OVER (ORDER BY hour) - 1 AS INT) AS place FROM (SELECT DISTINCT {HOUR} AS hour FROM packets)")
+add("hour_names", lambda p: p.select("pindx", ingest.local_hour_name(F.expr("ts_us div 1000000"), "America/Los_Angeles").alias("name")),
+    "SELECT pindx, strftime(make_timestamp(ts_us - 28800000000), '%Y-%m-%d-%H') AS name FROM packets")  # January: no summer time
+add("missing_set", lambda p: ingest.missing(p, p.where("dport = 49160"), "saddr"), "SELECT DISTINCT saddr FROM packets WHERE saddr NOT IN (SELECT saddr FROM packets WHERE dport = 49160)")
 add("dst_subnets", ingest.destination_subnets, " UNION ALL ".join(f"SELECT DISTINCT {w} AS width, {_m('daddr', w)} AS net FROM packets" for w in (24, 20, 16)))
 SPANS = [(1704067200, 1704153600, "a"), (1704110400, 1704196800, "b"), (1704500000, 1704600000, "c")]
 add("time_spans_join", lambda p: ingest.by_spans(p, SPANS).select("span", "pindx"),
@@ -115,11 +118,17 @@ add("top_ports_by_sources", daily_port.ports_by_sources,
 DAILY = f""", d AS (SELECT ts_us // 86400000000 AS day, dport, count(DISTINCT {_m('saddr', 24)}) AS nsrcs, count(*) AS npkts FROM packets WHERE proto = 17 GROUP BY ALL),
     h AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY day ORDER BY nsrcs DESC, npkts DESC, dport) <= 10),
     w AS (SELECT * FROM h WHERE dport > 49152 QUALIFY row_number() OVER (PARTITION BY day ORDER BY npkts / nsrcs, dport) = 1)"""
-add("port_of_day", daily_port.port_of_day, DAILY + " SELECT day, dport, nsrcs, npkts FROM w")
+add("port_of_day", lambda p: daily_port.port_of_day(p, least_hours=1), DAILY + " SELECT day, dport, nsrcs, npkts FROM w")
+HOURS = [*range(6), *range(10, 16)]
+add("port_of_day_hours", lambda p: daily_port.port_of_day(p, least_hours=12, hours=HOURS),
+    f""", e AS (SELECT ts_us // 86400000000 AS day FROM packets GROUP BY day HAVING count(DISTINCT ts_us // 3600000000) >= 12),
+    d AS (SELECT ts_us // 86400000000 AS day, dport, count(DISTINCT {_m('saddr', 24)}) AS nsrcs, count(*) AS npkts FROM packets WHERE proto = 17 AND ts_us // 3600000000 % 24 IN ({', '.join(map(str, HOURS))}) GROUP BY ALL),
+    h AS (SELECT * FROM d JOIN e USING (day) QUALIFY row_number() OVER (PARTITION BY day ORDER BY nsrcs DESC, npkts DESC, dport) <= 10)
+    SELECT day, dport, nsrcs, npkts FROM h WHERE dport > 49152 QUALIFY row_number() OVER (PARTITION BY day ORDER BY npkts / nsrcs, dport) = 1""")
 add("port_of_day_flow", daily_port.port_of_day_flows,
     """, d AS (SELECT ts_us // 86400000000 AS day, dport, count(DISTINCT saddr >> 8) AS nsrcs FROM packets WHERE proto = 17 AND dport >= 49152 GROUP BY ALL)
     SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY day ORDER BY nsrcs DESC, dport) = 1""")
-add("daily_port_lookup", lambda p: daily_port.packets_of_daily_port(p, daily_port.port_of_day(p)).select("day", "dport", "pindx"),
+add("daily_port_lookup", lambda p: daily_port.packets_of_daily_port(p, daily_port.port_of_day(p, least_hours=1)).select("day", "dport", "pindx"),
     DAILY + " SELECT day, dport, pindx FROM w JOIN (SELECT *, ts_us // 86400000000 AS day FROM packets) USING (day, dport)")
 add("count_sources_subnet", lambda p: daily_port.count_sources(p, "10.1.2.0/24"), f"SELECT count(DISTINCT saddr) AS nsrcs, count(*) AS npkts FROM packets WHERE {_in('daddr', ['10.1.2.0/24'])}")
 add("src_per_hour", daily_port.sources_per_hour, f"SELECT {HOUR} AS hour, saddr, count(*) AS n FROM packets GROUP BY ALL")
@@ -142,8 +151,18 @@ _xy = lambda f: lambda p: (lambda x, y: p.select("pindx", x.cast("long").alias("
 add("morton_xy", _xy(lambda c: curves.morton(c, 8)),
     "SELECT pindx, " + ", ".join("CAST(" + " | ".join(f"(((daddr >> {2 * k + s}) & 1) << {k})" for k in range(8)) + f" AS BIGINT) AS {n}" for s, n in ((0, "x"), (1, "y"))) + " FROM packets")
 add("row_major_xy", _xy(lambda c: curves.row_major(c, 256)), "SELECT pindx, (daddr & 65535) % 256 AS x, (daddr & 65535) // 256 AS y FROM packets")
-add("hilbert_xy", _xy(lambda c: curves.hilbert(c, 8)))
-add("arc_geometry", lambda p: (lambda c: c.join(c.agg(F.max("npkts").alias("largest"))).select("srcnet", "dst", *(x.alias(n) for x, n in zip(curves.arc(F.col("npkts"), F.col("largest"), F.col("dst"), 3), ("radius", "angle"), strict=True))))(net_pairs.pair_counts(p, PAIRS)),
+def _hilbert_sql() -> str:
+    """The curve's conditional turns, a step a digit."""
+    steps = ["h0 AS (SELECT pindx, daddr & 65535 AS d, 0::BIGINT AS x, 0::BIGINT AS y FROM packets)"]
+    for k in range(8):
+        rx, ry = f"((d >> {2 * k + 1}) & 1)", f"(xor(d >> {2 * k}, d >> {2 * k + 1}) & 1)"
+        turned = f"CASE WHEN {ry} = 0 THEN CASE WHEN {rx} = 1 THEN {(1 << k) - 1} - {{0}} ELSE {{0}} END ELSE {{1}} END + {{2}} * {1 << k}"
+        steps.append(f"h{k + 1} AS (SELECT pindx, d, {turned.format('y', 'x', rx)} AS x, {turned.format('x', 'y', ry)} AS y FROM h{k})")
+    return ", " + ", ".join(steps) + " SELECT pindx, x, y FROM h8"
+
+
+add("hilbert_xy", _xy(lambda c: curves.hilbert(c, 8)), _hilbert_sql())
+add("arc_geometry", lambda p: (lambda c: c.join(F.broadcast(c.agg(F.max("npkts").alias("largest")))).select("srcnet", "dst", *(x.alias(n) for x, n in zip(curves.arc(F.col("npkts"), F.col("largest"), F.col("dst"), 3), ("radius", "angle"), strict=True))))(net_pairs.pair_counts(p, PAIRS)),
     PAIR_SQL + " SELECT srcnet, dst, 2 * npkts / (SELECT max(npkts) FROM pairs) AS radius, dst * 360.0::DOUBLE / 3 AS angle FROM pairs")
 add("subnet_compare_band", lambda p: net_pairs.rank_band(p, 1, 8),
     f""", t AS (SELECT dport, count(*) AS total FROM packets GROUP BY dport ORDER BY total DESC, dport LIMIT 8), k AS (SELECT dport, CAST(row_number() OVER (ORDER BY total DESC, dport) AS INT) AS place FROM t)
@@ -188,13 +207,13 @@ geo("pivot_year_net", lambda p, g: places.with_places(p, g, "inner").groupBy(net
 geo("asn_other", lambda p, g: places.with_others(places.with_places(p, g, "inner").groupBy(F.col("asn").cast("string").alias("asn"), "saddr").agg(F.count("*").alias("k")), "asn", "k", 0.5),
     """, r AS (SELECT CAST(asn AS VARCHAR) AS asn, saddr, count(*) AS k FROM located WHERE asn IS NOT NULL GROUP BY ALL), s AS (SELECT asn, sum(k) AS n FROM r GROUP BY asn), o AS (SELECT CASE WHEN n < (SELECT count(*) FROM r) * 0.5 THEN 'Other' ELSE asn END AS asn, n FROM s)
     SELECT asn, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY asn""")
-geo("missing_geo", lambda p, g: places.without_place(p, g.where("country <> 'CHINA'")), "SELECT DISTINCT saddr FROM packets WHERE saddr NOT IN (SELECT saddr FROM places WHERE country <> 'CHINA')")
+geo("missing_geo", lambda p, g: places.without_place(p, g.where("region <> 'ASIA'")), "SELECT DISTINCT saddr FROM packets WHERE saddr NOT IN (SELECT saddr FROM places WHERE region <> 'ASIA')")
 geo("week_slots_local", lambda p, g: places.week_slots(p, 3, 5.5), "SELECT ((isodow(t) - 1) * 24 + hour(t)) // 3 AS slot, count(*) AS n FROM (SELECT make_timestamp(ts_us + 19800000000) AS t FROM packets) GROUP BY ALL")
 add("weekslot_counts", places.week_slots, "SELECT ((isodow(t) - 1) * 24 + hour(t)) // 3 AS slot, count(*) AS n FROM (SELECT make_timestamp(ts_us) AS t FROM packets) GROUP BY ALL")
 add("ttl_hist", lambda p: places.histogram(p, "ttl", 48, 55, 7), "SELECT (ttl - 48)::BIGINT + 1 AS bin, count(*) AS n FROM packets GROUP BY ALL")
 add("keep_last_dim", lambda p: places.keep_last(p.select("saddr", "pindx", "dport"), "saddr", "pindx"), "SELECT saddr, pindx, dport FROM packets QUALIFY row_number() OVER (PARTITION BY saddr ORDER BY pindx DESC) = 1")
 
-DEVICES = [("steel", "Camera"), ("brass", "Router"), ("copper", "Printer")]
+DEVICES = [("large", "Camera"), ("small", "Router"), ("promo", "Printer")]
 
 
 def table(name: str, of: str, query: Callable[[DataFrame], DataFrame], sql: str) -> None:
@@ -203,7 +222,11 @@ def table(name: str, of: str, query: Callable[[DataFrame], DataFrame], sql: str)
 
 
 table("device_type", "part", lambda t: t.groupBy(places.device_type(places.normalized_banner(F.col("p_type")), DEVICES, "Server").alias("device")).agg(F.count("*").alias("n")),
-    "SELECT CASE WHEN contains(lower(p_type), 'copper') THEN 'Printer' WHEN contains(lower(p_type), 'brass') THEN 'Router' WHEN contains(lower(p_type), 'steel') THEN 'Camera' ELSE 'Server' END AS device, count(*) AS n FROM part GROUP BY ALL")
+    "SELECT CASE WHEN contains(lower(p_type), 'promo') THEN 'Printer' WHEN contains(lower(p_type), 'small') THEN 'Router' WHEN contains(lower(p_type), 'large') THEN 'Camera' ELSE 'Server' END AS device, count(*) AS n FROM part GROUP BY ALL")
+table("responding", "part", lambda t: places.responding(t.where("p_size < 20").select(F.col("p_size").alias("port")), t.select(F.col("p_partkey").alias("ip"))),
+    "SELECT p_size AS port, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(DISTINCT p_partkey) FROM part), 6) AS pct FROM part WHERE p_size < 20 GROUP BY p_size")
+table("as_split", "customer", lambda t: (lambda org: t.select(places.as_number(org).alias("number"), places.as_name(org).alias("name")))(F.concat(F.lit("AS"), F.col("c_custkey").cast("string"), F.lit(" Net of "), F.col("c_name"))),
+    "SELECT CAST(c_custkey AS VARCHAR) AS number, 'Net of ' || c_name AS name FROM customer")
 table("word_counts", "part", lambda t: places.word_counts(t.select(F.lower("p_type").alias("b")), "b"), "SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS word FROM part) WHERE word <> '' GROUP BY word")
 
 add("packet_gap", lambda p: behaviour.packet_gap(p).select("pindx", "gap_us"), "SELECT pindx, coalesce(ts_us - lag(ts_us) OVER (PARTITION BY saddr ORDER BY ts_us, pindx), 0) AS gap_us FROM packets")
@@ -215,7 +238,15 @@ add("fingerprint_entropy", lambda p: p.where("proto = 17").select("pindx", behav
     n AS (SELECT pindx, fp, c, count(*) / any_value(length(fp)) AS p FROM s WHERE c <> '' GROUP BY pindx, fp, c) SELECT pindx, fp, round(-sum(p * ln(p)), 6) AS entropy FROM n GROUP BY ALL""")
 add("pattern_having", lambda p: p.groupBy("ttl").agg(F.count("*").alias("n")).where("n > 9"), "SELECT ttl, count(*) AS n FROM packets GROUP BY ttl HAVING count(*) > 9")
 add("horizontal_scans", lambda p: scans.horizontal_scans(p, 28, 120), source=syn.probes)
-add("result_lines", lambda p: counts.to_text(counts.count_query(p, "PAS24", DAY, top=3), "PAS24", tag=True))
+_lines = _count_sql(PA | {"saddr": _m("saddr", 24)}, DAY, 3)
+_cut = _lines.rindex(" SELECT start")
+add("result_lines", lambda p: counts.to_text(counts.count_query(p, "PAS24", DAY, top=3), "PAS24", tag=True),
+    _lines[:_cut] + ", r AS (" + _lines[_cut:] + ") SELECT concat_ws(',', 'C', n, 'start_time', start, 'P', proto, 'A', dport, 'S24', concat_ws('.', saddr >> 24, (saddr >> 16) & 255, (saddr >> 8) & 255, saddr & 255) || '/24', 'PAS24') AS line FROM r")
+add("total_lines", lambda p: counts.total_lines(p, "PA", 600), TOTAL.format(i=600, where="true").replace("SELECT start, coalesce(n, 0) AS n FROM e", "SELECT concat_ws(',', 'T', coalesce(n, 0), 'start_time', start, 'PA') AS line FROM e"))
+add("total_lines_empty", lambda p: counts.total_lines(p.where("false"), "PA", 600), "SELECT 'T,0,start_time,0,PA' AS line WHERE NOT EXISTS (SELECT 1 FROM packets WHERE false)")
+add("fingerprints", lambda p: p.select("pindx", behaviour.fingerprint().alias("fp")),
+    "SELECT pindx, CASE proto WHEN 6 THEN printf('%04x%02x%02x', dport, 0, len % 256) WHEN 17 THEN printf('%04x%02x', dport, len % 256) ELSE printf('%02x%02x', dport % 256, len % 256) END AS fp FROM packets")
+add("year_values", lambda p: places.year_values(p, "dport"), f"SELECT DISTINCT {YEAR}::INT AS year, dport FROM packets")
 add("ttl_patterns", lambda p: ttl_shapes.describe(scans.horizontal_scans(p, 24, 120)), source=syn.sweeps)
 _values = lambda p: behaviour.principal_values(behaviour.features(p.where("proto = 17")), 8, 16)
 add("pc_values", _values)

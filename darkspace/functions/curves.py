@@ -38,5 +38,5 @@ def hilbert(column: Column, bits: int = 8) -> tuple[Column, Column]:
 
 
 def arc(value: Column, largest: Column, index: Column, count: int) -> tuple[Column, Column]:
-    """Radius and angle in degrees of a value's mark on a circle."""
-    return 2 * value / largest, index * F.lit(360.0) / F.lit(count)
+    """Radius and angle in degrees of a value's mark on a circle; no radius, so no mark, where the value isn't above 0."""
+    return F.when(value > 0, 2 * value / largest), index * F.lit(360.0) / F.lit(count)

@@ -84,3 +84,13 @@ def member(df: DataFrame, column: str, networks: Iterable[str], keep: bool = Tru
     table = range_table(df.sparkSession, networks)
     condition = (F.shiftright(rows[column], 16) == table.prefix) & rows[column].between(table.low, table.high)
     return rows.join(table, condition, "left_semi" if keep else "left_anti")
+
+
+def with_membership(df: DataFrame, column: str, networks: Iterable[str], name: str) -> DataFrame:
+    """Adds whether a row's address is in the networks; false for rows without an address. A long list is joined, as in ``member``."""
+    networks = list(networks)
+    if len(ranges(networks)) <= INLINE_RANGES:
+        return df.withColumn(name, F.coalesce(within(F.col(column), networks), F.lit(False)))
+    table = range_table(df.sparkSession, networks).withColumnsRenamed({"prefix": "_prefix", "low": "_low", "high": "_high"})
+    condition = (F.shiftright(df[column], 16) == table["_prefix"]) & df[column].between(table["_low"], table["_high"])  # ranges are disjoint, so one row at most
+    return df.join(table, condition, "left").withColumn(name, F.col("_low").isNotNull()).drop("_prefix", "_low", "_high")

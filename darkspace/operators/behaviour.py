@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 COMPONENTS = "saddr long, ts_us long, " + ", ".join(f"val{k} double" for k in range(5)) + ", " + ", ".join(f"delta{k} double" for k in range(5))
 #: Sources in a block of pairs, and distances of rows that are held at a time.
 SOURCES, CELLS = 128, 1 << 18
@@ -49,29 +53,46 @@ def cosine(now: Column, before: Column) -> Column:
     return dot / (norm(p) * norm(q))
 
 
-def port_interest(packets: DataFrame, last: int = 100) -> DataFrame:
+def port_interest(packets: DataFrame, last: int = 100, block: int = 100_000) -> DataFrame:
     """Share of a packet's port among the ``last`` packets of all sources before it.
 
     The global order is found without one sorting task: packets are counted by
     second, a running sum over seconds gives each second's first number, and
-    numbers within a second come from a window by second.
+    numbers within a second come from a window by second. Numbers are cut into
+    blocks, each with the ``last`` packets before it once more, so a port that
+    most packets seek is many windows.
     """
     rows = packets.withColumn("_sec", F.expr("ts_us div 1000000"))
     seconds = rows.groupBy("_sec").agg(F.count("*").alias("_n"))
     seconds = seconds.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_sec").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rows = rows.join(seconds, "_sec").withColumn("_g", F.col("_before") + F.row_number().over(Window.partitionBy("_sec").orderBy("ts_us", "pindx")))
-    same = F.count("*").over(Window.partitionBy("dport").orderBy("_g").rangeBetween(-last, -1))
+    block = max(block, last)
+    own = F.expr(f"_g div {block}")
+    blocks = F.when(F.col("_g") % block >= block - last, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.withColumn("_block", F.explode(blocks))
+    same = F.count("*").over(Window.partitionBy("_block", "dport").orderBy("_g").rangeBetween(-last, -1))
     seen = F.least(F.col("_g") - 1, F.lit(last))
-    return rows.withColumn("interest", F.when(seen > 0, same / seen).otherwise(F.lit(0.0))).drop("_sec", "_before", "_g")
+    rows = rows.withColumn("interest", F.when(seen > 0, same / seen).otherwise(F.lit(0.0))).where(F.col("_block") == own)
+    return rows.drop("_sec", "_before", "_g", "_block")
+
+
+#: A feature by name, from the rows with their running columns (gap_us, fp, fp_before, interest, window's order).
+Plugin = Callable[[WindowSpec], Column]
+
 
+def features(packets: DataFrame, last: int = 100, plugins: Mapping[str, Plugin] | None = None) -> DataFrame:
+    """f0 to f4 of every packet: gap, len, entropy, divergence and interest (ICMP: cosine); then those of ``plugins``, in their order.
 
-def features(packets: DataFrame, last: int = 100) -> DataFrame:
-    """gap, len, entropy, divergence and interest (ICMP: cosine) of every packet."""
+    A plugin gets the window of a source's packets in order and gives a
+    numeric Column over the packet's columns and gap_us, fp, fp_before, interest.
+    """
     window = Window.partitionBy("saddr").orderBy("ts_us", "pindx")
     rows = port_interest(packet_gap(packets), last).withColumn("fp", fingerprint(F.col("tcp_flags") if "tcp_flags" in packets.columns else None))
     rows = rows.withColumn("fp_before", F.coalesce(F.lag("fp").over(window), F.col("fp")))
     fifth = F.when(F.col("proto") == 1, cosine(F.col("fp"), F.col("fp_before"))).otherwise(F.col("interest"))
-    return rows.select("saddr", "ts_us", "pindx", (F.col("gap_us") / 1e6).alias("f0"), F.col("len").cast("double").alias("f1"), entropy(F.col("fp")).alias("f2"), divergence(F.col("fp"), F.col("fp_before")).alias("f3"), fifth.alias("f4"))
+    own = [(F.col("gap_us") / 1e6), F.col("len").cast("double"), entropy(F.col("fp")), divergence(F.col("fp"), F.col("fp_before")), fifth]
+    own += [plugin(window).cast("double") for plugin in (plugins or {}).values()]
+    return rows.select("saddr", "ts_us", "pindx", *(c.alias(f"f{k}") for k, c in enumerate(own)))
 
 
 def components_of(times: np.ndarray, values: np.ndarray, points: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,18 +112,19 @@ def components_of(times: np.ndarray, values: np.ndarray, points: int) -> tuple[n
 
 
 def principal_values(rows: DataFrame, states: int = 20, points: int = 32) -> DataFrame:
-    """val and delta of the last ``states`` packets, from a source's (states + 3)rd packet on."""
-    columns = [c.split()[0] for c in COMPONENTS.split(", ")]
+    """val and delta of the last ``states`` packets, from a source's (states + 3)rd packet on; one of each for every feature."""
+    names = sorted((c for c in rows.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+    kinds = [f"{kind}{k}" for kind in ("val", "delta") for k in range(len(names))]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_us", "pindx"])
-        times, values, out = pdf["ts_us"].to_numpy(float), pdf[[f"f{k}" for k in range(5)]].to_numpy(float), []
+        times, values, out = pdf["ts_us"].to_numpy(float), pdf[names].to_numpy(float), []
         for k in range(states + 2, len(pdf)):
             val, delta = components_of(times[k - states + 1 : k + 1], values[k - states + 1 : k + 1], points)
             out.append((int(pdf["saddr"].iloc[0]), int(times[k]), *map(float, val), *map(float, delta)))
-        return pd.DataFrame(out, columns=columns)
+        return pd.DataFrame(out, columns=["saddr", "ts_us", *kinds])
 
-    return rows.groupBy("saddr").applyInPandas(run, COMPONENTS)
+    return rows.groupBy("saddr").applyInPandas(run, "saddr long, ts_us long, " + ", ".join(f"{c} double" for c in kinds))
 
 
 def hausdorff(a: np.ndarray, b: np.ndarray) -> float:
@@ -137,45 +159,41 @@ def hausdorff_block(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarr
 
 
 def spectral_block(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Distances of every two spectra, over the length of the shorter."""
-    out = np.zeros((len(left), len(right)))
-    width = np.array([len(b) for b in right])
-    padded = np.zeros((len(right), width.max()))
-    for k, b in enumerate(right):
-        padded[k, : len(b)] = b
-    for k, a in enumerate(left):
-        n = min(len(a), padded.shape[1])
-        gaps = np.where(np.arange(n) < width[:, None], a[:n] - padded[:, :n], 0)
-        out[k] = np.linalg.norm(gaps, axis=1)
-    return out
+    """Distances of every two spectra, which have one length."""
+    own = np.stack(right)
+    return np.stack([np.linalg.norm(a - own, axis=1) for a in left])
 
 
-def distances(values: DataFrame, kind: str = "hausdorff", least: int = 20, rows: int | None = None) -> DataFrame:
-    """a, b, distance of all pairs (a < b) of sources with ``least`` rows or more.
+def distances(values: DataFrame, kind: str = "hausdorff", least: int | None = None, rows: int | None = None) -> DataFrame:
+    """a, b, distance of all pairs (a < b) of sources with ``least`` rows or more (20; 5 for "spectral").
 
     Blocks of about SOURCES sources meet blocks of sources, each two in one
     group, so the groups grow in number with the input and not in size. The
-    pairs themselves are the square of the sources, half of it. ``rows`` bounds
-    a source's rows for "hausdorff" (the first by hash of their place); none
-    are left out without it.
+    pairs themselves are the square of the sources, half of it. A spectrum is
+    found once for each source, and has as many values as the source with the
+    fewest rows. ``rows`` bounds a source's rows for "hausdorff" (the first by
+    hash of their place); none are left out without it.
     """
-    names = [c.split()[0] for c in COMPONENTS.split(", ")[2:]]
+    least = (20 if kind == "hausdorff" else 5) if least is None else least
+    names = [c for c in values.columns if c.startswith(("val", "delta"))]
     series = values.groupBy("saddr").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ts_us", *names))).alias("rows")).where(F.col("n") >= least)
     x = F.transform("rows", lambda r: F.array(*(r[c] for c in names)))
     if rows is not None and kind == "hausdorff":
         placed = F.array_sort(F.transform(x, lambda r, k: F.struct(F.xxhash64(k).alias("h"), r.alias("x"))))
         x = F.transform(F.slice(placed, 1, rows), lambda r: r["x"])
-    series = series.select("saddr", F.flatten(x).alias("x"))
+    series = series.select("saddr", "n", F.flatten(x).alias("x"))
 
     @F.pandas_udf("array<double>")
     def eigenvalues(own: pd.Series) -> pd.Series:
         return pd.Series([spectrum(np.asarray(x, float).reshape(-1, len(names)), len(x)) for x in own])
 
     if kind != "hausdorff":
-        series = series.select("saddr", eigenvalues("x").alias("x"))
-    context = values.sparkSession.sparkContext
-    series = series.checkpoint() if context.getCheckpointDir() else series.localCheckpoint()  # the number of blocks needs the number of sources
-    blocks = max(1, -(-series.count() // SOURCES))
+        series = series.select("saddr", "n", eigenvalues("x").alias("x"))
+    series = cut(series)  # the number of blocks needs the number of sources
+    count, shortest = series.agg(F.count("*"), F.min("n")).first()
+    if kind != "hausdorff":
+        series = series.withColumn("x", F.slice("x", 1, shortest or 1))
+    blocks = max(1, -(-count // SOURCES))
     own = F.pmod(F.xxhash64("saddr"), F.lit(blocks)).cast("int")
     dealt = series.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "saddr", "x")
@@ -300,5 +318,33 @@ def clusters(pairs: DataFrame, kind: str = "agglomerative", **options) -> DataFr
     return pairs.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "saddr long, label long")
 
 
+def cluster_scores(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """clusters, silhouette and davies_bouldin of labels, from the rows of the distance matrix; null for fewer than two clusters.
+
+    As in ``clusters`` one task holds the matrix.
+    """
+    dealt = pairs.select("a", "b", "distance", F.lit(None).cast("long").alias("label")).union(labels.select(F.col("saddr"), F.lit(None).cast("long"), F.lit(None).cast("double"), "label"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        named = pdf[pdf["label"].notna()].sort_values("a")
+        names, own = named["a"].to_numpy(), named["label"].to_numpy().astype(int)
+        both = pdf[pdf["label"].isna()]
+        m = np.zeros((len(names), len(names)))
+        a, b = np.searchsorted(names, both["a"]), np.searchsorted(names, both["b"].astype("int64"))
+        m[a, b] = m[b, a] = both["distance"]
+        several = len(set(own.tolist())) > 1
+        return pd.DataFrame({"clusters": [len(set(own.tolist()))], "silhouette": [silhouette(m, own) if several else None], "davies_bouldin": [davies_bouldin(m, own) if several else None]})
+
+    return dealt.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "clusters long, silhouette double, davies_bouldin double")
+
+
 def centroids(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("label").agg(*(F.avg(c).alias(c) for c in columns), F.count("*").alias("n"))
+
+
+def centroid_distances(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, distance between the centroids of every two labels (a < b), of which there are few."""
+    means = centroids(rows, columns)
+    left, right = means.select(F.col("label").alias("a"), F.array(*columns).alias("x")), means.select(F.col("label").alias("b"), F.array(*columns).alias("y"))
+    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d))
+    return left.join(right, F.col("a") < F.col("b")).select("a", "b", gap.alias("distance"))

@@ -60,6 +60,14 @@ def totals(packets: DataFrame, interval: int = 900, where: str | None = None) ->
     return every.join(counts, "start", "left").select("start", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def total_lines(packets: DataFrame, query: str, interval: int = 900, where: str | None = None) -> DataFrame:
+    """The T lines of a query: the packets of every interval; without any packet one line that says so."""
+    rows = totals(packets, interval, where)
+    none = packets.sparkSession.range(1).select(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n"))
+    none = none.join(F.broadcast(rows.agg(F.count("*").alias("k"))), F.col("k") == 0).select("start", "n")  # one row each
+    return rows.union(none).select(F.concat_ws(",", F.lit("T"), F.col("n").cast("string"), F.lit("start_time"), F.col("start").cast("string"), F.lit(query)).alias("line"))
+
+
 def count_queries(packets: DataFrame, queries: Sequence[str], interval: int = 900, top: int | None = None) -> DataFrame:
     """query, start, key (fields joined by commas), n for several queries over one scan of the packets."""
     rows = with_interval(packets, interval)

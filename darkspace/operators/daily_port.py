@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,13 +18,17 @@ def ports_by_sources(packets: DataFrame, width: int = 24, proto: int = 17, top:
     return rows if top is None else rows.orderBy(F.desc("nsrcs"), F.desc("npkts"), "dport").limit(top)
 
 
-def port_of_day(packets: DataFrame, width: int = 24, proto: int = 17, above: int = 49152, top: int = 10, least_hours: int = 1) -> DataFrame:
+def port_of_day(packets: DataFrame, width: int = 24, proto: int = 17, above: int = 49152, top: int = 10, least_hours: int = 21, hours: Sequence[int] | None = None) -> DataFrame:
     """day, dport, nsrcs, npkts: of a day's ``top`` ports by sources, the one above ``above`` with the fewest packets a source.
 
-    Days with fewer than ``least_hours`` hours of data are skipped.
+    Days with packets of any protocol in fewer than ``least_hours`` hours are
+    skipped. Of the others only the ``hours`` of the day count (all, without).
     """
-    rows = with_hour(packets.where(F.col("proto") == proto)).withColumn("day", F.expr("hour div 86400"))
-    days = rows.groupBy("day").agg(F.count_distinct("hour").alias("hours")).where(F.col("hours") >= least_hours).select("day")
+    everything = with_hour(packets).withColumn("day", F.expr("hour div 86400"))
+    days = everything.groupBy("day").agg(F.count_distinct("hour").alias("n")).where(F.col("n") >= least_hours).select("day")
+    rows = everything.where(F.col("proto") == proto)
+    if hours is not None:
+        rows = rows.where((F.expr("hour div 3600") % 24).isin(list(hours)))
     ports = rows.groupBy("day", "dport").agg(F.count_distinct(mask(F.col("saddr"), width)).alias("nsrcs"), F.count("*").alias("npkts")).join(days, "day")
     first = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("nsrcs"), F.desc("npkts"), "dport"))
     high = ports.withColumn("k", first).where((F.col("k") <= top) & (F.col("dport") > above))

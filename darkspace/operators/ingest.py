@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.net import mask, member, within
-from .counts import count_queries
+from ..functions.net import mask, member, with_membership
+from ..plans.grammar import query_columns
 
 
 def valid_subnets(packets: DataFrame, allowed: Iterable[str], omitted: Iterable[str]) -> DataFrame:
@@ -49,15 +49,39 @@ def by_spans(packets: DataFrame, spans: Sequence[tuple[int, int, str]]) -> DataF
 
 
 def scanner_trend(packets: DataFrame, scanners: Iterable[str], queries: Sequence[str] = ("PA", "S24", "S", "D"), interval: int = 4000, top: int = 256) -> DataFrame:
-    """Counts for all packets, those of acknowledged scanners, and the others, in one job."""
-    known = within(F.col("saddr"), scanners)
-    out = None
-    for name, part in (("all", packets), ("ack", packets.where(known)), ("nack", packets.where(~known))):
-        rows = count_queries(part, queries, interval, top).withColumn("subset", F.lit(name))
-        out = rows if out is None else out.union(rows)
-    return out
+    """Counts for all packets, those of acknowledged scanners, and the others, in one job.
+
+    Packets are tagged once, count in two subsets each, and are aggregated
+    together; intervals count from the first packet of a subset.
+    """
+    tagged = with_membership(packets, "saddr", scanners, "known")
+    subset = F.explode(F.array(F.lit("all"), F.when(F.col("known"), "ack").otherwise("nack")))
+    keys = F.array(*(F.struct(F.lit(q).alias("query"), F.concat_ws(",", *(c.cast("string") for c in query_columns(q))).alias("key")) for q in queries))
+    rows = tagged.select(F.expr("ts_us div 1000000").alias("sec"), keys.alias("keys"), subset.alias("subset"))
+    first = rows.groupBy("subset").agg(F.min("sec").alias("first"))
+    rows = rows.join(F.broadcast(first), "subset").withColumn("start", F.expr(f"first + (sec - first) div {interval} * {interval}"))  # three rows
+    counts = rows.select("subset", "start", F.inline("keys")).groupBy("subset", "query", "start", "key").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("subset", "query", "start").orderBy(F.desc("n"), "key"))
+    return counts.withColumn("_place", place).where(F.col("_place") <= top).drop("_place").select("query", "start", "key", "n", "subset")
+
+
+def hour_index(packets: DataFrame) -> DataFrame:
+    """hour and its place (from 0) among all hours with packets: the shared axis of counts by subnet."""
+    hours = with_hour(packets).select("hour").distinct()
+    return hours.withColumn("place", (F.row_number().over(Window.orderBy("hour")) - 1).cast("int"))  # hours only
+
+
+def local_hour_name(seconds: Column, zone: str) -> Column:
+    """YYYY-MM-DD-HH of a time in a zone, as hourly files are called."""
+    utc = F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone())
+    return F.date_format(F.from_utc_timestamp(utc, zone), "yyyy-MM-dd-HH")
 
 
 def write_by_destination(packets: DataFrame, path: str, width: int = 24) -> None:
-    """A folder for each destination network."""
-    packets.withColumn("dst_net", mask(F.col("daddr"), width)).repartition("dst_net").write.partitionBy("dst_net").mode("overwrite").parquet(path)
+    """A folder for each destination network; every task writes what it has of each, so a busy network is many files and not one task."""
+    packets.withColumn("dst_net", mask(F.col("daddr"), width)).write.partitionBy("dst_net").mode("overwrite").parquet(path)
+
+
+def write_by_spans(packets: DataFrame, spans: Sequence[tuple[int, int, str]], path: str) -> None:
+    """A folder for each span, which may overlap."""
+    by_spans(packets, spans).write.partitionBy("span").mode("overwrite").parquet(path)

@@ -19,12 +19,19 @@ def pair_counts(packets: DataFrame, networks: Sequence[str], width: int = 8) ->
 
 
 def nth_value(counts: DataFrame, percent: float) -> DataFrame:
-    """npkts and nsrcs at index int(count * percent / 100) of each sorted list (the largest, at 100)."""
-    rows = counts.withColumn("total", F.count("*").over(Window.partitionBy()))
+    """npkts and nsrcs at index int(count * percent / 100) of each sorted list (the largest, at 100).
+
+    Rows are counted by value first, so the running sum is over distinct values only.
+    """
     index = F.least(F.floor(F.col("total") * percent / 100), F.col("total") - 1)
-    rows = rows.withColumn("i", index)
-    out = rows.withColumn("p", F.row_number().over(Window.orderBy("npkts")) - 1).withColumn("s", F.row_number().over(Window.orderBy("nsrcs")) - 1)
-    return out.agg(F.max(F.when(F.col("p") == F.col("i"), F.col("npkts"))).alias("npkts"), F.max(F.when(F.col("s") == F.col("i"), F.col("nsrcs"))).alias("nsrcs"))
+    places = counts.agg(F.count("*").alias("total")).select(index.alias("i"))
+    out = None
+    for name in ("npkts", "nsrcs"):
+        values = counts.groupBy(name).agg(F.count("*").alias("k"))
+        upto = values.withColumn("upto", F.sum("k").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)))
+        found = upto.join(F.broadcast(places)).where(F.col("upto") > F.col("i")).agg(F.min(name).alias(name))  # one row
+        out = found if out is None else out.join(F.broadcast(found))
+    return out
 
 
 def rank_band(packets: DataFrame, first: int, last: int, width: int = 24) -> DataFrame:

@@ -28,12 +28,18 @@ def year() -> Column:
     return F.year(F.timestamp_micros("ts_us"))
 
 
-def year_stats(packets: DataFrame, columns: Sequence[str] = ("saddr", "daddr", "dport"), months: int = 12) -> DataFrame:
-    """Rows, distinct values and their monthly average for each year."""
+def year_stats(packets: DataFrame, columns: Sequence[str] = ("saddr", "daddr", "dport"), months: int | None = 12) -> DataFrame:
+    """Rows, distinct values and their monthly average for each year (without ``months``: over the months that have packets)."""
     rows = packets.withColumn("year", year())
     distinct = [F.count_distinct(c).alias(f"n_{c}") for c in columns]
-    out = rows.groupBy("year").agg(F.count("*").alias("n"), *distinct)
-    return out.withColumns({f"m_{c}": F.round(F.col(f"n_{c}") / months, 6) for c in columns})
+    out = rows.groupBy("year").agg(F.count("*").alias("n"), F.count_distinct(F.month(F.timestamp_micros("ts_us"))).alias("_months"), *distinct)
+    by = F.col("_months") if months is None else F.lit(months)
+    return out.withColumns({f"m_{c}": F.round(F.col(f"n_{c}") / by, 6) for c in columns}).drop("_months")
+
+
+def year_values(packets: DataFrame, column: str) -> DataFrame:
+    """year and the distinct values of a column in it, a row each."""
+    return packets.select(year().alias("year"), column).distinct()
 
 
 def distinct_sources(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -57,6 +63,23 @@ def week_slots(packets: DataFrame, hours: int = 3, offset_hours: float = 0.0) ->
     return packets.select(slot.cast("long").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
 
 
+def responding(devices: DataFrame, addresses: DataFrame, key: str = "port") -> DataFrame:
+    """key, n, pct: devices by port (or type), and their percentage of all distinct addresses that were asked."""
+    asked = addresses.agg(F.count_distinct("ip").alias("asked"))
+    counts = devices.groupBy(key).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(asked)).select(key, "n", F.round(F.col("n") * 100.0 / F.col("asked"), 6).alias("pct"))  # one row
+
+
+def as_number(org: Column) -> Column:
+    """64500 of "AS64500 Name of it"."""
+    return F.substring(F.substring_index(org, " ", 1), 3, 20)
+
+
+def as_name(org: Column) -> Column:
+    """"Name of it" of "AS64500 Name of it"; empty without a name."""
+    return F.regexp_replace(org, r"^[^ ]* ?", "")
+
+
 def with_others(rows: DataFrame, key: str, count: str, share: float = 0.05, of_packets: bool = False) -> DataFrame:
     """Counts by key, with those below ``share`` of the rows (or of the packets) as 'Other'."""
     sums = rows.groupBy(key).agg(F.sum(count).alias("n"))

@@ -49,7 +49,10 @@ def parse_filter(text: str) -> Column:
 
 
 def capture_filter(text: str) -> Column:
-    """A subset of the capture filter language: ip, tcp, udp, icmp, [src|dst] host|net|port X, and, or, not, parentheses."""
+    """A subset of the capture filter language: ip, tcp, udp, icmp, [src|dst] host|net|port X, and, or, not, parentheses.
+
+    As in capture filters, ``and`` and ``or`` bind alike, from left to right; ``not`` binds tighter.
+    """
     tokens = re.findall(r"\(|\)|&&|\|\||!|[^\s()!]+", text)
     at = 0
 
@@ -77,7 +80,7 @@ def capture_filter(text: str) -> Column:
         if token in ("not", "!"):
             return ~primary()
         if token == "(":
-            out = disjunction()
+            out = expression()
             if take() != ")":
                 raise ValueError(f"no closing parenthesis: {text!r}")
             return out
@@ -91,21 +94,13 @@ def capture_filter(text: str) -> Column:
             raise ValueError(f"unknown word {kind!r} in {text!r}")
         return either(kind, side, take())
 
-    def conjunction() -> Column:
+    def expression() -> Column:
         out = primary()
-        while at < len(tokens) and tokens[at] in ("and", "&&"):
-            take()
-            out = out & primary()
-        return out
-
-    def disjunction() -> Column:
-        out = conjunction()
-        while at < len(tokens) and tokens[at] in ("or", "||"):
-            take()
-            out = out | conjunction()
+        while at < len(tokens) and tokens[at] in ("and", "&&", "or", "||"):  # of equal precedence, from left to right
+            out = out & primary() if take() in ("and", "&&") else out | primary()
         return out
 
-    out = disjunction()
+    out = expression()
     if at < len(tokens):
         raise ValueError(f"unread words in {text!r}")
     return out

@@ -215,7 +215,7 @@ def test_distances_of_all_sources_in_blocks(spark, monkeypatch, kind):
     got = {(r.a, r.b): r.distance for r in behaviour.distances(values, kind, 2).collect()}
     assert set(got) == {(a, b) for a in series for b in series if a < b}
     for a, b in [(1000, 1001), (1000, 1519), *((int(a), int(b)) for a, b in np.sort(g.choice(520, (200, 2)), axis=1) + 1000 if a < b)]:
-        k = min(len(series[a]), len(series[b]))
+        k = min(map(len, series.values()))  # of all sources
         assert got[a, b] == pytest.approx(behaviour.hausdorff(series[a], series[b]) if kind == "hausdorff" else np.linalg.norm(behaviour.spectrum(series[a], k) - behaviour.spectrum(series[b], k)))
     labels = behaviour.clusters(behaviour.distances(values, kind, 2), clusters=4).collect()
     assert sorted(r.saddr for r in labels) == sorted(series)
@@ -235,3 +235,223 @@ def test_streams(spark, tmp_path):
         query.awaitTermination()
     assert [(r.proto, r.dport, r.n) for r in spark.table("c").collect()] == [(6, 23, 24)]
     assert spark.table("s").count() == scans.horizontal_scans(p, 29, 10).count() == 3
+
+
+def test_filter_words_bind_from_left_to_right(spark):
+    p = packets(spark, [(0, 1, 2, 17, 9), (0, 1, 2, 6, 53), (0, 1, 2, 17, 53), (0, 1, 2, 1, 0)])
+    got = lambda text: sorted((r.proto, r.dport) for r in p.where(grammar.capture_filter(text)).collect())
+    assert got("udp or tcp and port 53") == [(6, 53), (17, 53)]
+    assert got("port 53 and tcp or udp") == [(6, 53), (17, 9), (17, 53)]
+    assert got("udp or (tcp and port 53)") == [(6, 53), (17, 9), (17, 53)]
+    assert got("not udp and not tcp") == [(1, 0)]
+
+
+def test_all_labels_by_brute_force():
+    """Every pair, test and negation, quadrant against quadrant, cell by cell."""
+    rng = np.random.default_rng(0)
+    side = {"A": (0, 0), "B": (0, 8), "C": (8, 0), "D": (8, 8)}
+    moves = {"S": lambda i, j: (i, j), "MUD": lambda i, j: (i, 7 - j), "MLR": lambda i, j: (7 - i, j), "R90": lambda i, j: (j, 7 - i), "R180": lambda i, j: (7 - i, 7 - j), "R270": lambda i, j: (7 - j, i)}
+    order = {"DB": "BD", "DnB": "BnD"}
+    seen = set()
+    for label in [f"{t}_{p}" for t in ttl_shapes.TESTS for p in ttl_shapes.PAIRS]:
+        test, pair = label.split("_")
+        pair = order.get(pair, pair)
+        m = rng.integers(0, 2, (16, 16))
+        (a, b), (c, d) = side[pair[0]], side[pair[-1]]
+        for i in range(8):
+            for j in range(8):
+                x, y = moves[test](i, j)
+                m[c + i, d + j] = m[a + x, b + y] ^ ("n" in pair)
+        found = ttl_shapes.patterns(m + 60)[60]
+        expected = []
+        for other in [f"{t}_{p}" for t in ttl_shapes.TESTS for p in ttl_shapes.PAIRS]:
+            t, p = other.split("_")
+            p = order.get(p, p)
+            (a, b), (c, d) = side[p[0]], side[p[-1]]
+            gaps = sum(m[c + i, d + j] != (m[a + moves[t](i, j)[0], b + moves[t](i, j)[1]] ^ ("n" in p)) for i in range(8) for j in range(8))
+            expected += [other] if gaps <= 4 else []
+        assert found == sorted(expected) and label in found
+        seen |= set(found)
+    assert len(seen) == 72
+
+
+def test_hashes_take_the_first_probe_and_the_least_ttl():
+    import hashlib
+
+    offs, ttls = [*range(255), 7], [60 + k % 2 for k in range(255)] + [99]
+    _, dhash, nhash = ttl_shapes.shape_of(offs, ttls)
+    values = [60 + k % 2 for k in range(255)] + [-1]
+    assert nhash == hashlib.sha1(", ".join(str(v - 59) for v in values).encode()).hexdigest()
+    assert dhash == hashlib.sha1(", ".join(str({60: 0, 61: 1, -1: 2}[v]) for v in values).encode()).hexdigest()
+    assert ttl_shapes.grid(offs, ttls).ravel()[7] == 99 and ttl_shapes.grid(offs, ttls).ravel()[255] == 1
+
+
+def test_labels_together(spark):
+    labels = spark.createDataFrame([("d", "n", 60, "S_AB"), ("d", "n", 60, "S_AC"), ("e", "n", 60, "S_AB"), ("e", "n", 61, "R90_AB")], "dhash string, nhash string, ttl int, label string")
+    got = lambda *a: sorted(tuple(r) for r in ttl_shapes.with_labels(labels, *a).collect())
+    assert got(["S_AB"]) == [("d", "n", 60), ("e", "n", 60)] and got(["S_AB"], ["S_AC"]) == [("e", "n", 60)] and got(["S_AB", "S_AC"]) == [("d", "n", 60)]
+
+
+def test_fragments_of_a_capture(spark, tmp_path):
+    frames = [ipv4(17, b"\x00\x05\x00\x35" + b"abcd", off=0x2000), ipv4(17, b"efghijkl", off=0x2001), ipv4(17, b"EFGHIJKL", off=0x2001), ipv4(17, b"tail", off=4), ipv4(17, struct.pack(">HHHH", 5, 53, 8, 0))]
+    (tmp_path / "f.pcap").write_bytes(capture_file(101, frames))
+    p = tables.read_packets(spark, str(tmp_path / "f.pcap"), fragments=True)
+    r = fragments.audit(fragments.only_fragments(p)).first()
+    assert (r.n_frags, r.n_first, r.n_last, r.n_overlap, r.n_missing, r.n_diff) == (4, 1, 1, 1, 1, 1)
+    lines = [x.line for x in fragments.fragment_lines(p).collect()]
+    assert lines[:2] == ["16909060,167838211,5,53,17,100.000005,8,7,1,0,0005003561626364", "16909060,167838211,0,0,17,101.000005,8,7,1,8,65666768696a6b6c"] and len(lines) == 4
+    assert fragments.fragment_lines(p, only=False, payload=False).count() == 5
+    short = spark.createDataFrame([(1, 10, 5, 0x2000, 0, 0)], "pindx long, len int, ip_ihl int, ip_off int, sport int, dport int")
+    assert fragments.only_fragments(short).first().plen == -1
+
+
+def test_fields_filters_and_payload_lines_of_captures(spark, tmp_path):
+    udp = struct.pack(">HHHH", 5, 53, 12, 258) + b"wxyz"
+    (tmp_path / "a.pcap").write_bytes(capture_file(101, [ipv4(17, udp), ipv4(6, struct.pack(">HHIIBBHHH", 1234, 23, 9, 8, 0x50, 2, 100, 0, 0)), ipv4(17, udp)[:-2]]))
+    got = capture.read_pcap(spark, str(tmp_path), fields=["ttl", "ipid"], where="udp")
+    assert got.columns == ["ttl", "ipid"] and [tuple(r) for r in got.collect()] == [(64, 7), (64, 7)]
+    with pytest.raises(ValueError):
+        capture.read_pcap(spark, str(tmp_path), fields=["nope"])
+    lines = [r.line for r in tables.udp_payload_lines(capture.read_pcap(spark, str(tmp_path))).collect()]
+    assert lines == ["01020304,0a010203,0005,0035,17,100.000005,0102,4,7778797a,40,0007"]
+    (tmp_path / "m-2023-04-05-06-x.txt").write_text("\n".join(lines) + "\n")
+    r = tables.read_udp_payloads(spark, str(tmp_path / "m-2023-04-05-06-x.txt")).first()
+    assert (r.saddr, r.dport, bytes(r.payload), r.ttl, r.ts_us, r.year, r.hour, str(r.date)) == (0x01020304, 53, b"wxyz", 64, 100_000_005, 2023, 6, "2023-04-05")
+
+
+def test_mixed_and_compressed_inputs(spark, tmp_path):
+    import pyarrow as pa
+
+    def lz4(raw):
+        sink = pa.BufferOutputStream()
+        with pa.CompressedOutputStream(sink, "lz4") as f:
+            f.write(raw)
+        return sink.getvalue().to_pybytes()
+
+    p = packets(spark, [(1.5, 3000000000, 5, 6, 23), (2, 1, 4294967295, 17, 65535)]).coalesce(1)
+    tables.write_packed(p, str(tmp_path / "out"))
+    (name,) = [f for f in (tmp_path / "out").iterdir()]
+    assert name.name == "part-00000.fc5"
+    raw = name.read_bytes()
+    (tmp_path / "b.fc5.gz").write_bytes(gzip.compress(raw))
+    (tmp_path / "c.fc5.lz4").write_bytes(lz4(raw))
+    line = b"1,2,6,1000,23,-1,40,-1,-1,-1,1700000000.25\n"
+    (tmp_path / "d.csv").write_bytes(line)
+    (tmp_path / "e.csv.lz4").write_bytes(lz4(line * 3 + b"bad\n"))
+    (tmp_path / "f.pcap").write_bytes(capture_file(101, [ipv4(17, struct.pack(">HHHH", 5, 53, 8, 0))]))
+    paths = [str(name), *(str(tmp_path / n) for n in ("b.fc5.gz", "c.fc5.lz4", "d.csv", "e.csv.lz4", "f.pcap"))]
+    assert [tables.read_packets(spark, x).count() for x in paths] == [2, 2, 2, 1, 3, 1]
+    merged = tables.read_packets(spark, paths)
+    assert merged.count() == 11 and counts.count_query(merged, "P", 10**9).agg(F.sum("n")).first()[0] == 11
+    assert merged.orderBy("ts_us").first().ts_us == 1_500_000
+    with pytest.raises(ValueError):
+        tables.read_packets(spark, "x.unknown")
+
+
+def test_strict_csv(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("1,2,6,1000,23,-1,40,-1,-1,-1,1700000000.25\n1,2,17,1,53,-1,40,-1,-1,-1,17\n1,x,17,1,53,-1,40,-1,-1,-1,17.5\n")
+    path = str(tmp_path / "p.csv")
+    assert tables.read_packets(spark, path).count() == 1 and tables.rejected_rows(spark, path).first().n == 2
+    with pytest.raises(Exception, match="not a packet"):
+        tables.read_packets(spark, path, strict=True).collect()
+
+
+def test_scan_records(spark, tmp_path):
+    p = packets(spark, [(k * 0.01, 9, 256 + (k * 37) % 256, 6, 23) for k in range(256)]).withColumn("ttl", (50 + F.col("pindx") % 3).cast("int"))
+    found = scans.horizontal_scans(p, 24, 60)
+    text = "\n".join(r.line for r in tables.scan_record_lines(found).collect()) + "\n"
+    (tmp_path / "s.txt").write_text(text + text)
+    back = tables.read_scan_records(spark, str(tmp_path / "s.txt"))
+    assert back.count() == 2 and back.first().offs == found.first().offs and back.first().cnt == 256
+    assert {tuple(r)[-2:] for r in ttl_shapes.describe(back).collect()} == {tuple(r)[-2:] for r in ttl_shapes.describe(found).collect()}
+
+
+def test_total_lines_and_year_months(spark):
+    p = packets(spark, [(t, 1, 2, 6, 23) for t in (0, 1, 20, 21)])
+    assert sorted(r.line for r in counts.total_lines(p, "S24A", 10).collect()) == ["T,0,start_time,10,S24A", "T,2,start_time,0,S24A", "T,2,start_time,20,S24A"]
+    assert [r.line for r in counts.total_lines(p.where("false"), "PA").collect()] == ["T,0,start_time,0,PA"]
+    p = packets(spark, [(0, 1, 2, 6, 23), (40 * 86400, 3, 2, 6, 23), (41 * 86400, 4, 2, 6, 23)])
+    r = places.year_stats(p, ["saddr"], months=None).first()
+    assert (r.n, r.n_saddr, r.m_saddr) == (3, 3, 1.5) and places.year_stats(p, ["saddr"]).first().m_saddr == 0.25
+
+
+def test_port_of_day_rules(spark):
+    from darkspace.operators import daily_port
+
+    rows = [(h * 3600 + k, (k + 1) << 8, 9, 17, 50000 + (h > 11)) for h in range(21) for k in range(3)] + [(86400 + h * 3600, 1 << 8, 9, 17, 50000) for h in range(20)]
+    p = packets(spark, rows)
+    assert [(r.day, r.dport) for r in daily_port.port_of_day(p).collect()] == [(0, 50001)]  # 27 packets of 3 sources against 36
+    assert [(r.day, r.dport, r.npkts) for r in daily_port.port_of_day(p, hours=[0, 1]).collect()] == [(0, 50000, 6)]
+    assert daily_port.port_of_day(p, least_hours=1).count() == 2
+
+
+def test_membership_by_predicate_and_join(spark):
+    rows = packets(spark, [(0, k << 24, 2, 6, 1) for k in range(1, 220)] + [(0, None, 2, 6, 1)])
+    for nets in (["10.0.0.0/8"], [f"{k}.0.0.0/17" for k in range(1, 200)]):
+        inside = net.with_membership(rows, "saddr", nets, "known")
+        assert inside.count() == 220 and inside.where("known").count() == len(nets) and inside.where("known is null").count() == 0
+        trend = ingest.scanner_trend(rows.where("saddr is not null"), nets, ["S8"], 100, 1000)
+        assert {(r.subset, r.k) for r in trend.groupBy("subset").agg(F.sum("n").alias("k")).collect()} == {("all", 219), ("ack", len(nets)), ("nack", 219 - len(nets))}
+
+
+def test_busy_port_is_many_windows(spark):
+    rng = random.Random(6)
+    ports = [rng.choice((80, 80, 80, 81, 82)) for _ in range(700)]
+    p = packets(spark, [(k // 3, k % 7, 2, 17, a) for k, a in enumerate(ports)])
+    got = {r.pindx: r.interest for r in behaviour.port_interest(p, 20, block=50).collect()}
+    assert len(got) == 700
+    for k, a in enumerate(ports):
+        before = ports[max(0, k - 20) : k]
+        assert got[k] == pytest.approx(before.count(a) / len(before) if before else 0.0)
+
+
+def test_feature_plugins_scores_and_centroids(spark):
+    p = packets(spark, [(k * (1 + k % 3), k % 2, 2, 17, 50 + k % 4) for k in range(60)])
+    plugins = {"ttl": lambda w: F.col("ttl"), "step": lambda w: F.coalesce(F.col("dport") - F.lag("dport").over(w), F.lit(0))}
+    rows = behaviour.features(p, plugins=plugins)
+    assert rows.columns[-2:] == ["f5", "f6"] and {r.f5 for r in rows.collect()} == {64.0} and {r.f6 for r in rows.collect()} <= {0.0, 2.0, -2.0}
+    values = behaviour.principal_values(rows, 6, 8)
+    assert values.columns == ["saddr", "ts_us", *(f"val{k}" for k in range(7)), *(f"delta{k}" for k in range(7))] and values.count() == 2 * (30 - 8)
+    assert behaviour.distances(values, "spectral").count() == 1 and behaviour.distances(values, "hausdorff", 23).count() == 0
+    x = {1: 0.0, 2: 0.1, 3: 5.0, 4: 5.1}
+    pairs = spark.createDataFrame([(a, b, abs(x[a] - x[b])) for a in x for b in x if a < b], "a long, b long, distance double")
+    labels = behaviour.clusters(pairs, clusters=2)
+    r = behaviour.cluster_scores(pairs, labels).first()
+    m = np.array([[abs(x[a] - x[b]) for b in x] for a in x])
+    assert r.clusters == 2 and r.silhouette == pytest.approx(behaviour.silhouette(m, np.array([0, 0, 1, 1]))) and r.davies_bouldin == pytest.approx(behaviour.davies_bouldin(m, np.array([0, 0, 1, 1])))
+    assert behaviour.cluster_scores(pairs, behaviour.clusters(pairs, clusters=1)).first().silhouette is None
+    marks = spark.createDataFrame([(0, 0.0, 0.0), (0, 2.0, 0.0), (1, 1.0, 3.0), (2, 1.0, -4.0)], "label long, u double, v double")
+    assert {(r.a, r.b, r.distance) for r in behaviour.centroid_distances(marks, ["u", "v"]).collect()} == {(0, 1, 3.0), (0, 2, 4.0), (1, 2, 7.0)}
+
+
+def test_parameters(tmp_path):
+    from darkspace.parameters import Parameters
+
+    (tmp_path / "p").write_text("# comment\nROOT=/data\nexport OUT=\"$ROOT/out ${ROOT}\"  # tail\nRAW='$ROOT'\nNETS=\"10.0.0.0/8 11.0.0.0/8\"\n\nEMPTY=\n")
+    p = Parameters.read(str(tmp_path / "p"), HOURS="4")
+    assert dict(p) == {"HOURS": "4", "ROOT": "/data", "OUT": "/data/out /data", "RAW": "$ROOT", "NETS": "10.0.0.0/8 11.0.0.0/8", "EMPTY": ""}
+    assert p.words("NETS") == ["10.0.0.0/8", "11.0.0.0/8"] and p.words("NONE") == []
+    with pytest.raises(ValueError):
+        Parameters.parse("rm -rf x")
+
+
+def test_writers(spark, tmp_path):
+    p = packets(spark, [(t, 1, (10 << 24) + 256 * (t % 2), 6, 23) for t in range(10)])
+    ingest.write_by_spans(p, [(0, 5, "a"), (3, 20, "b"), (90, 99, "c")], str(tmp_path / "spans"))
+    back = spark.read.parquet(str(tmp_path / "spans"))
+    assert {(r.span, r["count"]) for r in back.groupBy("span").count().collect()} == {("a", 5), ("b", 7)}
+    ingest.write_by_destination(p, str(tmp_path / "nets"))
+    assert {(r.dst_net, r["count"]) for r in spark.read.parquet(str(tmp_path / "nets")).groupBy("dst_net").count().collect()} == {(10 << 24, 5), ((10 << 24) + 256, 5)}
+
+
+def test_exchange_inversions_are_swaps():
+    rng = random.Random(8)
+    for _ in range(200):
+        values = [rng.randrange(6) for _ in range(rng.randrange(9))]
+        a, swaps = list(values), 0
+        for i in range(len(a)):
+            for j in range(i + 1, len(a)):
+                if a[j] < a[i]:
+                    a[i], a[j], swaps = a[j], a[i], swaps + 1
+        assert scans.exchange_inversions(values) == swaps
+        assert scans.inversions(values) == sum(x > y for k, x in enumerate(values) for y in values[k:])

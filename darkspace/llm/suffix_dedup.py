@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U64, as_bytes, cut, mix, powers, prefix_sums, shuffle_partitions, slices, tidied
+from .common import BASE, U64, as_bytes, cut, mix, partitions_for, powers, prefix_sums, slices, tidied
 
 #: A string of LENGTH bytes holds LENGTH - GRAM + 1 grams, of which the least by hash is its anchor.
 LENGTH, GRAM = 50, 20
@@ -610,16 +610,18 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     documents share leaves each shard once, so no task meets all of them.
     Null and empty texts, and those shorter than a string, stay; rows that
     share an id don't remove from each other; rows without an id are left
-    alone. No rows give no rows; extra columns are ignored.
+    alone. A very long text is a shard of its own. All partitions are counted
+    by bytes, so a task's share hardly grows with the input. No rows give no
+    rows; extra columns are ignored.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    buckets = max(4, parts // 4)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = named.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     cid = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("cid")
     kept = ["doc_id", "sha", cid, F.octet_length("text").cast("long").alias("n_bytes")]
-    ids = cut(named.select(*kept, *(["text"] if False else [])))
+    ids = cut(named.select(*kept))
+    parts = partitions_for(spark, ids.agg(F.sum("n_bytes")).first()[0] or 0)
+    buckets = max(4, parts // 2)
     copies = cut(ids.groupBy("sha").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper"))
     ids = ids.join(copies, "sha", "left").withColumn("copy", F.coalesce(F.expr(f"n_bytes >= {LENGTH} and doc_id > keeper"), F.lit(False)))
 
@@ -629,7 +631,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     live = cut(ids.where("not copy and doc_id is not null").join(packs, "cid", "left").select("doc_id", "sha", "n_bytes", "packs"))
     del offered, answers, packs
     asked = live.where("packs is not null").select("doc_id", "sha", "packs").dropDuplicates(["doc_id", "sha"])
-    solved = cut(named.join(asked, ["doc_id", "sha"]).select("doc_id", "packs", "text").mapInArrow(partial(_solve, buckets=buckets, parts=parts, keep_text=keep_text), SOLVED))
+    placed = named.repartition(parts, "doc_id", "sha").join(asked.repartition(parts, "doc_id", "sha"), ["doc_id", "sha"])
+    solved = cut(placed.select("doc_id", "packs", "text").mapInArrow(partial(_solve, buckets=buckets, parts=parts, keep_text=keep_text), SOLVED))
     pieces = solved.where("kind = 'piece'").select("bucket", "n_bytes", "payload").repartition(parts, "bucket").sortWithinPartitions("bucket")
     merged = pieces.mapInArrow(partial(_merge, groups=parts), "group long, covered binary")
     none = F.lit(None)

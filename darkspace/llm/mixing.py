@@ -64,7 +64,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
     part of their words (``split``), in proportion, or with ``split=False``
     all or none, whichever is nearer. The hash is of doc_id, so reruns agree.
 
-    Null or empty text: size 0, taken 0. Null sources are one source, last.
+    Null or empty text: size 0, taken 0. Very long texts count whole, so a
+    source of one is near its target only with ``split``. Ties in the hash
+    share what is left at the threshold. Null sources are one source, last.
     Repeated rows count as often as they occur. No rows give no rows. Extra
     columns are ignored. With a single document in a source the part taken is
     exact only with ``split``.

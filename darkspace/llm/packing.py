@@ -20,7 +20,7 @@ from .common import as_bytes, slices, tidied, words_of
 
 CAPACITY, SEPARATOR = 4096, 2
 #: Distinct words whose ids a worker remembers, and words looked up at a time.
-MEMORY = 1_000_000
+MEMORY = 400_000
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 SCHEMA = ", ".join(f"{n} long" for n in NAMES)
 

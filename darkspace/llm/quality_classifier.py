@@ -203,23 +203,33 @@ def _sums_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "place", "n", "sums"])
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds what comes, in its order, by kind."""
-    found: dict[int, list] = {}
+def _add_up(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Adds what comes of ``width`` neighbouring places, in its order, by kind."""
+    now, found = None, {}
+
+    def out() -> pa.RecordBatch:
+        rows = _sums_batch([(kind, place, n, total.tobytes()) for kind, (place, n, total) in found.items()])
+        found.clear()
+        return rows
+
     for batch in batches:
         for kind, place, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if place // width != now:
+                yield out()
+                now = place // width
             own = found.setdefault(kind, [place, 0, 0.0])
             own[1], own[2] = own[1] + n, own[2] + np.frombuffer(raw, np.float64)
-    yield _sums_batch([(kind, place, n, total.tobytes()) for kind, (place, n, total) in found.items()])
+    yield out()
 
 
 def _moments(rows: DataFrame) -> list[Moments]:
-    """Moments by kind, summed over tasks in two levels and in a fixed order, so reruns agree."""
+    """Moments by kind, summed over tasks level by level, 32 to 1, and in a fixed order, so reruns agree."""
     sums = rows.mapInArrow(_sum_moments, SUMS)
-    few = shuffle_partitions(rows.sparkSession)
-    sums = sums.repartition(few, F.floor(F.col("place") / 64)).sortWithinPartitions("place", "kind").mapInArrow(_add_up, SUMS)
+    for width in (32, 32**2, 32**3):
+        group = F.floor(F.col("place") / width).cast("long")
+        sums = sums.repartition(shuffle_partitions(rows.sparkSession), group).sortWithinPartitions(group, "place", "kind").mapInArrow(partial(_add_up, width=width), SUMS)
     out, upper = [Moments.none() for _ in range(4)], np.triu_indices(SHAPES + 257)
-    for r in sums.repartition(1).sortWithinPartitions("place", "kind").mapInArrow(_add_up, SUMS).collect():  # 4 rows of 0.3 MB at most
+    for r in sums.repartition(1).sortWithinPartitions("place", "kind").mapInArrow(partial(_add_up, width=1 << 62), SUMS).collect():  # 4 rows of 0.3 MB at most
         products = np.zeros((SHAPES + 257, SHAPES + 257))
         products[upper] = np.frombuffer(bytes(r.sums), np.float64)
         out[r.kind] = Moments(r.n, products + np.triu(products, 1).T)

@@ -24,8 +24,12 @@ RULES = (
 #: Up to so many rules are compiled into one expression; more are joined by host suffix.
 INLINE_RULES = 200
 
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\x22']?\s*canonical\b[^>]*>"
+_LINK = r"(?is)<link\b[^>]*[\s\x22'/]rel\s*=\s*(?:\x22(?:[^\x22>]*\s)?canonical[\s\x22]|'(?:[^'>]*\s)?canonical[\s']|canonical[\s/>])[^>]*>?"
 _META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\x22']?\s*refresh\b[^>]*>"
+#: What holds no elements: comments, and text of other kinds.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes|template)\b[^>]*>.*?(?:</\1\s*>|\z)"
+#: Names of character references of signs that occur in urls; & last.
+_SIGNS = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&sol;": "/", "&colon;": ":", "&quest;": "?", "&equals;": "=", "&num;": "#", "&period;": ".", "&lowbar;": "_", "&percnt;": "%", "&amp;": "&"}
 _BASE = r"(?is)<base\b[^>]*\bhref\s*=[^>]*>"
 
 
@@ -81,8 +85,13 @@ def _value(tag: Column, name: str) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    for name, sign in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
+    """Text with its character references decoded, without white space at its ends and without line ends and tabs."""
+    hexed = lambda r: F.when(r.rlike("^&#[xX]"), F.regexp_extract(r, "([0-9a-fA-F]+);", 1)).otherwise(F.conv(F.regexp_extract(r, "([0-9]+);", 1), 10, 16))
+    sign = lambda r: F.decode(F.unhex(F.lpad(hexed(r), 8, "0")), "UTF-32")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,6}|[xX][0-9a-fA-F]{1,5});"), 0))
+    text = F.aggregate(found, text, lambda t, r: F.replace(t, r, F.coalesce(sign(r), r)))
+    for name, to in _SIGNS.items():
+        text = F.replace(text, F.lit(name), F.lit(to))
     return F.regexp_replace(text, r"^\s+|\s+$|[\t\r\n]", "")
 
 
@@ -120,12 +129,14 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """(u, v): keys of urls that a canonical link or a refresh makes equivalent.
 
     Relative targets are resolved against the page's first base href, itself
-    resolved against the page's url, or else against that url. Targets of
+    resolved against the page's url, or else against that url. Tags inside
+    comments, scripts and the like are none. Targets of
     other schemes (without ``//``), empty ones, and pages without a url give
     no edge.
     """
     tags = F.concat(F.regexp_extract_all("html", F.lit(_LINK), 0), F.regexp_extract_all("html", F.lit(_META), 0))
     marked = pages.where(F.col("html").rlike("(?i)canonical|refresh") & (F.instr("url", "://") > 0))
+    marked = marked.select("url", F.regexp_replace("html", _HIDDEN, " ").alias("html"))
     found = marked.select("url", F.regexp_extract("html", _BASE, 0).alias("base"), F.explode(tags).alias("tag"))
     is_link = F.col("tag").rlike("(?i)^<link")
     target = F.when(is_link, _value(F.col("tag"), "href")).otherwise(_refresh(_value(F.col("tag"), "content")))

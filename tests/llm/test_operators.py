@@ -653,3 +653,82 @@ def test_html_names_of_main_elements():
         assert main(f"<body><nav>menu</nav><{tag}><p>The story.</p></{tag.split()[0]}><div class='comments'>mine</div>") == "The story.", tag
     assert main("<div id='share-price-news'><article><p>The story.</p></article></div>") == "The story."
     assert [t for z, t in html_text.blocks_of("<div id='share-price-news'><p>The story.</p></div>") if z == "open"] == ["The story."]
+
+
+def test_empty_tables(spark, empty):
+    assert near_dedup.near_duplicates(empty).count() == suffix_dedup.remove_repeats(empty).count() == suffix_dedup.without_repeats(empty).count() == 0
+    assert quality_classifier.keep_quality(empty, spark.createDataFrame([], "doc_id long, quality int")).count() == mixing.repeat_documents(empty).count() == 0
+
+
+def test_folder_of_checkpoints(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    class Frame:
+        sparkSession = Session()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.cut(Frame())
+
+
+def test_partitions_grow_with_bytes(spark):
+    sizes = [10**9, 30 * 10**9, 10**12, 10**14]
+    tasks = [common.partitions_for(spark, n) for n in sizes]
+    assert tasks == sorted(tasks) and all(n / t < 260e6 for n, t in zip(sizes, tasks)) and sizes[1] / tasks[1] < 40e6 and common.partitions_for(spark, 0) == common.shuffle_partitions(spark)
+
+
+def test_alias_tags(spark):
+    pages = [
+        '<link rel="x canonical" href="/1">', "<link href=/2 rel='canonical y'>", "<link rel=canonical href=/3/>", '<LINK REL="Canonical" HREF="&#x2F;4&amp;a=&#233;">', '<link rel="canonical" href="&sol;5&quest;x&equals;1">',
+        '<!-- <link rel="canonical" href="/no"> -->', '<script>var a = \'<link rel="canonical" href="/no">\';</script>', '<link rel="canonical-x" href="/no"><link rel="nocanonical" href="/no">',
+        '<style>x</style><link rel="canonical" href="/9"><!-- open <link rel="canonical" href="/no">', '<link data-rel="canonical" href="/no">', "<template><meta http-equiv=refresh content='0;url=/no'></template>",
+    ]
+    got = {r.u: r.v for r in url_filter.alias_edges(spark.createDataFrame([(k, f"http://a.org/p{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
+    expected = ["a.org/1", "a.org/2", "a.org/3/", "a.org/4&a=é", "a.org/5?x=1", None, None, None, "a.org/9", None, None]
+    assert got == {f"a.org/p{k}": v for k, v in enumerate(expected) if v}
+
+
+def test_aliases_by_brute_force(spark):
+    for seed in range(2):
+        r = random.Random(seed)
+        hosts = ["x.org", "y.net", "www.example.com", "example.com", "z.net"]
+        urls = [f"{r.choice(hosts)}{r.choice(('/', '/es/', '/en/', '/fr/q'))}{k}" for k in range(60)]
+        pages, links = [], []
+        for k in range(120):
+            u, html = r.choice(urls), "<p>"
+            if r.random() < 0.5:
+                v = r.choice(urls)
+                html += f'<link rel="canonical" href="http://{v}">' if r.random() < 0.5 else f'<meta http-equiv="refresh" content="0;url=https://{v}#x">'
+                links.append((u, v))
+            pages.append((k, f"http://{u}", html))
+        pages += [pages[0], (500, None, html), (501, "http://x.org/" + "long/" * 20_000, None), (None, "http://y.net/es/", "")]
+
+        def judged(url):
+            host, path = url.split("/", 1)
+            best = None
+            for verdict, h, p in url_filter.RULES:
+                if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p) and (best is None or len(h + p) > len(best[1] + best[2])):
+                    best = verdict, h, p
+            return best and (best[1] + best[2], best[0])
+
+        groups = components({n for p in links for n in p}, [p for p in links if p[0] != p[1]])
+        decisions = {}
+        for n, g in groups.items():
+            if judged(n):
+                decisions.setdefault(g, set()).add(judged(n)[1])
+        expected = []
+        for page_id, url, _ in pages:
+            own = judged(url.split("://")[1]) if url else None
+            group = decisions.get(groups.get(url.split("://")[1] if url else None), set())
+            expected.append((page_id, own[0] if own else None, own[1] if own else "block" if group == {"block"} else "allow"))
+        got = [(x.page_id, x.rule, x.verdict) for x in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()]
+        assert sorted(got, key=str) == sorted(expected, key=str)

@@ -455,3 +455,53 @@ def test_exchange_inversions_are_swaps():
                     a[i], a[j], swaps = a[j], a[i], swaps + 1
         assert scans.exchange_inversions(values) == swaps
         assert scans.inversions(values) == sum(x > y for k, x in enumerate(values) for y in values[k:])
+
+
+def stream(spark, tmp_path, files, schema):
+    """A source that gives one file a batch, in order."""
+    import os
+    import time
+
+    (tmp_path / "in").mkdir()
+    for k, p in enumerate(files):
+        p.coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        (part,) = (tmp_path / f"part{k}").glob("*.parquet")
+        os.rename(part, tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (time.time() - 100 + k, time.time() - 100 + k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def run_stream(df, tmp_path, name):
+    query = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def test_late_packets_are_left_out_once_the_watermark_has_passed(spark, tmp_path):
+    batches = [[(0, 1, 2, 6, 23), (70, 1, 2, 6, 23)], [(30, 1, 2, 6, 23), (4000, 1, 2, 6, 23)], [(8000, 1, 2, 6, 23)], [(40, 1, 2, 6, 23), (8001, 1, 2, 6, 23)], [(8002, 1, 2, 6, 23)]]
+    files = [packets(spark, b) for b in batches]
+    counted = streaming.stream_counts(stream(spark, tmp_path, files, files[0].schema), "P", "1 minute", "10 minutes")
+    run_stream(counted, tmp_path, "late")
+    assert sorted((r.start, r.n) for r in spark.table("late").collect()) == [(0, 2), (60, 1), (3960, 1)]  # the second late packet came after 3400
+
+
+def test_scan_state_expires(spark, tmp_path):
+    half = [(k * 0.1, 1, k, 6, 23) for k in range(4)]
+    batches = [half, [(5000, 9, 0, 6, 23)], [(5001, 9, 1, 6, 23)], [(10_000 + k, 1, k, 6, 23) for k in range(4, 8)], [(90_000, 9, 0, 6, 23)], [(90_001, 9, 1, 6, 23)]]
+    files = [packets(spark, b) for b in batches]
+    query = run_stream(streaming.stream_scans(stream(spark, tmp_path, files, files[0].schema), 29, 10, late="1 second"), tmp_path, "expired")
+    assert spark.table("expired").count() == 0
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(held) <= 2 and held[-1] == 1  # source 1 is forgotten each time
+
+
+def test_image_tables(spark):
+    p = packets(spark, [(100 * s + k * 0.01, 9 + s, 256 + (k * 37) % 256, 6, 23) for s in range(3) for k in range(256)])
+    p = p.withColumn("ttl", (50 + F.col("daddr") % 2 + F.when(F.col("saddr") == 11, F.col("daddr") % 3).otherwise(0)).cast("int"))
+    shapes = ttl_shapes.describe(scans.horizontal_scans(p, 24, 60))
+    images, instances, labels = ttl_shapes.catalog_tables(shapes)
+    assert sorted((r.first_src, r.n) for r in images.collect()) == [(9, 2), (11, 1)]
+    assert instances.count() == 3 and instances.where("image_id is null").count() == 0 and instances.where("src = 9").first().ttls == "[50,51]"
+    expected = {(r.nhash, t, x) for r in shapes.collect() for t, found in r.pattern.items() for x in found}
+    assert {(r.nhash, r.ttl, r.label) for r in labels.collect()} == expected != set()
+    assert [r.n for r in ttl_shapes.common_shapes(shapes, 1).collect()] == [2]

@@ -201,9 +201,13 @@ geo("top_countries", lambda p, g: places.largest(_by(p, g, "year", "country"), "
     COUNTRY + " SELECT *, row_number() OVER (PARTITION BY year ORDER BY nsrcs DESC, country)::INT AS place FROM c QUALIFY place <= 10")
 geo("top_cities", lambda p, g: places.largest(_by(p, g, "year", "country", "city"), "nsrcs", ["year"], ["country", "city"], 15),
     CITY + " SELECT *, row_number() OVER (PARTITION BY year ORDER BY nsrcs DESC, country, city)::INT AS place FROM c QUALIFY place <= 15")
-geo("cities_per_country", lambda p, g: places.with_places(p, g, "inner").groupBy("country").agg(F.count_distinct("city").alias("n")), "SELECT country, count(DISTINCT city) AS n FROM located WHERE country IS NOT NULL GROUP BY country")
-geo("pivot_year_net", lambda p, g: places.with_places(p, g, "inner").groupBy(net.mask(F.col("daddr"), 22).alias("net")).pivot("region", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]).agg(F.count("pindx")).na.fill(0).withColumnRenamed("MIDDLE EAST", "MIDDLE_EAST"),
+geo("cities_per_country", places.cities_per_country, "SELECT country, count(DISTINCT city) AS n FROM located WHERE country IS NOT NULL GROUP BY country")
+geo("pivot_year_net", lambda p, g: places.pivot_counts(places.with_places(p, g, "inner"), [net.mask(F.col("daddr"), 22).alias("net")], "region", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]),
     f"SELECT {_m('daddr', 22)} AS net, " + ", ".join(f"count(*) FILTER (region = '{r}') AS {r.replace(' ', '_')}" for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")) + " FROM located WHERE region IS NOT NULL GROUP BY ALL")
+SEGMENTS = [("auto", "Vehicle"), ("machine", "Plant"), ("house", "Camera")]
+geo("sources_by_device", lambda p, g: places.sources_by_device(p, g.select("saddr", places.device_type(places.normalized_banner(F.col("city")), SEGMENTS, "Server").alias("device"))),
+    f""", d AS (SELECT saddr, CASE WHEN contains(lower(city), 'house') THEN 'Camera' WHEN contains(lower(city), 'machine') THEN 'Plant' WHEN contains(lower(city), 'auto') THEN 'Vehicle' ELSE 'Server' END AS device FROM places)
+    SELECT {YEAR}::INT AS year, device, count(DISTINCT saddr) AS nsrcs FROM packets JOIN d USING (saddr) GROUP BY ALL""")
 geo("asn_other", lambda p, g: places.with_others(places.with_places(p, g, "inner").groupBy(F.col("asn").cast("string").alias("asn"), "saddr").agg(F.count("*").alias("k")), "asn", "k", 0.5),
     """, r AS (SELECT CAST(asn AS VARCHAR) AS asn, saddr, count(*) AS k FROM located WHERE asn IS NOT NULL GROUP BY ALL), s AS (SELECT asn, sum(k) AS n FROM r GROUP BY asn), o AS (SELECT CASE WHEN n < (SELECT count(*) FROM r) * 0.5 THEN 'Other' ELSE asn END AS asn, n FROM s)
     SELECT asn, CAST(sum(n) AS BIGINT) AS n FROM o GROUP BY asn""")

@@ -47,6 +47,22 @@ def distinct_sources(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.count_distinct("saddr").alias("nsrcs"))
 
 
+def pivot_counts(rows: DataFrame, by: Sequence[Column], column: str, values: Sequence[str]) -> DataFrame:
+    """Rows by some columns, with a count for each of the named values of another (0 for none; blanks in names become _)."""
+    counts = [F.count_if(F.col(column) == v).alias(v.replace(" ", "_")) for v in values]
+    return rows.groupBy(*by).agg(*counts)
+
+
+def cities_per_country(packets: DataFrame, places: DataFrame) -> DataFrame:
+    """country and its number of different cities among the packets' sources."""
+    return with_places(packets, places, "inner").groupBy("country").agg(F.count_distinct("city").alias("n"))
+
+
+def sources_by_device(packets: DataFrame, devices: DataFrame) -> DataFrame:
+    """year, device, nsrcs; ``devices`` has saddr and device."""
+    return distinct_sources(with_places(packets, devices, "inner").withColumn("year", year()), ["year", "device"])
+
+
 def percent_of(rows: DataFrame, value: str, within: Sequence[str], name: str = "pct") -> DataFrame:
     return rows.withColumn(name, F.round(F.col(value) * 100.0 / F.sum(value).over(Window.partitionBy(*within)), 6))
 

@@ -16,22 +16,32 @@ SCANS = (
     "offs array<long>, ttls array<long>, sports array<long>, isns array<long>, ipids array<long>, times array<double>"
 )
 ARRAYS = ("off", "ttl", "sport", "isn", "ipid")
+#: Probes of a scan up to which plain loops are faster than arrays.
+SHORT = 200
 
 
 def exchange_inversions(values: list[int]) -> int:
     """Swaps of an exchange sort; the number of inversions where no value repeats.
 
     In each round the first place takes ever smaller values of those behind
-    it, and each of their places the one before, so a round is one running minimum.
+    it, and each of their places the one before: a running minimum.
     """
-    a, swaps = np.array(values), 0
+    swaps = 0
+    if len(values) <= SHORT:
+        a = list(values)
+        for k in range(len(a) - 1):
+            least = a[k]
+            for j in range(k + 1, len(a)):
+                if a[j] < least:
+                    least, a[j], swaps = a[j], least, swaps + 1
+        return swaps
+    a = np.array(values)
     for k in range(len(a) - 1):
         least = np.minimum.accumulate(a[k:])
         places = k + 1 + np.flatnonzero(a[k + 1 :] < least[:-1])
         if len(places):
             swaps += len(places)
-            moved = a[[k, *places]]
-            a[k], a[places] = moved[-1], moved[:-1]
+            a[places] = least[places - k - 1]
     return swaps
 
 
@@ -65,14 +75,16 @@ def complete_scans(times: list[int], offsets: list[int], needed: int, most_us: i
 def scan_rows(rows: pd.DataFrame, needed: int, most_us: int) -> list[tuple]:
     """Scans of one key's packets, sorted by time."""
     times, offsets = rows["ts_us"].tolist(), rows["off"].tolist()
+    found = list(complete_scans(times, offsets, needed, most_us))
+    if not found:
+        return []
+    arrays = [rows[name].tolist() for name in ARRAYS]
+    head = [int(rows[c].iloc[0]) for c in ("saddr", "net", "proto", "dport")]
     out = []
-    for a, b in complete_scans(times, offsets, needed, most_us):
-        part = rows.iloc[a : b + 1]
+    for a, b in found:
         offs, start = offsets[a : b + 1], times[a]
-        arrays = [[int(v) for v in part[name]] for name in ARRAYS]
-        took = [int((t - start) // 1000) / 1000 for t in times[a : b + 1]]
-        head = [int(part[c].iloc[0]) for c in ("saddr", "net", "proto", "dport")]
-        out.append((*head, len(set(offs)), len(offs), exchange_inversions(offs), inversions(offs), start / 1e6, (times[b] - start) / 1e6, *arrays, took))
+        took = [(t - start) // 1000 / 1000 for t in times[a : b + 1]]
+        out.append((*head, len(set(offs)), len(offs), exchange_inversions(offs), inversions(offs), start / 1e6, (times[b] - start) / 1e6, *(x[a : b + 1] for x in arrays), took))
     return out
 
 

@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: lineage cuts, batching and array primitives."""
+"""Helpers shared by the operators: batching, names of words and array primitives."""
 
 from __future__ import annotations
 
@@ -12,14 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..lineage import cut  # noqa: F401
 
 #: Bytes of text that are worked on at a time inside a Python worker.
 SLICE_BYTES = 1 << 20
 
-#: Whether Spark deletes a plan's shuffle files when its action ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 U64 = np.uint64
 #: Base of the polynomial hashes (odd, so that it has an inverse modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
@@ -30,32 +29,6 @@ LONG = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
-
-    The folder is ``spark.checkpoint.dir``. Where that is unset, a local
-    session gets a folder in its warehouse; a session on a cluster is refused,
-    since executors there share no folder that could be made up here. Shuffle
-    files of the plan that was cut are deleted at once, since nothing reads
-    them again.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        context.setCheckpointDir(folder)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # holds for plans that are made while it is set
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
 def tidy() -> None:
     """Gives freed memory back to the system, since Spark keeps Python workers for later stages."""
     pa.default_memory_pool().release_unused()
@@ -163,7 +136,7 @@ class Hashes(dict):
     chance two of n different words do with probability n * n / 2**65.
     """
 
-    def __init__(self, memory: int = 64 << 20):
+    def __init__(self, memory: int = 48 << 20):
         super().__init__()
         self.memory, self.used = memory, 0
 

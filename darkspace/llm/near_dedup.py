@@ -24,12 +24,11 @@ _random = np.random.default_rng(20240501)
 MULTIPLIERS = (_random.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 ADDENDS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 BAND_SALT = mix(np.arange(1, BANDS + 2, dtype=U64))
-_hashes = Hashes()
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted 64-bit hashes, made of the hashes of their words."""
-    hashes, first = numbered([t.lower() for t in texts], _hashes)  # of bytes: A-Z only
+def shingle_sets(texts: list[bytes], known: Hashes | None = None) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes, made of the hashes of their words (``known``: of words met before)."""
+    hashes, first = numbered([t.lower() for t in texts], Hashes() if known is None else known)  # of bytes: A-Z only
     windows = window_hashes(hashes, WIDTH)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -60,10 +59,10 @@ SKETCH = "doc_id long, n_shingles long, same_as long, keys binary"
 @tidied
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row a document; of documents with equal sets in a task only the first by id has keys."""
-    ids, sizes, sets, least, keys = [], [], [], {}, {}
+    ids, sizes, sets, least, keys, known = [], [], [], {}, {}, Hashes()
     for batch in batches:
         for start, stop in slices(batch.column(1)):
-            for doc_id, shingles in zip(batch.column(0)[start:stop].to_pylist(), shingle_sets(as_bytes(batch.column(1)[start:stop])), strict=True):
+            for doc_id, shingles in zip(batch.column(0)[start:stop].to_pylist(), shingle_sets(as_bytes(batch.column(1)[start:stop]), known), strict=True):
                 ids.append(doc_id)
                 sizes.append(len(shingles))
                 name = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) and doc_id is not None else None
@@ -145,23 +144,29 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @tidied
 def _attach_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, blocks, text) to (doc_id, blocks, set)."""
+    """(doc_id, text) to (doc_id, set)."""
+    known = Hashes()
     for batch in batches:
-        for start, stop in slices(batch.column(2)):
-            sets = [s.tobytes() for s in shingle_sets(as_bytes(batch.column(2)[start:stop]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[start:stop], batch.column(1)[start:stop], pa.array(sets, pa.binary())], ["doc_id", "blocks", "shingles"])
+        for start, stop in slices(batch.column(1)):
+            sets = [s.tobytes() for s in shingle_sets(as_bytes(batch.column(1)[start:stop]), known)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[start:stop], pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+
 
+def links_of(ids: list[int], sets: list[np.ndarray], percent: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
+    """Star edges of the components among documents whose sets meet the threshold, by exact intersections.
 
-def links_of(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Star edges of the components among documents whose sets meet the threshold, by exact intersections."""
+    Documents of one of the ``groups`` are known to be connected and are not compared.
+    """
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
     flat, ends = np.concatenate(sets), np.cumsum(lengths)
     distinct, flat = np.unique(flat, return_inverse=True)
-    root = np.arange(len(ids))
+    root = np.arange(len(ids)) if groups is None else np.unique(groups, return_index=True)[1][np.unique(groups, return_inverse=True)[1]]
     mark = np.zeros(len(distinct), bool)
     for i in range(len(ids) - 1):
         if (root == root[0]).all():
             break
+        if (root[i + 1 :] == root[i]).all():
+            continue
         own = flat[ends[i] - lengths[i] : ends[i]]
         mark[own] = True
         shared = np.add.reduceat(mark[flat[ends[i] :]], ends[i:-1] - ends[i], dtype=np.int64)
@@ -178,32 +183,58 @@ def links_of(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
     return out
 
 
+def links_to(leader: int, own: np.ndarray, ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(document, leader) for the documents whose sets meet the threshold with the leader's, by exact intersections."""
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets)
+    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    shared = np.add.reduceat(own[place] == flat, np.cumsum(lengths) - lengths, dtype=np.int64)
+    near = 100 * shared >= percent * (lengths + len(own) - shared)
+    return [(d, leader) for d, hit in zip(ids, near.tolist(), strict=True) if hit]
+
+
 @tidied
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, doc_id, shingles) come sorted by block; a block is compared as a whole."""
-    now, ids, sets = None, [], []
+def _verify(batches: Iterator[pa.RecordBatch], percent: int, stars: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (block, first, doc_id, group, shingles) come sorted by block; of ``stars`` the leader comes first and meets the others only."""
+    now, ids, groups, sets, leaders = None, [], [], [], 0
     edges: list[tuple[int, int]] = []
 
+    def close() -> None:
+        if len(ids) > 1 and not stars:
+            edges.extend(links_of(ids, sets, percent, groups))
+        elif len(ids) > leaders:
+            for k in range(leaders):  # several rows may share the leader's id
+                edges.extend(links_to(ids[k], sets[k], ids[leaders:], sets[leaders:], percent))
+
     def out() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
         edges.clear()
         return batch
 
     for batch in batches:
-        for block, doc_id, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for block, place, doc_id, group, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if block != now:
-                if len(ids) > 1:
-                    edges.extend(links_of(ids, sets, percent))
-                now, ids, sets = block, [], []
+                close()
+                now, ids, groups, sets, leaders = block, [], [], [], 0
+            leaders += place == 0
             ids.append(doc_id)
+            groups.append(group)
             sets.append(np.frombuffer(shingles, U64))
         if edges:
             yield out()
-    if len(ids) > 1:
-        edges.extend(links_of(ids, sets, percent))
+    close()
     yield out()
 
 
+def _star_blocks(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """block, first, doc_id, group: each leader of a star with the documents of it, in parts of about BLOCK shingles."""
+    load = pairs.join(sizes, F.col("u") == F.col("doc_id")).groupBy("v").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")
+    members = pairs.join(load, "v").select(F.concat_ws(".", "v", part).alias("block"), F.lit(1).alias("first"), F.col("u").alias("doc_id"))
+    leaders = load.select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.concat_ws(".", "v", "part").alias("block"), F.lit(0).alias("first"), F.col("v").alias("doc_id"))
+    return members.union(leaders).withColumn("group", F.lit(0).cast("long"))
+
+
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
     """doc_id and ``blocks``, the names of the verification blocks in which a document takes part.
 
@@ -233,15 +264,31 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     return small.union(placed.select("doc_id", names.alias("blocks")))
 
 
+def _unsettled(members: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc_id, component, n_shingles, group: the members of clusters in which a link may be left to find.
+
+    Nothing is left where the stars' links connect a whole cluster, or where every two of its documents met in a star.
+    """
+    grouped = members.join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", members["component"], "n_shingles", F.coalesce("found", "doc_id").alias("group"))
+    met = pairs.join(members, F.col("u") == F.col("doc_id")).groupBy("component").agg(F.count("*").alias("met"))
+    # equal counts of distinct groups tell a settled cluster: the least and the largest group are one
+    open_ = grouped.groupBy("component").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    open_ = open_.join(met, "component").where("2 * met < n * (n - 1)").select("component")
+    return grouped.join(open_, "component")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
     Documents are linked where 100 * |A & B| >= percent * |A | B| for their sets
     of five-word shingles. Banding proposes: documents that share a band are
     tied in a star, and stars join into candidate clusters by alternating
-    large-star and small-star. Verification disposes: within a cluster, every
-    link is decided on the full sets, in blocks of bounded size, and the links
-    that hold give the components, again by large-star and small-star.
+    large-star and small-star. Verification disposes on the full sets: first
+    each star's documents against its leader, which is linear in the cluster
+    and connects most of it; then, in clusters that this leaves in several
+    groups whose documents have not all met, every two documents of different
+    groups, in blocks of bounded size. The links that hold give the components,
+    again by large-star and small-star.
 
     Equal sets are merged within each task before any shuffle, and a band that
     many documents share goes on from each task as one id, so neither large
@@ -262,12 +309,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     dealt = cut(sketches.where("keys is not null").select("doc_id", "keys").mapInArrow(partial(_deal, buckets=n), packed))
     linked = dealt.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_link, packed)
     edges = dealt.where("bucket < 0").union(linked).mapInArrow(_unpack, "u long, v long")
-    clusters = connected_components(edges)
-    members = clusters.join(sketches.where("keys is not null").select("doc_id", "n_shingles"), F.col("node") == F.col("doc_id")).select("doc_id", "component", "n_shingles")
-    blocks = _blocks(members, percent)
-    sets = rows.join(blocks, "doc_id").select("doc_id", "blocks", "text").mapInArrow(_attach_sets, "doc_id long, blocks array<string>, shingles binary")
-    held = sets.select(F.explode("blocks").alias("block"), "doc_id", "shingles").repartition(partitions_for(spark, 8 * total[1]), "block").sortWithinPartitions("block", "doc_id")
-    components = connected_components(held.mapInArrow(partial(_verify, percent=percent), "u long, v long"))
+    pairs = cut(edges.selectExpr("greatest(u, v) u", "least(u, v) v").distinct())
+    clusters = connected_components(pairs)
+    sizes = sketches.where("keys is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    members = cut(clusters.join(sizes, F.col("node") == F.col("doc_id")).select("doc_id", "component", "n_shingles"))
+    tasks = partitions_for(spark, 8 * total[1])
+    wanted = rows.where("doc_id is not null").join(members.select("doc_id"), "doc_id").select("doc_id", "text")
+    sets = cut(wanted.mapInArrow(_attach_sets, "doc_id long, shingles binary"))
+
+    def verified(blocks: DataFrame, stars: bool) -> DataFrame:
+        held = blocks.join(sets, "doc_id").select("block", "first", "doc_id", "group", "shingles").repartition(tasks, "block").sortWithinPartitions("block", "first", "doc_id")
+        return held.mapInArrow(partial(_verify, percent=percent, stars=stars), "u long, v long")
+
+    components = connected_components(verified(_star_blocks(pairs, sizes), True))
+    left = cut(_unsettled(members, pairs, components.select("node", F.col("component").alias("found"))))
+    if not left.isEmpty():
+        blocks = left.select("doc_id", "group").join(_blocks(left.drop("group"), percent), "doc_id").select("doc_id", "group", F.explode("blocks").alias("block"), F.lit(0).alias("first"))
+        known = components.where("node != component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        components = connected_components(known.union(verified(blocks, False)))
     out = sketches.select("doc_id", "n_shingles", "same_as").join(components, F.col("same_as") == F.col("node"), "left")
     component = F.coalesce("component", "same_as")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -732,3 +732,98 @@ def test_aliases_by_brute_force(spark):
             expected.append((page_id, own[0] if own else None, own[1] if own else "block" if group == {"block"} else "allow"))
         got = [(x.page_id, x.rule, x.verdict) for x in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()]
         assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def mixed_by_hand(rows, weights=(5, 2, 1), share=1.5, most=2.0):
+    """Times that each document is taken whole: (doc_id, text, source) in order of hash up to the source's left-over words."""
+    from fractions import Fraction
+
+    size = {k: len(WORD.findall(t or "")) for k, t, _ in rows}
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sources)}
+    total = {s: sum(size[k] for k, _, x in rows if x == s) for s in sources}
+    target, rest, free = {}, Fraction(share) * sum(total.values()), set(sources)
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        full = {s for s in free if level * weight[s] >= most * total[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in free}
+            break
+        for s in full:
+            target[s] = Fraction(most) * total[s]
+        rest, free = rest - sum(target[s] for s in full), free - full
+    out = {}
+    for s in sources:
+        base = int(target[s] // total[s]) if total[s] else 0
+        left = round(float(target[s] - base * total[s]))
+        own = sorted((int(hashlib.md5(str(k).encode()).hexdigest()[:12], 16), k) for k, _, x in rows if x == s)
+        at = 0
+        for _, k in own:
+            if not size[k]:
+                out[k] = 1
+            elif at + size[k] <= left:
+                out[k] = base + 1
+            else:
+                out[k] = base + (at < left and 2 * (left - at) >= size[k])
+            at += size[k]
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
+def test_pipeline_stages_by_hand(spark):
+    import corpus_pipeline as pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    good = pipeline.quality(spark, docs, DIR)
+    judged = quality_classifier.score(docs, quality_classifier.fit(docs.select(*pipeline.COLUMNS), labels))
+    assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in judged.where("predicted = 1").collect())
+    few = docs.select(*pipeline.COLUMNS).where("doc_id % 3 = 0").cache()  # a fixture: the stage's input is what it is given
+    rows = [(r.doc_id, r.text, r.source) for r in few.collect()]
+    mixed = pipeline.source_mix(spark, few, DIR).cache()
+    times = {}
+    for r in mixed.collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    expected = mixed_by_hand(rows)
+    assert {k: times.get(k, 0) for k in expected} == expected
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    whole = {k: [*library.encode(t or "", add_special_tokens=False).ids, 2] for k, t, _ in rows}
+    covered, ends = {}, {}
+    for p in pipeline.sequences(spark, mixed, DIR).collect():
+        own = whole[p.doc_id][p.start : p.start + p.length]
+        assert p.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes()) and p.doc_tokens == len(whole[p.doc_id])
+        for k in range(p.start, p.start + p.length):
+            covered[p.doc_id, k] = covered.get((p.doc_id, k), 0) + 1
+        ends[p.sequence_id] = ends.get(p.sequence_id, 0) + p.length
+    assert covered == {(d, k): times[d] for d in times for k in range(len(whole[d]))} and all(n <= 4096 for n in ends.values())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, keys string, component long, size long, kept string, label string"
+    rows = [(None, None, None, None, None, "x", 1, 2, "y", "z"), (1, "", "en", "a", 0, "x", 1, 2, "y", "z"), (2, BASE, "en", "a", 1, "x", 1, 2, "y", "z"), (2, BASE, "en", "a", 1, "x", 1, 2, "y", "z"), (3, BASE + " more", "en", None, 1, None, None, None, None, None), (4, "long " * 50_000, "en", "b", 1, "x", 1, 2, "y", "z")]
+    some, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, none, DIR).count() == 0, name
+        out = stage(spark, some, DIR)
+        assert name == "packing" or tuple(out.columns) == pipeline.COLUMNS
+        assert out.count() > 0, name
+    assert {r.doc_id for r in pipeline.near_copies(spark, some, DIR).collect()} == {None, 1, 2, 4}
+    assert {r.doc_id for r in pipeline.repeated_passages(spark, some, DIR).collect()} == {None, 1, 2, 3, 4}
+    cut = {r.doc_id: r for r in pipeline.repeated_passages(spark, some, DIR).collect()}
+    assert cut[2].text == BASE and cut[3].text != BASE + " more" and cut[3].n_chars == len(cut[3].text) and cut[None].text is None
+
+
+def test_both_sides_of_plan_switches_agree(spark, docs, monkeypatch):
+    urls = [(k, f"http://{h}/{p}", None) for k, (h, p) in enumerate((h, p) for h in ("www.example.com", "x.net", "org", "a.b.com") for p in ("en/1", "es/", "fr/x", ""))]
+    pages = spark.createDataFrame(urls, "page_id long, url string, html string")
+    shared = "<div>" + " ".join(f"all{k}" for k in range(20)) + "</div>"
+    sites = spark.createDataFrame([(k, f"http://h{k % 3}/{k}", f"{shared}<div>story {k}</div>") for k in range(30)], "page_id long, url string, html string")
+    monkeypatch.setattr(html_text, "SHARD_PAGES", 4)
+    runs = [lambda: url_filter.filter_urls(pages).collect(), lambda: mixing.mix_sources(docs).collect(), lambda: html_text.extract_text(sites).collect()]
+    before = [sorted(map(str, run())) for run in runs]
+    for module, name in ((url_filter, "INLINE_RULES"), (mixing, "BROADCAST_SOURCES"), (html_text, "BROADCAST_HOSTS")):
+        monkeypatch.setattr(module, name, 0)
+    assert [sorted(map(str, run())) for run in runs] == before

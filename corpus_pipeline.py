@@ -9,6 +9,11 @@ from darkspace.llm import mixing, near_dedup, packing, quality_classifier, suffi
 from darkspace.llm.common import cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that a packing worker remembers, beside what earlier stages left in the executors.
+WORDS = 150_000
+#: Rows that Python workers get at a time: their number bounds an executor's memory, and no result depends on it.
+#: Plans take it from the session when they run, after a stage has returned, so stages set it there.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged, too. Without a positive label all stay. No rows give no rows; extra
     columns are dropped.
     """
+    spark.conf.set(*BATCH)
     return quality_classifier.keep_quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -32,6 +38,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts are whole sets. Of equal texts the smallest id stays. No rows give no
     rows; extra columns are dropped.
     """
+    spark.conf.set(*BATCH)
     kept = near_dedup.near_duplicates(docs.where("doc_id is not null"), percent=80).where("kept").select("doc_id")
     own = docs.select(*COLUMNS)
     again = cut(own.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
@@ -52,6 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ids, which the stage before leaves none of, keep one row's text. No rows
     give no rows; extra columns are dropped.
     """
+    spark.conf.set(*BATCH)
     return suffix_dedup.without_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
@@ -72,9 +80,10 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     give whole sequences and a rest. Repeated rows are packed as often as they
     occur; rows without an id are packed without one. No rows give no rows.
     """
+    spark.conf.set(*BATCH)
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memory=WORDS)
 
 
 STAGES = [

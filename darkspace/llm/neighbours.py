@@ -18,11 +18,11 @@ from .common import cut, shuffle_partitions
 #: Cells of a projection, the outer ones without end, and their width in standard deviations.
 CELLS, WIDTH = 3, 0.86
 #: Vectors that a bucket and a slot (the buckets of a task) have on average; a slot of SPLIT times as many is split.
-BUCKET, SLOT, SPLIT = 64, 8192, 4
+BUCKET, SLOT, SPLIT = 8, 8192, 4
 #: Projections of a table at most, and those that name its slots: 3**9 slots a table bound what is broadcast.
-MOST, MOST_SLOTS = 13, 9
+MOST, MOST_SLOTS = 16, 9
 #: Vectors on which the probes are fitted, and the recall asked for there.
-SAMPLE, RECALL = 256, 0.95
+SAMPLE, RECALL = 256, 0.94
 #: Queries that are answered at a time, and distinct vectors that a task holds while it looks for equal ones.
 TOGETHER, HELD = 256, 50_000
 
@@ -133,8 +133,10 @@ ENTRY = "key binary, vector binary, ids array<long>, queries array<long>"
 def _matrix(column: pa.Array, single: bool) -> np.ndarray:
     """Vectors of one length, as doubles."""
     kind = np.float32 if single else np.float64
+    if not len(column):
+        return np.empty((0, 0))
     size = len(column[0].as_py()) // kind().itemsize
-    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    first = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
     return np.frombuffer(column.buffers()[2], kind, len(column) * size, int(first)).reshape(len(column), size).astype(np.float64)
 
 

@@ -280,7 +280,7 @@ class Counter:
                     at = safe.end()
                 parts.append(piece[at:])
                 owner.append(k)
-        np.add.at(out, owner, self._count(parts))
+        np.add.at(out, np.array(owner, np.int64), self._count(parts))
         return out
 
     def _count(self, parts: list[str]) -> np.ndarray:

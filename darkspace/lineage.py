@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 #: Whether Spark deletes a plan's shuffle files when its action ends.
@@ -12,9 +14,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there.
 
     The folder is ``spark.checkpoint.dir``. Where that is unset, a local
-    session gets a folder in its warehouse; a session on a cluster is refused,
-    since executors there share no folder that could be made up here. Shuffle
-    files of the plan that was cut are deleted at once, since nothing reads
+    session (one machine, as in tests) gets a temporary folder; a session on a
+    cluster is refused, since executors there share no folder that could be
+    made up here. Shuffle files of the plan that was cut are deleted at once, since nothing reads
     them again.
     """
     spark = df.sparkSession
@@ -24,7 +26,7 @@ def cut(df: DataFrame) -> DataFrame:
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+            folder = tempfile.mkdtemp(prefix="darkspace-checkpoint-")
         context.setCheckpointDir(folder)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # holds for plans that are made while it is set

@@ -97,7 +97,7 @@ def _plain(text: Column) -> Column:
 
 def _refresh(content: Column) -> Column:
     """The target of a refresh: after seconds, a separator and ``url=``; a quote that begins it ends it."""
-    rest = F.regexp_extract(_plain(content), r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*(.*)$", 1)
+    rest = F.regexp_extract(content, r"(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*(.*)$", 1)
     return F.when(rest.rlike("^[\x22']"), F.regexp_extract(rest, r"(?s)^([\x22'])(.*?)(?:\1|$)", 2)).otherwise(rest)
 
 
@@ -137,11 +137,17 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     tags = F.concat(F.regexp_extract_all("html", F.lit(_LINK), 0), F.regexp_extract_all("html", F.lit(_META), 0))
     marked = pages.where(F.col("html").rlike("(?i)canonical|refresh") & (F.instr("url", "://") > 0))
     marked = marked.select("url", F.regexp_replace("html", _HIDDEN, " ").alias("html"))
-    found = marked.select("url", F.regexp_extract("html", _BASE, 0).alias("base"), F.explode(tags).alias("tag"))
+    found = cut(marked.select("url", F.regexp_extract("html", _BASE, 0).alias("base"), F.explode(tags).alias("tag")))  # one read of the pages
+    if found.isEmpty():
+        return found.select(F.col("url").alias("u"), F.col("tag").alias("v"))
+    # cut after each step, which names its columns many times: else the optimizer writes all steps out in one expression
     is_link = F.col("tag").rlike("(?i)^<link")
-    target = F.when(is_link, _value(F.col("tag"), "href")).otherwise(_refresh(_value(F.col("tag"), "content")))
-    found = found.select("url", _plain(_value(F.col("base"), "href")).alias("base"), _plain(target).alias("target"))
-    found = found.withColumn("base", F.coalesce(_resolved(F.col("base"), F.col("url")), F.col("url")))
+    value = F.when(is_link, _value(F.col("tag"), "href")).otherwise(_value(F.col("tag"), "content"))
+    found = cut(found.select("url", _value(F.col("base"), "href").alias("base"), value.alias("value"), is_link.alias("is_link")))
+    found = cut(found.select("url", _plain(F.col("base")).alias("base"), _plain(F.col("value")).alias("value"), "is_link"))
+    target = F.when(F.col("is_link"), F.col("value")).otherwise(_refresh(F.col("value")))
+    found = found.select("url", "base", F.trim(target).alias("target"))
+    found = cut(found.withColumn("base", F.coalesce(_resolved(F.col("base"), F.col("url")), F.col("url"))))
     absolute = _resolved(F.col("target"), F.col("base"))
     return found.select(_key(F.col("url")).alias("u"), absolute.alias("url")).where("url is not null").select("u", _key(F.col("url")).alias("v")).where("u != v").distinct()
 

@@ -691,9 +691,10 @@ def test_alias_tags(spark):
         '<link rel="x canonical" href="/1">', "<link href=/2 rel='canonical y'>", "<link rel=canonical href=/3/>", '<LINK REL="Canonical" HREF="&#x2F;4&amp;a=&#233;">', '<link rel="canonical" href="&sol;5&quest;x&equals;1">',
         '<!-- <link rel="canonical" href="/no"> -->', '<script>var a = \'<link rel="canonical" href="/no">\';</script>', '<link rel="canonical-x" href="/no"><link rel="nocanonical" href="/no">',
         '<style>x</style><link rel="canonical" href="/9"><!-- open <link rel="canonical" href="/no">', '<link data-rel="canonical" href="/no">', "<template><meta http-equiv=refresh content='0;url=/no'></template>",
+        "<meta http-equiv=refresh content='0;url=/12?q=&amp;quot;'>",
     ]
     got = {r.u: r.v for r in url_filter.alias_edges(spark.createDataFrame([(k, f"http://a.org/p{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")).collect()}
-    expected = ["a.org/1", "a.org/2", "a.org/3/", "a.org/4&a=é", "a.org/5?x=1", None, None, None, "a.org/9", None, None]
+    expected = ["a.org/1", "a.org/2", "a.org/3/", "a.org/4&a=é", "a.org/5?x=1", None, None, None, "a.org/9", None, None, "a.org/12?q=&quot;"]
     assert got == {f"a.org/p{k}": v for k, v in enumerate(expected) if v}
 
 

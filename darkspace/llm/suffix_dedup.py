@@ -386,7 +386,7 @@ def _result(doc_id: int, text: bytes, runs: np.ndarray, keep_text: bool) -> tupl
 @tidied
 def _solve(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, packs, text) to finished documents, unfinished ones and pieces for other shards."""
-    shard, squeeze = Shard(parts), zstandard.ZstdCompressor(level=1)
+    shard, squeeze = Shard(parts), zstandard.ZstdCompressor(level=3)
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not shard.docs:

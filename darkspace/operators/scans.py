@@ -96,14 +96,20 @@ def keyed(packets: DataFrame, width: int) -> DataFrame:
 def horizontal_scans(packets: DataFrame, width: int = 24, seconds: float = 120, needed: int | None = None) -> DataFrame:
     """Scans by source, destination network, protocol and port.
 
-    A key's packets are cut where nothing arrives for ``seconds``: no scan
-    spans such a gap. Stretches that can't cover the network are dropped before
-    Python sees them, so a busy source costs only its candidate stretches.
+    A scan lies within the ``seconds`` up to its last packet, so only packets
+    in such a time with ``needed`` packets or more are kept. They are cut where
+    nothing arrives for ``seconds``: no scan spans such a gap. Stretches that
+    can't cover the network are dropped before Python sees them, so a busy
+    source costs only its candidate stretches.
     """
     most_us, needed = int(seconds * 1_000_000), needed or 1 << (32 - width)
     key = ("saddr", "net", "proto", "dport")
     order = Window.partitionBy(*key).orderBy("ts_us", "pindx")
     rows = keyed(packets, width).select(*key, "off", "ts_us", "pindx", "ttl", "sport", F.col("tcp_seq").alias("isn"), "ipid")
+    time = Window.partitionBy(*key).orderBy("ts_us")
+    dense = F.count("*").over(time.rangeBetween(-most_us, 0)) >= needed
+    rows = rows.withColumn("dense", F.when(dense, F.lit(1))).withColumn("dense", F.max("dense").over(time.rangeBetween(0, most_us)))
+    rows = rows.where("dense = 1").drop("dense")
     gap = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(order) > most_us, F.lit(True))
     rows = rows.withColumn("gap", gap.cast("long")).withColumn("stretch", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     stretch = Window.partitionBy(*key, "stretch")

@@ -20,6 +20,8 @@ REACH = LENGTH - GRAM
 PIECE = REACH + LENGTH
 #: Bytes of candidate text to a shard, and of whole texts held meanwhile.
 SHARD, HELD = 1 << 20, 12 << 20
+#: Bytes of text whose anchors are found at a time.
+READ = 1 << 19
 #: Pieces that are merged at a time (all of an anchor together).
 MERGED = 1 << 13
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -110,7 +112,7 @@ def _offer(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), *(pa.array([b"".join(p[k]) for p in parts.values()], pa.binary()) for k in range(3))], names)
 
     for batch in batches:
-        for start, stop in slices(batch.column(1)):
+        for start, stop in slices(batch.column(1), READ):
             cids, texts = [], []
             for cid, text in zip(batch.column(0)[start:stop].to_pylist(), as_bytes(batch.column(1)[start:stop]), strict=True):
                 if cid not in seen and len(text) >= LENGTH:
@@ -167,6 +169,11 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- a shard's suffix array ----------------------------------------------------------------------
 
 
+def _narrow(n: int) -> type:
+    """A type for places below ``n`` and sums of two of them: arrays of places are most of a shard's memory."""
+    return np.int32 if n < 1 << 30 else np.int64
+
+
 def suffix_array(text: np.ndarray, bits: int = 9) -> np.ndarray:
     """The suffixes of ``text`` (symbols of so many bits; at its end no more than one 0) in order.
 
@@ -176,25 +183,32 @@ def suffix_array(text: np.ndarray, bits: int = 9) -> np.ndarray:
     ends, so the compared depth doubles; groups of one are not touched again.
     """
     n, first = len(text), 63 // bits
-    padded = np.concatenate((text.astype(np.int64), np.zeros(first, np.int64)))
+    kind = _narrow(n)
+    padded = np.concatenate((text, np.zeros(first, text.dtype)))
     keys = np.zeros(n, np.int64)
     for k in range(first):
-        keys = (keys << bits) | padded[k : k + n]
-    order = np.argsort(keys)
-    rank = np.empty(n, np.int64)
+        keys <<= bits
+        np.bitwise_or(keys, padded[k : k + n], out=keys, casting="unsafe")
+    del padded
+    order = np.argsort(keys).astype(kind)
     keys = keys[order]
-    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    rank[order] = np.repeat(head, np.diff(np.append(head, n)))
-    sizes = np.diff(np.append(head, n))
-    slots = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))).astype(kind)
+    del keys
+    rank = np.empty(n, kind)
+    sizes = np.diff(np.append(head, kind(n)))
+    rank[order] = np.repeat(head, sizes)
+    slots = np.flatnonzero(np.repeat(sizes > 1, sizes)).astype(kind)
     reached = first
     while len(slots):
         members = order[slots]
-        beyond = members + reached
-        following = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
-        pairs = (rank[members] << 32) | following
+        beyond = members + kind(reached)
+        pairs = rank[members].astype(np.int64)
+        pairs <<= 32
+        pairs |= np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        del beyond
         inner = np.argsort(pairs)
         members, pairs = members[inner], pairs[inner]
+        del inner
         order[slots] = members
         head = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
         sizes = np.diff(np.append(head, len(slots)))
@@ -211,14 +225,14 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int, lane: int =
     place to the next; lanes of ``lane`` places run side by side.
     """
     n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.where(place > 0, order[place - 1], -1)
-    padded = np.concatenate((text, np.full(most + 1, -1))).astype(np.int32)
-    other = np.concatenate((text, np.full(most + 1, -2))).astype(np.int32)
+    before = np.empty(n, _narrow(n))
+    before[order[:1]] = -1
+    before[order[1:]] = order[:-1]
+    padded = np.concatenate((text.astype(np.int32), np.full(most + 1, -1, np.int32)))
+    other = np.concatenate((text.astype(np.int32), np.full(most + 1, -2, np.int32)))
     starts = np.arange(0, n, lane)
     length = np.zeros(len(starts), np.int64)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.min_scalar_type(most))
     for step in range(lane):
         at = starts + step
         live = at < n
@@ -268,25 +282,32 @@ class Shard:
                 owner.append(k)
         text = np.concatenate(regions)
         sizes = np.fromiter(map(len, regions), np.int64, len(regions)).reshape(-1, 2).sum(1)
+        del regions
+        kind = _narrow(len(text))
         begin = np.cumsum(sizes) - sizes
-        doc = np.repeat(np.array(owner), sizes)
-        place = np.arange(len(text)) - np.repeat(begin - np.array(origin), sizes)
-        to_end = np.repeat(begin + sizes - 1, sizes) - np.arange(len(text))
+        doc = np.repeat(np.array(owner, kind), sizes)
+        place = np.arange(len(text), dtype=kind)  # of the text; less its offset, of the document
+        to_end = np.repeat((begin + sizes - 1).astype(kind), sizes) - place
+        place -= np.repeat((begin - np.array(origin)).astype(kind), sizes)
         order = suffix_array(text)
-        prefix = common_prefixes(text, order, LENGTH)
-        classes = np.cumsum(prefix < LENGTH) - 1
-        ids = np.array([d[0] for d in self.docs], np.int64)
+        classes = np.cumsum(common_prefixes(text, order, LENGTH) < LENGTH, dtype=kind)
+        # documents by the order of their ids: equal ids have equal numbers
+        ids = np.unique(np.array([d[0] for d in self.docs], np.int64), return_inverse=True)[1].astype(kind)
         valid = to_end[order] >= LENGTH
+        del to_end
         order, classes = order[valid], classes[valid]
+        del valid
         covered: list[np.ndarray] = [np.empty(0, np.int64)] * len(self.docs)
         free = np.zeros(len(text), bool)  # strings that no smaller document of the shard has
         if len(order):
             head = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1])))
+            del classes
             names = ids[doc[order]]
-            least = np.repeat(np.minimum.reduceat(names, head), np.diff(np.append(head, len(order))))
-            later = names > least
+            later = names > np.repeat(np.minimum.reduceat(names, head), np.diff(np.append(head, len(order))))
+            del names, head
             free[order[~later]] = True
             hit = np.sort(order[later])
+            del order, later
             cuts = np.searchsorted(doc[hit], np.arange(len(self.docs) + 1))
             covered = [place[hit[cuts[k] : cuts[k + 1]]] for k in range(len(self.docs))]
         return covered, self._pieces(free, doc, place)
@@ -346,6 +367,14 @@ def _runs(starts: np.ndarray) -> np.ndarray:
     return np.stack((starts[new], np.append(starts[new[1:] - 1], starts[-1]) + LENGTH), 1).astype(np.int64)
 
 
+def _merged_runs(docs: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Rows document, first and last start; runs of a document that meet are one. They come sorted by document and first start."""
+    if not len(docs):
+        return np.empty((3, 0), np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (first[1:] > last[:-1] + 1))))
+    return np.stack((docs[new], first[new], np.maximum.reduceat(last, new))).astype(np.int64)
+
+
 def _union(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sorted disjoint ranges of the union of ranges, whose starts are sorted; those that touch are one."""
     if not len(starts):
@@ -406,7 +435,7 @@ def _solve(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, keep_tex
         shard.__init__(parts)
 
     for batch in batches:
-        for start, stop in slices(batch.column(2)):
+        for start, stop in slices(batch.column(2), READ):
             texts = as_bytes(batch.column(2)[start:stop])
             owner, places, hashes = _anchors_of(texts)
             bucket, short = _short(hashes, buckets)
@@ -521,15 +550,16 @@ def _merge(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Record
     def flush() -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        parts: list[list] = [[], [], [], [], []]
-        for n, raw in held:
-            at = 0
-            for part, width, kind in zip(parts, (8, 8, 1, 1, PIECE), (np.int64, np.int64, np.uint8, np.uint8, np.uint8), strict=True):
-                part.append(np.frombuffer(raw, kind, n * width // np.dtype(kind).itemsize, at))
-                at += n * width
+        total, end = sum(n for n, _ in held), 0
+        columns = [*(np.empty(total, kind) for kind in (np.int64, np.int64, np.uint8, np.uint8)), np.empty((total, PIECE), np.uint8)]
+        for k, (n, raw) in enumerate(held):
+            held[k], raw, at = None, expand.decompress(raw), 0
+            for column in columns:
+                part = column[end : end + n]
+                part[:] = np.frombuffer(raw, column.dtype, part.size, at).reshape(part.shape)
+                at += part.nbytes
+            end += n
         held.clear()
-        columns = [*(np.concatenate(p) for p in parts[:4]), np.concatenate(parts[4]).reshape(-1, PIECE)]
-        parts.clear()
         names = _gram_names(columns[4])
         order = np.argsort(names)
         names = names[order]
@@ -537,18 +567,18 @@ def _merge(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Record
         found, a = [], 0
         while a < len(names):
             b = int(bounds[max(np.searchsorted(bounds, a + MERGED, "right") - 1, np.searchsorted(bounds, a, "right"))])
-            found.append(merge_pieces(*(c[order[a:b]] for c in columns)))
+            docs, starts = merge_pieces(*(c[order[a:b]] for c in columns))
+            inner = np.lexsort((starts, docs))
+            found.append(_merged_runs(docs[inner], starts[inner], starts[inner]))
             a = b
-        docs, starts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        group = _group(docs, groups)
-        order = np.lexsort((starts, docs, group))
-        docs, starts, group = docs[order], starts[order], group[order]
-        new = np.ones(len(docs), bool)
-        new[1:] = (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:] - 1, len(docs) - 1) if len(docs) else first
-        rows = np.stack((docs[first], starts[first], starts[last] + LENGTH), 1).astype(np.int64)
-        cuts = np.searchsorted(group[first], np.arange(groups + 1))
+        rows = np.concatenate(found, 1)
+        found.clear()
+        rows = rows[:, np.lexsort((rows[1], rows[0], _group(rows[0], groups)))]
+        rows = _merged_runs(*rows)
+        group = _group(rows[0], groups)
+        rows[2] += LENGTH
+        rows = np.ascontiguousarray(rows.T)
+        cuts = np.searchsorted(group, np.arange(groups + 1))
         filled = [g for g in range(groups) if cuts[g] < cuts[g + 1]]
         yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([rows[cuts[g] : cuts[g + 1]].tobytes() for g in filled], pa.binary())], ["group", "covered"])
 
@@ -557,7 +587,7 @@ def _merge(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Record
             if bucket != now:
                 yield from flush()
                 now = bucket
-            held.append((n, expand.decompress(raw)))
+            held.append((n, raw))
     yield from flush()
 
 

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -135,6 +136,20 @@ def test_suffix_array():
         assert suffix_dedup.common_prefixes(x, order, 50, lane=16).tolist() == [min(s, 50) for s in shared]
 
 
+def test_memory_of_a_shard():
+    text = np.random.default_rng(5).integers(97, 123, 1 << 18).astype(np.uint8).tobytes()
+    shard = suffix_dedup.Shard(4)
+    _, places, hashes = suffix_dedup._anchors_of([text])
+    for doc_id in (7, 3):
+        shard.add(doc_id, text, places, hashes, np.ones(len(places), bool))
+    tracemalloc.start()
+    covered, pieces = shard.solve()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert covered[0].tolist() == list(range(len(text) - 49)) and not len(covered[1]) and pieces
+    assert peak < 90 * 2 * len(text)  # bytes for each byte of text that is sorted
+
+
 def test_token_counts(docs, empty):
     from tokenizers import Tokenizer
 

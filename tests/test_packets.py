@@ -205,6 +205,23 @@ def test_behaviour(spark):
     assert behaviour.hausdorff(x, x + 1) == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("kind", ["hausdorff", "spectral"])
+def test_distances_send_a_series_once_for_each_large_block(spark, monkeypatch, kind):
+    assert behaviour.blocks_for(6, 90_000, 90_000 * 170) == 5  # two groups a core; one for each 128 sources before
+    assert behaviour.blocks_for(6, 100, 2000) == 1 and behaviour.blocks_for(1, 10**6, 10**9) == 239
+    monkeypatch.setattr(behaviour, "SOURCES", 9)
+    g = np.random.default_rng(4)
+    series = {50 + s: g.random((int(g.integers(2, 5)), 10)) for s in range(70)}
+    values = spark.createDataFrame([(s, k, *map(float, r)) for s, x in series.items() for k, r in enumerate(x)], [c.split()[0] for c in behaviour.COMPONENTS.split(", ")])
+    for size in (32 << 20, 4000):  # several chunks of sources in a block, and blocks of a few
+        monkeypatch.setattr(behaviour, "BLOCK", size)
+        rows = behaviour.distances(values, kind, 2).collect()
+        assert len(rows) == 70 * 69 // 2
+        for a, b, d in rows:
+            x, y = series[a], series[b]
+            assert a < b and d == pytest.approx(behaviour.hausdorff(x, y) if kind == "hausdorff" else np.linalg.norm(behaviour.spectrum(x, 2) - behaviour.spectrum(y, 2)))
+
+
 @pytest.mark.parametrize("kind", ["hausdorff", "spectral"])
 def test_distances_of_all_sources_in_blocks(spark, monkeypatch, kind):
     monkeypatch.setattr(behaviour, "SOURCES", 150)

@@ -255,4 +255,4 @@ add("ttl_patterns", lambda p: ttl_shapes.describe(scans.horizontal_scans(p, 24,
 _values = lambda p: behaviour.principal_values(behaviour.features(p.where("proto = 17")), 8, 16)
 add("pc_values", _values)
 add("hausdorff", lambda p: behaviour.distances(_values(p), "hausdorff", 2))
-add("clusters", lambda p: behaviour.clusters(behaviour.distances(_values(p), "spectral", 2), "agglomerative", clusters=4))
+add("clusters", lambda p: behaviour.spectral_clusters(_values(p), 2, clusters=4))

@@ -250,25 +250,74 @@ def distances(values: DataFrame, kind: str = "hausdorff", least: int | None = No
     return dealt.repartition(n, "low", "high").sortWithinPartitions("low", "high").mapInArrow(run, "a long, b long, distance double")
 
 
+class Upper:
+    """Distances above the diagonal, row after row: half of a matrix."""
+
+    def __init__(self, n: int):
+        rows = np.arange(n, dtype=np.int64)
+        self.n, self.first = n, rows * (2 * n - rows - 3) // 2 - 1
+        self.d = np.empty(n * (n - 1) // 2)
+
+    def row(self, i: int) -> np.ndarray:
+        """Distances of ``i`` to all after it."""
+        return self.d[self.first[i] + i + 1 : self.first[i] + self.n]
+
+    def places(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Where the distances of ``i`` to some others are."""
+        return self.first[np.minimum(i, others)] + np.maximum(i, others)
+
+
 def agglomerate(matrix: np.ndarray, clusters: int | None = None, threshold: float | None = None, linkage: str = "average") -> np.ndarray:
     """Labels by merging the nearest clusters until ``clusters`` are left or none is nearer than ``threshold``."""
-    d = matrix.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    members = {k: [k] for k in range(len(d))}
-    while len(members) > (clusters or 1):
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        if threshold is not None and d[i, j] >= threshold:
+    upper = Upper(len(matrix))
+    for k in range(upper.n - 1):
+        upper.row(k)[:] = matrix[k, k + 1 :]
+    return merged(upper, clusters, threshold, linkage)
+
+
+def merged(upper: Upper, clusters: int | None = None, threshold: float | None = None, linkage: str = "average") -> np.ndarray:
+    """``agglomerate`` on half of the matrix, which is written over.
+
+    Each row's nearest one is remembered and looked for again only when it
+    changed; of equal distances the first in the matrix is taken.
+    """
+    n, d = upper.n, upper.d
+    least, nearest = np.full(n, np.inf), np.zeros(n, np.int64)
+    alive, sizes, into = np.ones(n, bool), np.ones(n, np.int64), np.arange(n)
+
+    def look(i: int) -> None:
+        if i < n - 1:
+            row = upper.row(i)
+            k = int(row.argmin())
+            least[i], nearest[i] = row[k], i + 1 + k
+
+    for k in range(n):
+        look(k)
+    for _ in range(n - (clusters or 1)):
+        i = int(least.argmin())
+        if threshold is not None and least[i] >= threshold:
             break
-        a, b = len(members[i]), len(members[j])
-        row = {"single": np.minimum(d[i], d[j]), "complete": np.maximum(d[i], d[j]), "average": (a * d[i] + b * d[j]) / (a + b)}[linkage]
-        gone = ~np.isfinite(d[i]) | ~np.isfinite(d[j])
-        row[gone] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
-        members[i] += members.pop(j)
-    labels = np.zeros(len(d), int)
-    for label, own in enumerate(sorted(members.values(), key=min)):
-        labels[own] = label
+        j, a = int(nearest[i]), int(sizes[i])
+        b = int(sizes[j])
+        alive[[i, j]] = False
+        others = np.flatnonzero(alive)
+        of_i, of_j = upper.places(i, others), upper.places(j, others)
+        row = {"single": np.minimum, "complete": np.maximum, "average": lambda p, q: (a * p + b * q) / (a + b)}[linkage](d[of_i], d[of_j])
+        d[of_i], d[of_j] = row, np.inf
+        d[upper.first[i] + j] = least[j] = np.inf
+        alive[i], sizes[i], into[j] = True, a + b, i
+        lost = (others < j) & (nearest[others] == j) | (others < i) & (nearest[others] == i)
+        nearer = (others < i) & ((row < least[others]) | (row == least[others]) & (i <= nearest[others]))
+        least[others[nearer]], nearest[others[nearer]] = row[nearer], i
+        least[i] = np.inf
+        look(i)
+        for k in others[lost & ~nearer].tolist():
+            look(k)
+    roots = np.flatnonzero(into == np.arange(n))
+    labels = np.zeros(n, int)
+    labels[roots] = np.arange(len(roots))
+    for k in np.flatnonzero(into != np.arange(n)).tolist():  # one that is merged goes into a smaller one
+        labels[k] = labels[into[k]]
     return labels
 
 
@@ -356,6 +405,31 @@ def clusters(pairs: DataFrame, kind: str = "agglomerative", **options) -> DataFr
     return pairs.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "saddr long, label long")
 
 
+def spectral_clusters(values: DataFrame, least: int | None = None, **options) -> DataFrame:
+    """``clusters`` of ``distances`` of kind "spectral", by ``merged``, without the pairs.
+
+    One task gets the spectra and holds half of the matrix: 4 bytes times the
+    square of the sources (9000 sources: 324 MB).
+    """
+    series, width, _ = _series(values, "spectral", least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        saddr, x = [np.empty(0, np.int64)], [np.empty((0, width))]
+        for batch in batches:
+            saddr.append(batch.column(0).to_numpy())
+            x.append(batch.column(1).flatten().to_numpy().reshape(-1, width))
+        names, own = np.concatenate(saddr), np.concatenate(x)
+        order = np.argsort(names)
+        names, own = names[order], own[order]
+        if len(names) > 1:
+            upper = Upper(len(names))
+            for k in range(len(names) - 1):
+                upper.row(k)[:] = np.linalg.norm(own[k] - own[k + 1 :], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(merged(upper, **options).astype(np.int64))], ["saddr", "label"])
+
+    return series.repartition(1).mapInArrow(run, "saddr long, label long")
+
+
 def cluster_scores(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """clusters, silhouette and davies_bouldin of labels, from the rows of the distance matrix; null for fewer than two clusters.
 

@@ -3,6 +3,7 @@
 import gzip
 import random
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -422,6 +423,32 @@ def test_busy_port_is_many_windows(spark):
         assert got[k] == pytest.approx(before.count(a) / len(before) if before else 0.0)
 
 
+def test_clusters_hold_half_of_the_matrix(spark):
+    g = np.random.default_rng(6)
+    x = g.integers(0, 40, (600, 2)).astype(float)  # many equal distances
+    m = np.linalg.norm(x[:, None] - x[None], axis=2)
+    tracemalloc.start()
+    labels = behaviour.agglomerate(m, clusters=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * 600 * 600  # bytes a pair, either way round
+    d, members = m.copy(), {k: [k] for k in range(600)}
+    np.fill_diagonal(d, np.inf)
+    while len(members) > 5:  # the first of the least distances of the whole matrix, every time
+        i, j = np.unravel_index(np.argmin(d), d.shape)
+        a, b = len(members[i]), len(members[j])
+        row = (a * d[i] + b * d[j]) / (a + b)
+        d[i], d[:, i] = row, row
+        d[j], d[:, j] = np.inf, np.inf
+        members[i] += members.pop(j)
+    assert {tuple(sorted(v)) for v in members.values()} == {tuple(np.flatnonzero(labels == k).tolist()) for k in range(5)}
+
+    values = spark.createDataFrame([(s, k, *map(float, r)) for s in range(90) for k, r in enumerate(g.random((2 + s % 4, 10)))] + [(1000, 0, *[0.0] * 10)], [c.split()[0] for c in behaviour.COMPONENTS.split(", ")])
+    of_pairs = behaviour.clusters(behaviour.distances(values, "spectral", 2), clusters=4)
+    assert sorted(behaviour.spectral_clusters(values, 2, clusters=4).collect()) == sorted(of_pairs.collect())
+    assert behaviour.spectral_clusters(values.where("saddr = 0"), 2).count() == behaviour.spectral_clusters(values.where("false"), 2).count() == 0
+
+
 def test_feature_plugins_scores_and_centroids(spark):
     p = packets(spark, [(k * (1 + k % 3), k % 2, 2, 17, 50 + k % 4) for k in range(60)])
     plugins = {"ttl": lambda w: F.col("ttl"), "step": lambda w: F.coalesce(F.col("dport") - F.lag("dport").over(w), F.lit(0))}

@@ -17,6 +17,10 @@ COMPONENTS = "saddr long, ts_us long, " + ", ".join(f"val{k} double" for k in ra
 SOURCES, CELLS = 128, 1 << 18
 #: Bytes of series in a block. A task holds two blocks, and every series is sent once for each block.
 BLOCK = 32 << 20
+#: Packets whose windows are taken together.
+BATCH = 4096
+#: Clusters whose matrix is held, and points whose nearest clusters are looked for together.
+MATRIX, LEAF = 4096, 256
 
 
 def fingerprint(flags: Column | None = None) -> Column:
@@ -104,30 +108,57 @@ def components_of(times: np.ndarray, values: np.ndarray, points: int) -> tuple[n
     Features are interpolated at even times and scaled to unit length. A
     component's sign makes the largest entry of its left vector positive.
     """
-    even = np.linspace(times[0], times[-1], points)
-    x = np.stack([np.interp(even, times, v) for v in values.T], 1)
-    norms = np.linalg.norm(x, axis=0)
+    s, cosines = components_of_all(times[None], values[None], points)
+    return s[0], cosines[0]
+
+
+def components_of_all(times: np.ndarray, values: np.ndarray, points: int) -> tuple[np.ndarray, np.ndarray]:
+    """``components_of`` of many windows (windows x states, windows x states x features) at a time."""
+    step = (times[:, -1:] - times[:, :1]) / (points - 1)
+    even = times[:, :1] + np.arange(points) * step
+    even[:, -1:] = times[:, -1:]
+    at = (even[:, :, None] >= times[:, None]).sum(2) - 1  # as numpy.interp: the last state not after it
+    after = np.minimum(at + 1, times.shape[1] - 1)
+    t0, v0 = np.take_along_axis(times, at, 1), np.take_along_axis(values, at[:, :, None], 1)
+    span = np.take_along_axis(times, after, 1) - t0
+    slope = (np.take_along_axis(values, after[:, :, None], 1) - v0) / np.where(span > 0, span, 1)[:, :, None]
+    x = slope * (even - t0)[:, :, None] + v0
+    norms = np.sqrt((x**2).sum(1, keepdims=True))
     x = x / np.where(norms > 0, norms, 1)
-    u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
-    signs = np.sign(u[np.abs(u).argmax(0), np.arange(u.shape[1])])
-    vt = vt * np.where(signs == 0, 1, signs)[:, None]
-    return s, s * vt.sum(1) / np.sqrt(vt.shape[1])
+    u, s, vt = np.linalg.svd(x - x.mean(1, keepdims=True), full_matrices=False)
+    signs = np.sign(np.take_along_axis(u, np.abs(u).argmax(1)[:, None], 1)[:, 0])
+    vt = vt * np.where(signs == 0, 1, signs)[:, :, None]
+    return s, s * vt.sum(2) / np.sqrt(vt.shape[2])
 
 
 def principal_values(rows: DataFrame, states: int = 20, points: int = 32) -> DataFrame:
-    """val and delta of the last ``states`` packets, from a source's (states + 3)rd packet on; one of each for every feature."""
+    """val and delta of the last ``states`` packets, from a source's (states + 3)rd packet on; one of each for every feature.
+
+    Windows of many sources are taken together, a batch of packets at a time;
+    of a source that goes on in the next batch only the last states are held.
+    """
     names = sorted((c for c in rows.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:]))
     kinds = [f"{kind}{k}" for kind in ("val", "delta") for k in range(len(names))]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "pindx"])
-        times, values, out = pdf["ts_us"].to_numpy(float), pdf[names].to_numpy(float), []
-        for k in range(states + 2, len(pdf)):
-            val, delta = components_of(times[k - states + 1 : k + 1], values[k - states + 1 : k + 1], points)
-            out.append((int(pdf["saddr"].iloc[0]), int(times[k]), *map(float, val), *map(float, delta)))
-        return pd.DataFrame(out, columns=["saddr", "ts_us", *kinds])
-
-    return rows.groupBy("saddr").applyInPandas(run, "saddr long, ts_us long, " + ", ".join(f"{c} double" for c in kinds))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        saddr, times, values, place = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, len(names))), np.empty(0, np.int64)
+        for batch in (whole.slice(k, BATCH) for whole in batches for k in range(0, whole.num_rows, BATCH)):
+            held, last = len(saddr), place[-1] if len(place) else 0
+            saddr, times = (np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate((saddr, times)))
+            values = np.concatenate([values, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2, 2 + len(names))], 1).astype(float)])
+            own = saddr[held:]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            began = np.repeat(np.r_[-1 - last if held and saddr[held - 1] == own[0] else 0, starts[1:]], np.diff(np.r_[starts, len(own)]))
+            place = np.concatenate([place, np.arange(len(own)) - began])
+            ends = held + np.flatnonzero(place[held:] >= states + 2)
+            if len(ends):
+                window = ends[:, None] + np.arange(1 - states, 1)
+                found = components_of_all(times[window].astype(float), values[window], points)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (saddr[ends], times[ends], *np.concatenate(found, 1).T)], ["saddr", "ts_us", *kinds])
+            saddr, times, values, place = (x[-states:] for x in (saddr, times, values, place))
+
+    rows = rows.select("saddr", "ts_us", *(F.col(c).cast("double") for c in names), "pindx").repartition("saddr").sortWithinPartitions("saddr", "ts_us", "pindx")
+    return rows.mapInArrow(run, "saddr long, ts_us long, " + ", ".join(f"{c} double" for c in kinds))
 
 
 def hausdorff(a: np.ndarray, b: np.ndarray) -> float:
@@ -276,14 +307,19 @@ def agglomerate(matrix: np.ndarray, clusters: int | None = None, threshold: floa
 
 
 def merged(upper: Upper, clusters: int | None = None, threshold: float | None = None, linkage: str = "average") -> np.ndarray:
-    """``agglomerate`` on half of the matrix, which is written over.
+    """``agglomerate`` on half of the matrix, which is written over."""
+    return labelled(upper.n, [(i, j) for i, j, _ in merges(upper, np.ones(upper.n, np.int64), clusters, threshold, linkage)])
+
+
+def merges(upper: Upper, sizes: np.ndarray, clusters: int | None = None, threshold: float | None = None, linkage: str = "average") -> Iterator[tuple[int, int, float]]:
+    """i, j and distance of each merge of j into i < j, nearest first.
 
     Each row's nearest one is remembered and looked for again only when it
     changed; of equal distances the first in the matrix is taken.
     """
     n, d = upper.n, upper.d
     least, nearest = np.full(n, np.inf), np.zeros(n, np.int64)
-    alive, sizes, into = np.ones(n, bool), np.ones(n, np.int64), np.arange(n)
+    alive, sizes = np.ones(n, bool), sizes.copy()
 
     def look(i: int) -> None:
         if i < n - 1:
@@ -298,6 +334,7 @@ def merged(upper: Upper, clusters: int | None = None, threshold: float | None =
         if threshold is not None and least[i] >= threshold:
             break
         j, a = int(nearest[i]), int(sizes[i])
+        yield i, j, float(least[i])
         b = int(sizes[j])
         alive[[i, j]] = False
         others = np.flatnonzero(alive)
@@ -305,7 +342,7 @@ def merged(upper: Upper, clusters: int | None = None, threshold: float | None =
         row = {"single": np.minimum, "complete": np.maximum, "average": lambda p, q: (a * p + b * q) / (a + b)}[linkage](d[of_i], d[of_j])
         d[of_i], d[of_j] = row, np.inf
         d[upper.first[i] + j] = least[j] = np.inf
-        alive[i], sizes[i], into[j] = True, a + b, i
+        alive[i], sizes[i] = True, a + b
         lost = (others < j) & (nearest[others] == j) | (others < i) & (nearest[others] == i)
         nearer = (others < i) & ((row < least[others]) | (row == least[others]) & (i <= nearest[others]))
         least[others[nearer]], nearest[others[nearer]] = row[nearer], i
@@ -313,12 +350,164 @@ def merged(upper: Upper, clusters: int | None = None, threshold: float | None =
         look(i)
         for k in others[lost & ~nearer].tolist():
             look(k)
-    roots = np.flatnonzero(into == np.arange(n))
-    labels = np.zeros(n, int)
-    labels[roots] = np.arange(len(roots))
-    for k in np.flatnonzero(into != np.arange(n)).tolist():  # one that is merged goes into a smaller one
-        labels[k] = labels[into[k]]
-    return labels
+
+
+def labelled(n: int, pairs: Iterable[tuple[int, int]]) -> np.ndarray:
+    """Labels from 0 on, by the first of each cluster, after merges of these pairs."""
+    into = list(range(n))
+
+    def root(k: int) -> int:
+        while into[k] != k:
+            into[k] = k = into[into[k]]
+        return k
+
+    for i, j in pairs:
+        i, j = sorted((root(i), root(j)))
+        into[j] = i
+    return np.unique([root(k) for k in range(n)], return_inverse=True)[1]
+
+
+class Groups:
+    """Points in clusters, with the linkage of any two of them found from the points."""
+
+    def __init__(self, x: np.ndarray, of: np.ndarray, linkage: str):
+        """``of``: each point's cluster."""
+        self.linkage, order = linkage, np.argsort(of, kind="stable")
+        self.x, self.ids = x[order], of[order]
+        self.starts = np.flatnonzero(np.r_[True, self.ids[1:] != self.ids[:-1]])
+        self.sizes = np.diff(np.r_[self.starts, len(x)])
+        self.ids = self.ids[self.starts]
+        self.columns = np.ascontiguousarray(self.x.T)
+        self.centers = np.stack([np.add.reduceat(c, self.starts) for c in self.columns], 1) / self.sizes[:, None]
+
+    def members(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the points of some clusters, and where each cluster's begin."""
+        sizes = self.sizes[some]
+        first = np.cumsum(sizes) - sizes
+        return np.repeat(self.starts[some] - first, sizes) + np.arange(sizes.sum()), first
+
+    def between(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Linkages of clusters ``left`` and ``right``, some points against all of ``right`` at a time."""
+        fold = {"single": np.minimum, "complete": np.maximum, "average": np.add}[self.linkage]
+        (of_left, _), (of_right, first) = self.members(left), self.members(right)
+        columns, own = self.columns[:, of_right], np.repeat(np.arange(len(left)), self.sizes[left])
+        out = np.full((len(left), len(right)), np.inf if self.linkage == "single" else 0.0)
+        step = max(1, CELLS // len(of_right))
+        for k in range(0, len(of_left), step):
+            d = np.zeros((len(of_left[k : k + step]), len(of_right)))
+            for x, y in zip(self.columns[:, of_left[k : k + step]], columns, strict=True):
+                part = x[:, None] - y
+                part *= part
+                d += part
+            np.sqrt(d, out=d)
+            if len(first) < len(of_right):
+                d = fold.reduceat(d, first, axis=1)
+            now = own[k : k + step]
+            begin = np.flatnonzero(np.r_[True, now[1:] != now[:-1]])
+            d = fold.reduceat(d, begin, axis=0) if len(begin) < len(now) else d
+            out[now[begin]] = fold(out[now[begin]], d)
+        return out / (self.sizes[left][:, None] * self.sizes[right]) if self.linkage == "average" else out
+
+    def leaves(self) -> list[np.ndarray]:
+        """Clusters near each other, LEAF points together."""
+        out, todo = [], [np.arange(len(self.ids))]
+        while todo:
+            some = todo.pop()
+            if len(some) == 1 or self.sizes[some].sum() <= LEAF:
+                out.append(np.sort(some))
+                continue
+            c = self.centers[some]
+            order, half = np.argsort(c[:, np.ptp(c, axis=0).argmax()], kind="stable"), len(some) // 2
+            todo += [some[order[:half]], some[order[half:]]]
+        return out
+
+    def nearest(self, stale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Linkage and place of the nearest of each cluster that is ``stale``; of equal ones the first.
+
+        Two clusters are no nearer on average, or at their farthest points,
+        than their centers; so leaves whose centers (for "single" points) lie
+        beyond what was found are left out, and nothing else.
+        """
+        leaves, single = self.leaves(), self.linkage == "single"
+        boxes = [self.x[self.members(some)[0]] if single else self.centers[some] for some in leaves]
+        low, high = np.stack([b.min(0) for b in boxes]), np.stack([b.max(0) for b in boxes])
+        least, place = np.full(len(self.ids), np.inf), np.full(len(self.ids), -1)
+        for leaf in leaves:
+            asked = leaf[stale[leaf]]
+            if not len(asked):
+                continue
+            if single:
+                own, first = self.members(asked)
+                below, above = (f.reduceat(self.x[own], first, axis=0) for f in (np.minimum, np.maximum))
+            else:
+                below = above = self.centers[asked]
+            gap = np.sqrt((np.maximum(np.maximum(low - above[:, None], below[:, None] - high), 0) ** 2).sum(2)) * (1 - 1e-9)
+            soonest = gap.min(0)
+            for k in np.argsort(soonest, kind="stable").tolist():
+                if soonest[k] > least[asked].max():
+                    break
+                rows = asked[gap[:, k] <= least[asked]]
+                if not len(rows):
+                    continue
+                d = self.between(rows, leaves[k])
+                d[rows[:, None] == leaves[k]] = np.inf
+                at = d.argmin(1)
+                found, which = d[np.arange(len(rows)), at], leaves[k][at]
+                better = (found < least[rows]) | (found == least[rows]) & (which < place[rows]) & (found < np.inf)
+                least[rows[better]], place[rows[better]] = found[better], which[better]
+        return least, place
+
+
+def merged_points(x: np.ndarray, clusters: int | None = None, threshold: float | None = None, linkage: str = "average") -> np.ndarray:
+    """``merged`` of points by their straight distances, without their matrix if there are more than MATRIX.
+
+    Clusters that are each other's nearest merge in rounds, whatever else is
+    nearer together: no linkage here brings a merged cluster nearer to others
+    than its parts were, so the same merges come as nearest first. When MATRIX
+    clusters are left, ``merges`` goes on with their matrix. Then the merges
+    up to the number or distance asked for are taken, nearest first. Linkages
+    within 1e-12 of each other count as equal; which of equal ones merge first
+    can differ from ``merged``.
+    """
+    n, same = len(x), 1 + 1e-12
+    if n <= MATRIX:
+        upper = Upper(n)
+        for k in range(n - 1):
+            upper.row(k)[:] = np.linalg.norm(x[k] - x[k + 1 :], axis=1)
+        return merged(upper, clusters, threshold, linkage)
+    _, first, of = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    of = first[of.ravel()]  # each point's cluster, named by its first point
+    tree = [(int(of[k]), int(k), 0.0) for k in np.argsort(of, kind="stable") if of[k] != k]
+    height, least, nearest = np.zeros(n), np.full(n, np.inf), np.full(n, -1)
+    stale = np.ones(n, bool)
+    while len(ids := np.unique(of)) > MATRIX:
+        groups = Groups(x, of, linkage)
+        d, place = groups.nearest(stale[ids])
+        now = stale[ids]
+        least[ids[now]], nearest[ids[now]] = d[now], ids[place[now]]
+        stale[:] = False
+        into, done = np.arange(n), np.zeros(n, bool)
+        i, j = np.minimum(ids, nearest[ids]), np.maximum(ids, nearest[ids])
+        for k in np.lexsort((j, i, least[ids])).tolist():
+            a, b, h = int(i[k]), int(j[k]), least[ids[k]]
+            if not (done[a] or done[b]) and h <= min(least[a], least[b]) * same:
+                done[a] = done[b] = True
+                into[b] = a
+                height[a] = max(h, height[a], height[b])
+                tree.append((a, b, float(height[a])))
+        of = into[of]
+        left = np.unique(of)
+        stale[left] = done[left] | done[nearest[left]]
+    groups = Groups(x, of, linkage)
+    upper, ids, everyone = Upper(len(ids)), groups.ids, np.arange(len(ids))
+    for k in range(upper.n - 1):
+        upper.row(k)[:] = groups.between(everyone[k : k + 1], everyone[k + 1 :])[0]
+    for a, b, h in merges(upper, groups.sizes, linkage=linkage):
+        a, b = int(ids[a]), int(ids[b])
+        height[a] = max(h, height[a], height[b])
+        tree.append((a, b, float(height[a])))
+    tree.sort(key=lambda m: m[2])
+    return labelled(n, ((a, b) for a, b, h in tree[: n - (clusters or 1)] if threshold is None or h < threshold))
 
 
 def mean_shift(x: np.ndarray, bandwidth: float | None = None, quantile: float = 0.3, rounds: int = 100) -> np.ndarray:
@@ -406,10 +595,10 @@ def clusters(pairs: DataFrame, kind: str = "agglomerative", **options) -> DataFr
 
 
 def spectral_clusters(values: DataFrame, least: int | None = None, **options) -> DataFrame:
-    """``clusters`` of ``distances`` of kind "spectral", by ``merged``, without the pairs.
+    """``clusters`` of ``distances`` of kind "spectral", by ``merged_points``, without the pairs.
 
-    One task gets the spectra and holds half of the matrix: 4 bytes times the
-    square of the sources (9000 sources: 324 MB).
+    One task gets the spectra and holds them and half of the matrix of at most
+    MATRIX clusters.
     """
     series, width, _ = _series(values, "spectral", least)
 
@@ -420,12 +609,8 @@ def spectral_clusters(values: DataFrame, least: int | None = None, **options) ->
             x.append(batch.column(1).flatten().to_numpy().reshape(-1, width))
         names, own = np.concatenate(saddr), np.concatenate(x)
         order = np.argsort(names)
-        names, own = names[order], own[order]
         if len(names) > 1:
-            upper = Upper(len(names))
-            for k in range(len(names) - 1):
-                upper.row(k)[:] = np.linalg.norm(own[k] - own[k + 1 :], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(merged(upper, **options).astype(np.int64))], ["saddr", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[order]), pa.array(merged_points(own[order], **options).astype(np.int64))], ["saddr", "label"])
 
     return series.repartition(1).mapInArrow(run, "saddr long, label long")
 

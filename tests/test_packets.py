@@ -449,6 +449,44 @@ def test_clusters_hold_half_of_the_matrix(spark):
     assert behaviour.spectral_clusters(values.where("saddr = 0"), 2).count() == behaviour.spectral_clusters(values.where("false"), 2).count() == 0
 
 
+def test_clusters_of_many_sources_hold_no_matrix(monkeypatch):
+    g = np.random.default_rng(8)
+    for n, width, linkage, options in ((150, 3, "average", {"clusters": 4}), (150, 2, "average", {"threshold": 0.8}), (120, 2, "complete", {"clusters": 9}), (120, 1, "single", {"clusters": 5})):
+        x = g.normal(size=(n, width)) * (g.pareto(1, (n, 1)) + 1)
+        x[n // 2 :] = x[g.integers(0, n // 2, n - n // 2)]  # copies
+        monkeypatch.setattr(behaviour, "MATRIX", n)
+        whole = behaviour.merged_points(x, linkage=linkage, **options)
+        monkeypatch.setattr(behaviour, "MATRIX", 12)
+        monkeypatch.setattr(behaviour, "LEAF", 20)
+        assert behaviour.merged_points(x, linkage=linkage, **options).tolist() == whole.tolist()
+    monkeypatch.undo()
+    monkeypatch.setattr(behaviour, "MATRIX", 500)
+    monkeypatch.setattr(behaviour, "CELLS", 1 << 15)
+    x = g.random((3000, 2))
+    tracemalloc.start()
+    labels = behaviour.merged_points(x, clusters=4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(labels.tolist()) == {0, 1, 2, 3} and peak < 3000 * 3000  # half of the matrix takes 4 bytes for each
+
+
+def test_principal_values_of_sources_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(behaviour, "BATCH", 7)
+    g = np.random.default_rng(9)
+    own = {s: sorted((int(t), k) for k, t in enumerate(g.integers(0, 40, n))) for s, n in ((1, 3), (2, 30), (3, 6), (4, 7), (5, 8), (6, 25))}
+    rows = {(s, *key): g.random(3).tolist() for s, keys in own.items() for key in keys}
+    got = behaviour.principal_values(spark.createDataFrame([(*k, *v) for k, v in rows.items()], "saddr long, ts_us long, pindx long, f0 double, f1 double, f2 double"), 5, 9)
+    want = []
+    for s, keys in own.items():
+        for k in range(7, len(keys)):
+            times = np.array([t for t, _ in keys[k - 4 : k + 1]], float)
+            values = np.array([rows[s, *key] for key in keys[k - 4 : k + 1]])
+            x = np.stack([np.interp(np.linspace(times[0], times[-1], 9), times, v) for v in values.T], 1)
+            x = x / np.linalg.norm(x, axis=0)
+            want.append((s, times[-1], *np.linalg.svd(x - x.mean(0))[1]))
+    assert np.allclose(sorted(tuple(r)[:5] for r in got.collect()), sorted(want))
+
+
 def test_feature_plugins_scores_and_centroids(spark):
     p = packets(spark, [(k * (1 + k % 3), k % 2, 2, 17, 50 + k % 4) for k in range(60)])
     plugins = {"ttl": lambda w: F.col("ttl"), "step": lambda w: F.coalesce(F.col("dport") - F.lag("dport").over(w), F.lit(0))}

@@ -3,6 +3,7 @@
 import gzip
 import random
 import struct
+import time
 import tracemalloc
 
 import numpy as np
@@ -487,6 +488,27 @@ def test_principal_values_of_sources_over_batches(spark, monkeypatch):
     assert np.allclose(sorted(tuple(r)[:5] for r in got.collect()), sorted(want))
 
 
+def test_hausdorff_by_products_is_fast_and_exact(monkeypatch):
+    g = np.random.default_rng(10)
+    series = [g.normal(size=(int(n), 10)) * 10.0 ** g.integers(-3, 3) for n in g.integers(1, 40, 24)]
+    series += [series[0].copy(), series[1] + 1e-7, series[2][::-1].repeat(3, axis=0)]  # equal, close, equal in another order
+    for tile in (1, 300, 5000, 1 << 17):
+        monkeypatch.setattr(behaviour, "TILE", tile)
+        got = behaviour.hausdorff_block(series, series[3:] + series[:3])
+        want = np.array([[behaviour.hausdorff(a, b) for b in series[3:] + series[:3]] for a in series])
+        assert np.allclose(got, want, rtol=1e-9, atol=0)
+    series[0][0, 0] = np.inf
+    assert np.array_equal(behaviour.hausdorff_block(series[:2], series[:2]), behaviour.differences_block(series[:2], series[:2]), equal_nan=True)
+
+    def seconds(f):
+        began = time.perf_counter()
+        f(many, many)
+        return time.perf_counter() - began
+
+    many = [g.random((17, 10)) for _ in range(150)]
+    assert min(seconds(behaviour.hausdorff_block) for _ in range(3)) < 0.7 * min(seconds(behaviour.differences_block) for _ in range(3))
+
+
 def test_feature_plugins_scores_and_centroids(spark):
     p = packets(spark, [(k * (1 + k % 3), k % 2, 2, 17, 50 + k % 4) for k in range(60)])
     plugins = {"ttl": lambda w: F.col("ttl"), "step": lambda w: F.coalesce(F.col("dport") - F.lag("dport").over(w), F.lit(0))}
